@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import decontamination, langid, mixing, quality, sharding, simhash, sql, tokenbin, toxicity
+from firnline.llm import decontamination, langid, linededup, mixing, quality, sharding, simhash, sql, suffix, tokenbin, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +49,16 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_bucket_pointer_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing, op9_line_hash_dedup, op10_bucket_pointer_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
