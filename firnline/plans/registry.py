@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.plans import event_queries, oracle_events
+from firnline.plans import catalog_queries, event_queries, oracle_catalog, oracle_events
 
-MODULES = [event_queries]
+MODULES = [event_queries, catalog_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_events.ORACLE}
+    return {**oracle_events.ORACLE, **oracle_catalog.ORACLE}
