@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from firnline.operators import catalogue as cat
+from firnline.operators import checks as chk
 from firnline.operators import recommend as rec
 from firnline.plans import bindings as b
 
@@ -23,3 +25,64 @@ def recommendations(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [rider_profiles, product_readiness, recommendations]
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return cat.items(b.families(s, d), b.products(s, d), b.sizes(s, d))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Slug and place of an ordered, bounded or small result."""
+    return df.select("slug").withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
+def catalogue_items(s: SparkSession, d: str) -> DataFrame:
+    return _items(s, d).select("slug", "family_id", "brand", "season_label", "riding_style", F.col("flex").cast("double").alias("flex"), "source_url", "price_from", "has_available_size", F.size("offers").cast("long").alias("n_offers"), F.size("sizes").cast("long").alias("n_sizes"), "default_offer_slug", F.array_join("sizes.label", ",").alias("labels"), F.array_join("media", ",").alias("media"))
+
+
+def catalogue_presentation(s: SparkSession, d: str) -> DataFrame:
+    return _items(s, d).select("slug", F.array_join(cat.width_types(), ",").alias("widths"), cat.width_summary().alias("width_summary"), cat.availability_headline().alias("headline"), cat.availability_preview().alias("preview"))
+
+
+def catalogue_browse(s: SparkSession, d: str) -> DataFrame:
+    return _placed(cat.browse(_items(s, d), query="Brand#1", styles=["park", "all-mountain"], lines=["men", "unisex"], widths=["wide", "mid-wide"]))
+
+
+def catalogue_by_price(s: SparkSession, d: str) -> DataFrame:
+    return _placed(cat.browse(_items(s, d), sort="price-desc"))
+
+
+def catalogue_related(s: SparkSession, d: str) -> DataFrame:
+    return _placed(cat.related(_items(s, d), "p-4"))
+
+
+def catalogue_routes(s: SparkSession, d: str) -> DataFrame:
+    p = b.products(s, d)
+    aliases = p.where("family_id is null").select(F.concat(F.lit("old-"), "slug").alias("alias"), "slug")
+    asked = p.select("slug").unionByName(aliases.select(F.col("alias").alias("slug"))).unionByName(b.families(s, d).select(F.concat(F.lit("nowhere-"), "id").alias("slug")))
+    return cat.resolve_slug(asked, _items(s, d), aliases, p)
+
+
+def quality_audit(s: SparkSession, d: str) -> DataFrame:
+    return chk.audit(b.products(s, d), b.sizes(s, d))
+
+
+def waist_repair(s: SparkSession, d: str) -> DataFrame:
+    w, kind = F.col("waist_width_mm"), F.split_part("id", F.lit("-"), F.lit(2)).cast("int") % 4
+    broken = b.sizes(s, d).withColumn("waist_width_mm", F.when(kind == 0, w * 10 + 5).when(kind == 1, F.floor(w / 10)).when(kind == 2, w - 100).otherwise(w).cast("int"))
+    return chk.repaired_waists(broken)
+
+
+def source_counts(s: SparkSession, d: str) -> DataFrame:
+    return chk.source_counts(b.products(s, d))
+
+
+def invalid_families(s: SparkSession, d: str) -> DataFrame:
+    return chk.invalid_families(b.products(s, d).where("is_active"))
+
+
+def failing_products(s: SparkSession, d: str) -> DataFrame:
+    return chk.failing_products(b.products(s, d), b.sizes(s, d), limit=50)
+
+
+QUERIES += [catalogue_items, catalogue_presentation, catalogue_browse, catalogue_by_price, catalogue_related, catalogue_routes, quality_audit, waist_repair, source_counts, invalid_families, failing_products]

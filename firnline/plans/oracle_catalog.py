@@ -132,3 +132,87 @@ SELECT rider_id, CASE WHEN chosen THEN 'recommended' ELSE 'alternative' END AS l
 FROM named WHERE chosen OR (place <= nc + 3 AND score >= 40)"""
 
 ORACLE = {"rider_profiles": PROFILE, "product_readiness": READY, "recommendations": MATCHES}
+
+ITEMS_CTE = f"""{PROD},
+off AS (SELECT *, coalesce(family_id, 'offer:' || id) AS item, CASE member_role WHEN 'base' THEN 0 WHEN 'wide' THEN 1 ELSE 3 END AS ro FROM prod),
+ss AS (
+  SELECT o.item, o.id AS offer_id, o.slug AS offer_slug, o.is_active AS oa, o.ro, s.id AS sid, s.size_cm, s.width_type, s.waist_width_mm, s.is_available,
+    CASE s.width_type WHEN 'regular' THEN 0 WHEN 'mid-wide' THEN 1 ELSE 2 END AS wo,
+    CASE WHEN s.size_label IS NOT NULL THEN upper(s.size_label) ELSE CAST(CAST(s.size_cm AS INTEGER) AS VARCHAR) END AS label
+  FROM off o JOIN siz s ON s.product_id = o.id WHERE s.size_cm >= 100 OR s.waist_width_mm < 235),
+free AS (SELECT offer_id, bool_or(is_available) AS f FROM ss GROUP BY 1),
+o2 AS (SELECT o.*, coalesce(f, FALSE) AS f FROM off o LEFT JOIN free ON free.offer_id = o.id),
+g AS (
+  SELECT item, min(price_from) FILTER (is_active AND price_from > 0) AS price_from, bool_or(is_active AND f) AS has_available_size, count(*) AS n_offers,
+    first(slug ORDER BY CASE WHEN price_from > 0 THEN price_from ELSE 1e300 END, ro, source_checked_at DESC NULLS LAST, slug) FILTER (is_active AND f) AS default_offer_slug
+  FROM o2 GROUP BY item HAVING bool_or(is_active)),
+gs AS (SELECT item, string_agg(label, ',' ORDER BY size_cm, label, wo, ro, offer_slug, sid) AS labels, count(*) AS n_sizes FROM ss GROUP BY 1),
+img AS (SELECT item, is_active, u, row_number() OVER (PARTITION BY item, is_active ORDER BY ro, slug, j) AS r FROM (
+  SELECT item, is_active, ro, slug, id, 1 AS j, image_url AS u FROM off UNION ALL SELECT item, is_active, ro, slug, id, 2, gallery2 FROM off)),
+med AS (SELECT item, is_active, string_agg(u, ',' ORDER BY r) AS media FROM (SELECT item, is_active, u, min(r) AS r FROM img GROUP BY 1, 2, 3) GROUP BY 1, 2),
+h AS (
+  SELECT id AS item, id AS family_id, slug, brand, model_name, season_label, riding_style, skill_level, flex, board_line, shape_type, camber_profile, data_status, nullif(trim(source_url), '') AS source_url, source_checked_at FROM fam
+  UNION ALL SELECT item, NULL, slug, brand, model_name, season_label, riding_style, skill_level, flex, board_line, shape_type, camber_profile, data_status, nullif(trim(source_url), ''), source_checked_at FROM off WHERE family_id IS NULL),
+items AS (
+  SELECT h.*, g.price_from, g.has_available_size, g.n_offers, g.default_offer_slug, coalesce(gs.labels, '') AS labels, coalesce(gs.n_sizes, 0) AS n_sizes, coalesce(m1.media, m2.media) AS media,
+    (SELECT count(*) FROM ss WHERE ss.item = h.item AND oa AND is_available) AS n_free,
+    (SELECT count(*) FROM ss WHERE ss.item = h.item AND oa) AS n_active
+  FROM h JOIN g USING (item) LEFT JOIN gs USING (item) LEFT JOIN med m1 ON m1.item = h.item AND m1.is_active LEFT JOIN med m2 ON m2.item = h.item AND NOT m2.is_active),
+wid AS (SELECT DISTINCT s.item, s.width_type, s.wo FROM ss s JOIN items i USING (item) WHERE s.oa AND (s.is_available OR i.n_free = 0))"""
+
+ITEMS = f"WITH {ITEMS_CTE} SELECT slug, family_id, brand, season_label, riding_style, CAST(flex AS DOUBLE) AS flex, source_url, CAST(price_from AS DOUBLE) AS price_from, has_available_size, n_offers, n_sizes, default_offer_slug, labels, media FROM items"
+
+PRESENTATION = f"""WITH {ITEMS_CTE}
+SELECT slug, coalesce((SELECT string_agg(width_type, ',' ORDER BY wo) FROM wid w WHERE w.item = i.item), '') AS widths,
+  CASE (SELECT count(*) FROM wid w WHERE w.item = i.item) WHEN 0 THEN 'ширина уточняется' WHEN 1 THEN (SELECT min(CASE width_type WHEN 'regular' THEN 'обычная ширина' ELSE width_type END) FROM wid w WHERE w.item = i.item)
+    ELSE (SELECT string_agg(CASE width_type WHEN 'regular' THEN 'обычная' ELSE width_type END, ' + ' ORDER BY wo) FROM wid w WHERE w.item = i.item) END AS width_summary,
+  CASE WHEN n_free = 0 THEN 'Сейчас нет доступных размеров' ELSE 'В наличии ' || n_free || ' ' || CASE WHEN n_free % 10 = 1 AND n_free % 100 <> 11 THEN 'размер' WHEN n_free % 10 BETWEEN 2 AND 4 AND n_free % 100 NOT BETWEEN 12 AND 14 THEN 'размера' ELSE 'размеров' END END AS headline,
+  CASE WHEN n_free = 0 THEN 'Доступные размеры в магазине сейчас не подтверждены.' ELSE 'Сейчас: ' || (SELECT string_agg(label, ', ' ORDER BY r) FROM (SELECT label, row_number() OVER (ORDER BY size_cm, label, wo, ro, offer_slug, sid) AS r FROM ss WHERE ss.item = i.item AND oa AND is_available) WHERE r <= 5) || CASE WHEN n_free > 5 THEN ' + ещё ' || (n_free - 5) ELSE '' END || '.' END AS preview
+FROM items i"""
+
+FACETS = f"""WITH {ITEMS_CTE}
+SELECT slug, row_number() OVER (ORDER BY CAST(data_status = 'verified' AS INT) DESC, n_free DESC, coalesce(source_checked_at - DATE '1970-01-01', 0) DESC, price_from NULLS LAST, brand, model_name, slug) AS place
+FROM items i WHERE riding_style IN ('park', 'all-mountain') AND board_line IN ('men', 'unisex') AND EXISTS (SELECT 1 FROM wid w WHERE w.item = i.item AND w.width_type IN ('wide', 'mid-wide'))
+  AND contains(lower(concat_ws(' ', brand, model_name, replace(slug, '-', ' '))), 'brand#1')"""
+
+BY_PRICE = f"""WITH {ITEMS_CTE}
+SELECT slug, row_number() OVER (ORDER BY price_from DESC NULLS LAST, brand, model_name, slug) AS place FROM items"""
+
+CHECKS = f"""WITH {PROD}, p AS (SELECT *, id IN (SELECT product_id FROM siz) AS hs, id IN (SELECT product_id FROM siz WHERE is_available) AS hf FROM prod WHERE is_active),
+c(name, severity, failures) AS (
+  SELECT 'without_sizes', 'error', count(*) FROM p WHERE NOT hs UNION ALL SELECT 'without_available_size', 'warning', count(*) FROM p WHERE NOT hf
+  UNION ALL SELECT 'price_not_positive', 'error', count(*) FROM p WHERE price_from <= 0 UNION ALL SELECT 'missing_image', 'warning', count(*) FROM p WHERE trim(coalesce(image_url, '')) = ''
+  UNION ALL SELECT 'placeholder_image', 'warning', count(*) FROM p WHERE image_url LIKE '/boards/%' UNION ALL SELECT 'not_a_store_link', 'warning', count(*) FROM p WHERE affiliate_url NOT LIKE 'https://trial-sport.ru/goods/%'
+  UNION ALL SELECT 'untrusted_flex', 'warning', count(*) FROM p WHERE NOT coalesce(data_status = 'verified' AND trim(coalesce(source_url, '')) <> '' AND source_url NOT LIKE 'https://trial-sport.ru/%', FALSE)
+  UNION ALL SELECT 'incomplete_specs', 'warning', count(*) FROM p WHERE shape_type IS NULL OR camber_profile IS NULL
+  UNION ALL SELECT 'short_adult_size', 'error', count(*) FROM siz WHERE size_cm < 100 AND waist_width_mm >= 235
+  UNION ALL SELECT 'implausible_waist', 'error', count(*) FROM siz s JOIN p ON p.id = s.product_id WHERE waist_width_mm <= 0 OR waist_width_mm >= 400 OR (size_cm >= 140 AND (waist_width_mm < 200 OR waist_width_mm > 340)) OR (size_cm >= 100 AND size_cm < 140 AND (waist_width_mm < 170 OR waist_width_mm > 340)) OR (size_cm < 100 AND (waist_width_mm < 120 OR waist_width_mm > 240)))
+SELECT *, failures = 0 AS passed FROM c"""
+
+REPAIR = f"""WITH {PROD}, w AS (SELECT id, size_cm, CASE CAST(split_part(id, '-', 2) AS INTEGER) % 4 WHEN 0 THEN waist_width_mm * 10 + 5 WHEN 1 THEN waist_width_mm // 10 WHEN 2 THEN waist_width_mm - 100 ELSE waist_width_mm END AS o FROM siz),
+n AS (SELECT *, CAST(CASE WHEN o BETWEEN 1000 AND 4000 THEN floor(o / 10 + 0.5) WHEN o > 0 AND o < 100 THEN o * 10 WHEN size_cm >= 140 AND o BETWEEN 100 AND 199 THEN o + 100 ELSE o END AS INTEGER) AS w2 FROM w)
+SELECT id, size_cm, o AS old_waist_width_mm, w2 AS waist_width_mm, CASE WHEN w2 >= 264 THEN 'wide' WHEN w2 >= 257 THEN 'mid-wide' ELSE 'regular' END AS width_type FROM n WHERE o <> w2"""
+
+SOURCES = f"WITH {PROD} SELECT coalesce(nullif(trim(source_name), ''), 'unknown') AS source_name, count(*) AS total_products, count(*) FILTER (is_active) AS active_products FROM prod GROUP BY 1"
+
+BAD_FAMILIES = f"WITH {PROD} SELECT family_id, count(*) AS members, count(*) FILTER (member_role = 'base') AS bases, count(*) FILTER (member_role = 'wide') AS wides FROM prod WHERE family_id IS NOT NULL AND is_active GROUP BY 1 HAVING count(*) <> 2 OR count(*) FILTER (member_role = 'base') <> 1 OR count(*) FILTER (member_role = 'wide') <> 1"
+
+FAILING = f"""WITH {PROD}, p AS (SELECT * FROM prod WHERE is_active), f AS (
+  SELECT 'without_sizes' AS name, slug, brand, model_name FROM p WHERE id NOT IN (SELECT product_id FROM siz) UNION ALL SELECT 'without_available_size', slug, brand, model_name FROM p WHERE id NOT IN (SELECT product_id FROM siz WHERE is_available)
+  UNION ALL SELECT 'price_not_positive', slug, brand, model_name FROM p WHERE price_from <= 0 UNION ALL SELECT 'not_a_store_link', slug, brand, model_name FROM p WHERE affiliate_url NOT LIKE 'https://trial-sport.ru/goods/%'
+  UNION ALL SELECT 'untrusted_flex', slug, brand, model_name FROM p WHERE NOT coalesce(data_status = 'verified' AND trim(coalesce(source_url, '')) <> '' AND source_url NOT LIKE 'https://trial-sport.ru/%', FALSE) UNION ALL SELECT 'incomplete_specs', slug, brand, model_name FROM p WHERE shape_type IS NULL OR camber_profile IS NULL)
+SELECT name, slug, brand, model_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY brand, model_name, slug) AS r FROM f) WHERE r <= 50"""
+
+RELATED = f"""WITH {ITEMS_CTE}, one AS (SELECT riding_style AS s, board_line AS l FROM items WHERE slug = 'p-4')
+SELECT slug, row_number() OVER (ORDER BY coalesce(riding_style = s, FALSE) DESC, coalesce(board_line = l, FALSE) DESC, brand, model_name, slug) AS place FROM items, one
+WHERE slug <> 'p-4' AND (coalesce(riding_style = s, FALSE) OR coalesce(board_line = l, FALSE)) ORDER BY place LIMIT 3"""
+
+ROUTES = f"""WITH {ITEMS_CTE}, a AS (SELECT 'old-' || slug AS alias, slug FROM prod WHERE family_id IS NULL),
+req AS (SELECT slug FROM prod UNION ALL SELECT alias FROM a UNION ALL SELECT 'nowhere-' || id FROM fam)
+SELECT r.slug, coalesce(x.slug, y.slug, z.slug) AS canonical, CASE WHEN x.slug IS NOT NULL THEN 'exact' WHEN y.slug IS NOT NULL THEN 'alias' WHEN z.slug IS NOT NULL THEN 'offer' ELSE 'none' END AS kind
+FROM req r LEFT JOIN items x ON x.slug = r.slug LEFT JOIN a ON a.alias = r.slug LEFT JOIN items y ON y.slug = a.slug LEFT JOIN off o ON o.slug = r.slug LEFT JOIN items z ON z.item = o.item"""
+
+ORACLE |= {
+    "catalogue_items": ITEMS, "catalogue_presentation": PRESENTATION, "catalogue_browse": FACETS, "catalogue_by_price": BY_PRICE, "catalogue_related": RELATED, "catalogue_routes": ROUTES,
+    "quality_audit": CHECKS, "waist_repair": REPAIR, "source_counts": SOURCES, "invalid_families": BAD_FAMILIES, "failing_products": FAILING,
+}
