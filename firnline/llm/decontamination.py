@@ -102,7 +102,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
         F.when(F.col("fingerprint").isNull(), 1).otherwise(0).alias("own"),
         F.array_distinct(F.flatten(F.transform(occurrences, lambda f: F.flatten(F.transform(f["at"], lambda s: F.sequence(s, s + f["n"] - 1)))))).alias("hit"),
         F.array_distinct(F.flatten(F.transform(occurrences, lambda f: f["items"]))).alias("items"),
-    ).where((F.col("own") == 1) | (F.size("hit") > 0))
+    )
     # a document's own hits: no longer than the document
     per_doc = marked.groupBy("doc_id", "content", "n_words").agg(F.sum("own").alias("copies"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return per_doc.select(
