@@ -72,12 +72,12 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     base = docs.select("doc_id", content_key(F.col("text")).alias("content"), words_of(F.col("text")).alias("words"))
     hashed = base.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("gram", _grams(F.col("h"), k))
     selected = F.transform(F.slice(F.col("gram"), 1, F.greatest(F.size("gram") - (k - 1), F.lit(0))), lambda x, i: _least(F.col("gram"), x, i, width))
-    short = [F.array_distinct(F.transform(F.col("h"), lambda x, i, n=n: F.when(i + n <= F.size("h"), _gram(F.col("h"), x, i, n)))) for n in sorted(lengths) if n < span]
+    short = [F.array_distinct(_grams(F.col("h"), n)) for n in sorted(lengths) if n < span]
     rows = hashed.select(
         "doc_id",
         "content",
         "words",
-        F.array_append(F.array_distinct(F.concat(selected, *short)), F.lit(None).cast("long")).alias("selected"),
+        F.array_append(F.array_compact(F.array_distinct(F.concat(selected, *short))), F.lit(None).cast("long")).alias("selected"),
     )
     # one row per selected hash, and one with a null hash that stands for the document itself
     grouped = windows.groupBy("fingerprint").agg(F.collect_list(F.struct("window", "n", "items")).alias("found"))
@@ -120,5 +120,5 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark passage occurs, columns as they were."""
     bad = mark_contamination(docs, benchmark, keyed=True).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct()
-    keyed = docs.withColumn("_content", content_key(F.col("text")))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select("doc_id", content_key(F.col("text")).alias("_content"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")), "left_anti").select("_row.*")

@@ -105,7 +105,7 @@ def mixture(docs: DataFrame, **limits) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture reads it, with the columns of ``docs``."""
-    keyed = docs.withColumn("_content", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_content"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     times = mix_sources(units_of(docs), **limits).groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.count(F.lit(1)).alias("_times"))
     on = (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_content") == F.col("_c")) & (F.col("_source") == F.col("_s"))
-    return keyed.join(times, on).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(times, on).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_again")).select("_row.*")

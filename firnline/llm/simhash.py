@@ -128,6 +128,6 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of each component, one row each (the least, of repeated doc_ids)."""
     groups = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = packed.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")

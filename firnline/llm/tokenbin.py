@@ -99,9 +99,9 @@ class Reader:
         self.source, self.unpack = source, zstandard.ZstdDecompressor()
         source.seek(size - TAIL.size)
         frames, docs, self.nulls, crc, mark = TAIL.unpack(source.read(TAIL.size))
-        if mark != MARK:
-            raise ValueError("not a token file")
         length = frames * FRAME.itemsize + 12 * docs
+        if mark != MARK or length > size - TAIL.size:
+            raise ValueError("not a whole token file")
         source.seek(size - TAIL.size - length)
         table = source.read(length)
         if zlib.crc32(table + HEAD.pack(frames, docs, self.nulls)) != crc:
