@@ -7,13 +7,16 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.functions import links
 from firnline.functions import text as tx
 from firnline.functions.jsons import merchant
+from firnline.operators import decisions, digest, golden, identity, ledger
+from firnline.operators import events as ev
 from firnline.operators import families as fam
-from firnline.operators import golden, identity, ledger
+from firnline.operators import recommend as rec
 from firnline.operators.recommend import with_profile
 from firnline.plans import bindings as b
-from firnline.sources import merge
+from firnline.sources import feeds, merge
 
 NOW = datetime(2024, 1, 20, 12, tzinfo=timezone.utc)
 
@@ -187,3 +190,47 @@ QUERIES = [
     ledger_claims, ledger_outcomes, ledger_due, ledger_retained, sweep_status, lead_upsert, size_replacement, guarded_update, latest_orders, golden_cases, golden_invariants,
     page_hosts, page_text, name_slugs, season_labels, feed_numbers,
 ]
+
+
+def decision_guide(s: SparkSession, d: str) -> DataFrame:
+    riders, p, z = b.riders(s, d), b.products(s, d), b.sizes(s, d)
+    found = rec.recommend(riders, p, z).where("list = 'recommended'")
+    size = z.select("product_id", F.col("size_cm").alias("_c"), F.coalesce("size_label", F.lit("")).alias("_l"), "waist_width_mm", "width_type")
+    more = p.select(F.col("id").alias("product_id"), F.col("slug").alias("_s"), "riding_style").join(size, "product_id")
+    width = with_profile(riders).select("rider_id", F.col("width_type").alias("rider_width"))
+    full = found.join(more, (F.col("slug") == F.col("_s")) & (F.col("size_cm") == F.col("_c")) & (F.col("size_label") == F.col("_l"))).join(width, "rider_id")
+    return decisions.decision_guide(full)
+
+
+def report_warnings(s: SparkSession, d: str) -> DataFrame:
+    e = b.events(s, d)
+    return digest.warnings(ev.history(e, b.NOW), ev.funnel(e, b.NOW), ev.commerce(e, b.NOW), ev.top_items(e, b.NOW))
+
+
+def store_links(s: SparkSession, d: str) -> DataFrame:
+    p = b.products(s, d)
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://www.traektoria.ru/product/"), k.cast("string"), F.lit("_x"))).otherwise(F.col("affiliate_url"))
+    to = links.destination(url, k % 7 == 0)
+    href = links.redirect_href(F.col("slug"), source=F.when(k % 2 == 0, "catalog"), placement=F.when(k % 5 == 0, "top card"), size_label=F.concat((k % 20 + 140).cast("string"), F.lit("W")))
+    return p.select("slug", to["mode"].alias("mode"), to["merchant"].alias("merchant"), links.store_url(url, F.col("brand"), F.lit("Pro 2024 snowboard x&y")).alias("url"), href.alias("href"), links.redirect_slug(href).alias("back"))
+
+
+def size_tables(s: SparkSession, d: str) -> DataFrame:
+    """Tables of both orientations made from product keys."""
+    k = F.col("p_partkey")
+    cell = lambda *xs: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in xs], F.lit("</tr>"))
+    n = lambda x: x.cast("string")
+    a, c = n(F.lit(140) + k % 20), n(F.lit(150) + k % 20)
+    wide, narrow = n(F.lit(24) + k % 3), F.concat(n(F.lit(250) + k % 30), F.lit(" мм"))
+    by_row = F.concat(cell(F.lit("Размер, см"), F.lit("Ширина талии"), F.lit("Вес райдера")), cell(a, wide, F.lit("50-70")), cell(c, narrow, F.lit("65+")), cell(F.lit("?"), F.lit("1"), F.lit("")))
+    by_column = F.concat(cell(F.lit(""), a, c), cell(F.lit("<b>ширина&nbsp;талии</b>"), wide, narrow))
+    pages = b.table(s, d, "part").select("p_partkey", F.concat(F.lit("<table>"), F.when(k % 2 == 0, by_row).otherwise(by_column), F.lit("</table>")).alias("html"))
+    return feeds.size_rows(pages, "p_partkey", "html").withColumn("recommended_weight_max", F.col("recommended_weight_max").cast("double"))
+
+
+def table_checksum(s: SparkSession, d: str) -> DataFrame:
+    return digest.checksum(b.table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey").select("rows")
+
+
+QUERIES += [decision_guide, report_warnings, store_links, size_tables, table_checksum]

@@ -1,6 +1,7 @@
 """DuckDB SQL for family, identity, ledger, merge, golden and text queries."""
 
-from firnline.plans.oracle_catalog import PROD, RIDERS, _pick
+from firnline.plans.oracle_catalog import MATCHES, PROD, RIDERS, _pick
+from firnline.plans.oracle_events import CLICKS, FUNNEL, HISTORY
 
 NAMED = f"""{PROD},
 nm0 AS (SELECT *, CAST(substr(id, 4) AS BIGINT) AS k FROM prod),
@@ -112,3 +113,29 @@ ORACLE = {
     "ledger_claims": CLAIMS, "ledger_outcomes": OUTCOMES, "ledger_due": DUE, "ledger_retained": RETAINED, "sweep_status": SWEEP, "lead_upsert": LEADS, "size_replacement": CHILDREN, "guarded_update": GUARDED, "latest_orders": LATEST,
     "golden_cases": GOLDEN, "golden_invariants": INVARIANTS, "page_hosts": HOSTS, "page_text": PAGE_TEXT, "season_labels": SEASONS, "feed_numbers": NUMBERS, "name_slugs": SLUGS,
 }
+
+WARNINGS = f"""WITH h AS ({HISTORY}), f AS ({FUNNEL}), c AS (WITH {CLICKS} SELECT * FROM report), t AS (SELECT coalesce(sum(n), 0) AS exact FROM (WITH {CLICKS} SELECT count(*) AS n FROM c30 WHERE offer_slug IS NOT NULL GROUP BY offer_slug ORDER BY 1 DESC, offer_slug LIMIT 10)),
+x AS (SELECT max(event_count) FILTER (kind = 'total' AND window_key = 'last30Days') AS clicks, max(event_count) FILTER (kind = 'merchant' AND group_value IS NULL) AS unk FROM c)
+SELECT 'legacy_payload_string_encoding' AS code, 'info' AS severity FROM h WHERE legacy_payload_rows > 0 UNION ALL SELECT 'invalid_payload_rows', 'warning' FROM h WHERE invalid_payload_rows > 0 UNION ALL SELECT 'insufficient_history', 'warning' FROM h WHERE history_days < 60
+UNION ALL SELECT 'quiz_completion_exceeds_starts', 'warning' WHERE EXISTS (SELECT 1 FROM f WHERE quiz_completed_sessions > quiz_start_sessions) UNION ALL SELECT 'result_to_store_exceeds_views', 'warning' WHERE EXISTS (SELECT 1 FROM f WHERE result_to_store_sessions > result_viewed_sessions)
+UNION ALL SELECT 'incomplete_exact_offer_provenance', 'info' FROM x, t WHERE clicks > 0 AND exact < clicks UNION ALL SELECT 'unknown_merchant_dominance', 'warning' FROM x WHERE unk / nullif(clicks, 0) >= 0.5"""
+
+LINKS = f"""WITH {PROD}, l AS (SELECT *, CAST(substr(id, 4) AS BIGINT) AS k FROM prod)
+SELECT slug, CASE WHEN k % 7 = 0 THEN 'saved' WHEN k % 3 = 0 THEN 'direct' ELSE 'fallback-search' END AS mode, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN 'Траектория' ELSE 'Trial Sport' END AS merchant,
+  CASE WHEN k % 3 = 0 THEN 'https://www.traektoria.ru/product/' || k || '_x' ELSE 'https://trial-sport.ru/search/?q=' || replace(replace(brand, '#', '%23'), ' ', '+') || '+Pro+x%26y' END AS url,
+  '/go/' || slug || '?' || CASE WHEN k % 2 = 0 THEN 'from=catalog&' ELSE '' END || CASE WHEN k % 5 = 0 THEN 'placement=top+card&' ELSE '' END || 'sizeLabel=' || (k % 20 + 140) || 'W' AS href, slug AS back FROM l"""
+
+TABLES = """WITH t AS (SELECT p_partkey, p_partkey AS k, CASE p_partkey % 2 WHEN 0 THEN 'row' ELSE 'column' END AS orientation FROM part),
+s AS (SELECT p_partkey, orientation, CAST(140 + k % 20 AS VARCHAR) AS size_label, CAST(140 + k % 20 AS DOUBLE) AS size_cm, CAST((24 + k % 3) * 10 AS INTEGER) AS w, CASE k % 2 WHEN 0 THEN 50 ELSE 0 END AS lo, CASE k % 2 WHEN 0 THEN 70 END AS hi FROM t
+  UNION ALL SELECT p_partkey, orientation, CAST(150 + k % 20 AS VARCHAR), 150 + k % 20, CAST(250 + k % 30 AS INTEGER), CASE k % 2 WHEN 0 THEN 65 ELSE 0 END, NULL FROM t)
+SELECT p_partkey, orientation, size_label, size_cm, w AS waist_width_mm, CAST(lo AS INTEGER) AS recommended_weight_min, CAST(hi AS DOUBLE) AS recommended_weight_max, CASE WHEN w >= 264 THEN 'wide' WHEN w >= 257 THEN 'mid-wide' ELSE 'regular' END AS width_type FROM s"""
+
+GUIDE = f"""WITH {PROD}, {RIDERS}, f AS (SELECT * FROM ({MATCHES}) WHERE list = 'recommended'),
+m AS (SELECT f.*, s.waist_width_mm AS w, s.width_type = r.width_type AS fits, p.riding_style = 'park' AS park FROM f JOIN prod p ON p.slug = f.slug JOIN siz s ON s.product_id = p.id AND s.size_cm = f.size_cm AND coalesce(s.size_label, '') = f.size_label JOIN rider r ON r.rider_id = f.rider_id),
+a AS (SELECT rider_id, first(slug ORDER BY CASE WHEN role IN ('best-overall', 'stable') THEN 0 ELSE 1 END, CASE WHEN role IN ('best-overall', 'stable') THEN -score END, place) AS s1 FROM m GROUP BY 1),
+b AS (SELECT a.*, s2 FROM a LEFT JOIN (SELECT m.rider_id, first(slug ORDER BY CASE WHEN role = 'width-safe' OR fits THEN 0 ELSE 1 END, CASE WHEN role = 'width-safe' OR fits THEN -w END, place) AS s2 FROM m JOIN a ON a.rider_id = m.rider_id AND a.s1 <> m.slug GROUP BY 1) USING (rider_id)),
+c AS (SELECT b.*, s3 FROM b LEFT JOIN (SELECT m.rider_id, first(slug ORDER BY CASE WHEN role = 'playful' OR park THEN 0 ELSE 1 END, CASE WHEN role = 'playful' OR park THEN m.size_cm END, place) AS s3 FROM m JOIN b ON b.rider_id = m.rider_id AND b.s1 <> m.slug AND b.s2 IS DISTINCT FROM m.slug GROUP BY 1) USING (rider_id)),
+top AS (SELECT rider_id, slug AS best FROM m WHERE place = 1)
+SELECT rider_id, choice, slug FROM (SELECT rider_id, 'steady-choice' AS choice, s1 AS slug FROM c UNION ALL SELECT c.rider_id, 'width-choice', coalesce(s2, best) FROM c JOIN top USING (rider_id) UNION ALL SELECT c.rider_id, 'playful-choice', coalesce(s3, best) FROM c JOIN top USING (rider_id))"""
+
+ORACLE |= {"report_warnings": WARNINGS, "store_links": LINKS, "size_tables": TABLES, "decision_guide": GUIDE, "table_checksum": "SELECT count(*) AS rows FROM supplier"}
