@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
-        _fallback[key] = "file://" + tempfile.mkdtemp(prefix="firnline-")
+        folder = tempfile.mkdtemp(prefix="firnline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[key] = f"file://{folder}"
     return _fallback[key]
 
 

@@ -8,11 +8,12 @@ a stretch of start positions with one anchor.
 1. Runs are bucketed by the hash of the q-gram at their anchor. Buckets of one run hold nothing repeated.
 2. In the rest, runs are refined by the hash of all bytes their strings cover. Classes of two or more runs are
    wholly repeated.
-3. Runs that stay alone in their class though their bucket has others (the ends of shared passages) are split
-   into segments of ``SEGMENT`` start positions at fixed distances from the anchor. A segment whose common core is
-   found once holds nothing repeated.
-4. The remaining segments are refined to single start positions, each known by its bucket and the hash of its
-   ``LENGTH`` bytes. Each class sends one representative with the size of its class.
+3. Where a run stays alone in its class though its bucket has others (the ends of shared passages), each class
+   of the bucket sends one run, with the size of the class, which is split into segments of ``SEGMENT`` start
+   positions at fixed distances from the anchor. Segments equal in all their bytes are wholly repeated; a segment
+   whose common core is found once holds nothing repeated.
+4. The segments between are refined to single start positions, each known by its bucket and the hash of its
+   ``LENGTH`` bytes, again one for each class.
 
 Every step is a count by key, which Spark adds up before shuffling, and joins on those keys; no bucket is ever
 collected.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from firnline.llm.cutting import cut_spans
 from firnline.llm.storage import Scratch
-from firnline.llm.textblocks import blocks, prefix_hashes, span_hashes
+from firnline.llm.textblocks import blocks, prefix_hashes, span_hashes, whole_bytes
 
 LENGTH, GRAM, SEGMENT = 200, 32, 16
 WIDTH = LENGTH - GRAM + 1
@@ -77,44 +78,87 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, a int, b int, m long, key long")
 
 
-def segments_of(data: np.ndarray, a: int, b: int, m: int, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> list[tuple]:
-    """segment number, core hash, span hash, first start and the hash of each string, for each segment of a run."""
-    end = min(b + length, len(data))
-    prefix = prefix_hashes(data[a:end])
-    at = np.arange(b - a, min(b - a + length - gram + 1, end - a - gram + 1))
-    anchor = int(at[np.flatnonzero(span_hashes(prefix, at, at + gram) == np.uint64(m))[0]])
-    starts = np.arange(b - a + 1)
-    own = span_hashes(prefix, starts, starts + length)
-    numbers = (anchor - starts) // segment
-    cuts = np.flatnonzero(np.diff(numbers)) + 1
-    out = []
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True):
-        k = int(numbers[lo])
-        core = span_hashes(prefix, np.array([anchor - k * segment]), np.array([anchor - (k + 1) * segment + 1 + length]))[0]
-        span = span_hashes(prefix, np.array([lo]), np.array([hi - 1 + length]))[0] ^ np.uint64(anchor - lo)
-        out.append((k, core, span, a + lo, own[lo:hi]))
-    return out
-
-
-def _segments(joined: DataFrame, length: int, gram: int, segment: int) -> DataFrame:
+def segments_of(data: np.ndarray, offsets: np.ndarray, m: np.ndarray, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> dict[str, np.ndarray]:
+    """row, seg, core, span, lo, hi of each segment of runs, given the bytes that a run's strings cover.
+
+    Start positions lo up to hi are counted in the run. The core is what all strings of the full segment share; the
+    span hash tells the segment's bytes and where in the segment the run begins and ends.
+    """
+    sizes = np.diff(offsets)
+    counts = sizes - length + 1
+    prefix = prefix_hashes(data)
+    at = np.arange(len(data) - gram + 1)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+    rel = at - offsets[row]
+    found = np.flatnonzero((rel >= counts[row] - 1) & (rel + gram <= sizes[row]))
+    found = found[span_hashes(prefix, at[found], at[found] + gram) == m[row[found]]]
+    rows, first = np.unique(row[found], return_index=True)
+    anchor = rel[found[first]]  # one for each row: every run has its anchor in its bytes
+    assert len(rows) == len(sizes), "a run lacks its anchor"
+    owner = np.repeat(rows, counts)
+    s = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    number = (anchor[owner] - s) // segment
+    new = np.append(True, (owner[1:] != owner[:-1]) | (number[1:] != number[:-1]))
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(owner)) - 1
+    r, lo, hi, k = owner[heads], s[heads], s[tails] + 1, number[heads]
+    base = offsets[r]
+    core = span_hashes(prefix, base + anchor[r] - k * segment, base + anchor[r] - (k + 1) * segment + 1 + length)
+    span = span_hashes(prefix, base + lo, base + hi - 1 + length) ^ (anchor[r] - lo).astype(np.uint64)
+    return {"row": r, "seg": k, "core": core, "span": span, "lo": lo, "hi": hi}
+
+
+def _contexts(joined: DataFrame, length: int) -> DataFrame:
+    """doc_id, content, a, m, n, bytes of each run in the list rs of its document."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = whole_bytes(batch.column(2))
+            lists = batch.column(3)
+            m, n, a, b = (x.to_numpy() for x in lists.values.flatten())
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            texts = [data[x:y].tobytes() for x, y in zip((offsets[rows] + a).tolist(), (offsets[rows] + b + length).tolist(), strict=True)]
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a), pa.array(m), pa.array(n), pa.array(texts, pa.binary())], ["doc_id", "content", "a", "m", "n", "bytes"])
+
+    return joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, content long, a int, m long, n long, bytes binary")
+
+
+def _segments(contexts: DataFrame, length: int, gram: int, segment: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, contents, texts, lists = (batch.column(i) for i in range(4))
-            out: dict[str, list] = {c: [] for c in ("row", "m", "n", "seg", "core", "span", "a", "hashes")}
-            for i in range(batch.num_rows):
-                data = np.frombuffer(texts[i].as_buffer() or b"", np.uint8)
-                for r in lists[i].as_py():
-                    for k, core, span, first, hashes in segments_of(data, r["a"], r["b"], r["m"] & 0xFFFFFFFFFFFFFFFF, length, gram, segment):
-                        for c, v in zip(out, (i, r["m"], r["n"], k, core, span, first, hashes), strict=True):
-                            out[c].append(v)
-            rows, none = pa.array(out["row"], pa.int64()), np.zeros(0, np.uint64)
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in out["hashes"]])]).astype(np.int32)
-            flat = np.concatenate([none, *out["hashes"]]).view(np.int64)
-            long = lambda c: pa.array(np.array(out[c], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.take(rows), contents.take(rows), pa.array(out["m"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["seg"], pa.int32()), long("core"), long("span"), pa.array(out["a"], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["doc_id", "content", "m", "n", "seg", "core", "span", "a", "hashes"])
-
-    kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, content long, m long, n long, seg int, core long, span long, a int, hashes array<long>")
+            for first, end, data, offsets in blocks(batch.column(5)):
+                m = batch.column(3).slice(first, end - first).to_numpy().view(np.uint64)
+                x = segments_of(data, offsets, m, length, gram, segment)
+                at = pa.array(x["row"] + first)
+                same = [batch.column(i).take(at) for i in (0, 1, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*same, *[pa.array(x[c].astype(np.int32)) for c in ("seg", "lo", "hi")], *[pa.array(x[c].view(np.int64)) for c in ("core", "span")]], ["doc_id", "content", "a", "m", "n", "seg", "lo", "hi", "core", "span"])
+
+    return contexts.mapInArrow(run, f"doc_id {contexts.schema['doc_id'].dataType.simpleString()}, content long, a int, m long, n long, seg int, lo int, hi int, core long, span long")
+
+
+def _strings(joined: DataFrame, length: int) -> DataFrame:
+    """doc_id, content, a, m, n, h of each start position of the segments in the list segs of a run."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = whole_bytes(batch.column(4))
+            lists = batch.column(5)
+            lo, hi, n = (x.to_numpy().astype(np.int64) for x in lists.values.flatten())
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            each = hi - lo
+            owner = np.repeat(rows, each)
+            s = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(lo, each)
+            h = span_hashes(prefix_hashes(data[: offsets[-1]]), offsets[owner] + s, offsets[owner] + s + length)
+            at = pa.array(owner)
+            a = batch.column(2).take(at).to_numpy() + s
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a.astype(np.int32)), batch.column(3).take(at), pa.array(np.repeat(n, each)), pa.array(h.view(np.int64))], ["doc_id", "content", "a", "m", "n", "h"])
+
+    return joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, content long, a int, m long, n long, h long")
+
+
+def _same(doc, content):
+    return F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("content") == F.col(content))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
@@ -123,25 +167,33 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     ``docs`` has doc_id, content (a long that tells the texts of one doc_id apart) and text.
     """
     count = F.count(F.lit(1)).alias("n")
+    found = lambda df, b: df.select("doc_id", "content", "a", (b + F.lit(length)).alias("b"))
     runs = scratch.put(_runs(docs, length, gram), "runs")
     shared = scratch.put(runs.join(runs.groupBy("m").agg(count).where("n > 1").select("m"), "m"), "shared")
     scratch.drop("runs")
     classes = scratch.put(shared.groupBy("m", "key").agg(count, F.min(F.struct("doc_id", "content", "a", "b")).alias("rep")), "classes")
-    whole = shared.join(classes.where("n > 1").select("m", "key"), ["m", "key"]).select("doc_id", "content", "a", (F.col("b") + F.lit(length)).alias("b"))
+    whole = scratch.put(found(shared.join(classes.where("n > 1").select("m", "key"), ["m", "key"]), F.col("b")), "whole")
+    scratch.drop("shared")
 
-    open_buckets = classes.groupBy("m").agg(F.count(F.lit(1)).alias("classes"), F.sum((F.col("n") == 1).cast("int")).alias("alone")).where("classes > 1 and alone > 0").select("m")
-    reps = classes.join(open_buckets, "m").select("rep.doc_id", "rep.content", F.struct("m", "n", "rep.a", "rep.b").alias("r"))
+    unsettled = classes.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("m")
+    reps = classes.join(unsettled, "m").select("rep.doc_id", "rep.content", F.struct("m", "n", "rep.a", "rep.b").alias("r"))
     by_doc = reps.groupBy(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.collect_list("r").alias("rs"))  # runs of one document
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c"))
-    segments = scratch.put(_segments(docs.join(by_doc, same).select("doc_id", "content", "text", "rs"), length, gram, segment), "segments")
-    cores = segments.groupBy("m", "seg", "core").agg(F.sum("n").alias("t")).where("t > 1").select("m", "seg", "core")
-    met = segments.join(cores, ["m", "seg", "core"])
-    starts = met.select("doc_id", "content", "m", "n", "a", F.posexplode_outer("hashes").alias("i", "h")).select("doc_id", "content", "m", "n", (F.col("a") + F.col("i")).alias("a"), "h")
-    starts = scratch.put(starts, "starts")
-    scratch.drop("segments")
-    twice = starts.groupBy("m", "h").agg(F.sum("n").alias("t")).where("t > 1").select("m", "h")
-    single = starts.where("n = 1").join(twice, ["m", "h"]).select("doc_id", "content", "a", (F.col("a") + F.lit(length)).alias("b"))
-    return whole.unionByName(single).groupBy("doc_id", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    contexts = scratch.put(_contexts(docs.join(by_doc, _same("_d", "_c")).select("doc_id", "content", "text", "rs"), length), "contexts")
+    segments = scratch.put(_segments(contexts, length, gram, segment), "segments")
+    place = F.struct("doc_id", "content", "a", "lo")
+    kinds = segments.groupBy("m", "seg", "core", "span").agg(F.sum("n").alias("t"), F.min(place).alias("rep"))
+    cores = kinds.groupBy("m", "seg", "core").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("least"))
+    tagged = kinds.where("t > 1").select("m", "seg", "core", "span")
+    inside = scratch.put(segments.where("n = 1").join(tagged, ["m", "seg", "core", "span"]).select("doc_id", "content", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi") - 1 + F.lit(length)).alias("b")), "inside")
+    probes = kinds.join(cores.where("c > 1 and least = 1").select("m", "seg", "core"), ["m", "seg", "core"]).select("t", "seg", "rep.*")
+    wanted = segments.select("doc_id", "content", "a", "lo", "hi").join(probes.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), F.col("a").alias("_a"), F.col("lo").alias("_l"), "t"), _same("_d", "_c") & (F.col("a") == F.col("_a")) & (F.col("lo") == F.col("_l")))
+    by_run = wanted.groupBy("_d", "_c", "_a").agg(F.collect_set(F.struct("lo", "hi", "t")).alias("segs"))  # a run has few segments
+    few = contexts.join(by_run, _same("_d", "_c") & (F.col("a") == F.col("_a"))).select("doc_id", "content", "a", "m", "bytes", "segs")
+    strings = scratch.put(_strings(few, length), "strings")
+    scratch.drop("segments", "contexts", "classes")
+    twice = strings.groupBy("m", "h").agg(F.sum("n").alias("t")).where("t > 1").select("m", "h")
+    single = found(strings.where("n = 1").join(twice, ["m", "h"]), F.col("a"))
+    return whole.unionByName(inside).unionByName(single).groupBy("doc_id", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> DataFrame:
