@@ -196,3 +196,47 @@ def resolve_slug(requests: DataFrame, catalogue: DataFrame, aliases: DataFrame,
     out = requests.join(exact, F.col("slug") == F.col("_x"), "left").join(named, F.col("slug") == F.col("_a"), "left").join(held, F.col("slug") == F.col("_o"), "left")
     kind = F.when(F.col("_x").isNotNull(), "exact").when(F.col("_as").isNotNull(), "alias").when(F.col("_os").isNotNull(), "offer").otherwise("none")
     return out.select("slug", F.coalesce("_x", "_as", "_os").alias("canonical"), kind.alias("kind"))
+
+
+#: Russian month names in the genitive.
+MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
+
+
+def long_date(text: Column) -> Column:
+    """A date as day, month name and year; any other text as it is."""
+    d = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim(text).try_cast("date"))
+    shown = F.concat_ws(" ", F.dayofmonth(d).cast("string"), F.element_at(F.lit(MONTHS), F.month(d)), F.year(d).cast("string"), F.lit("г."))
+    return F.when(d.isNotNull(), shown).otherwise(F.nullif(F.trim(text), F.lit("")))
+
+
+def product_issues(products: DataFrame) -> DataFrame:
+    """slug and issues (codes in order) of what keeps a product (with trust flags) from being ready."""
+    rules = [
+        ("not_verified", ~F.col("verified")),
+        ("no_source", ~F.col("has_source")),
+        ("no_shape", F.col("shape_type").isNull()),
+        ("no_camber", F.col("camber_profile").isNull()),
+        ("no_link", ~F.coalesce(F.length(F.trim("affiliate_url")) > 0, F.lit(False))),
+        ("placeholder_link", F.col("placeholder_link")),
+    ]
+    return products.select("slug", F.array_compact(F.array(*[F.when(when, F.lit(code)) for code, when in rules])).alias("issues"))
+
+
+def representative_width(sizes: DataFrame) -> DataFrame:
+    """product_id and width_type: the widest that any of its sizes has."""
+    return sizes.groupBy("product_id").agg(F.max_by("width_type", order_in(F.col("width_type"), WIDTHS)).alias("width_type"))
+
+
+def family_key(family_id: Column, product_id: Column) -> Column:
+    return F.when(F.length(F.trim(family_id)) > 0, F.concat(F.lit("family:"), family_id)).otherwise(F.concat(F.lit("product:"), product_id))
+
+
+def board_details(catalogue: DataFrame) -> DataFrame:
+    """slug, trust (verified, sourced or draft), flex shown only where it can be trusted, narrative offer, checked date."""
+    store = F.lower(F.try_parse_url("source_url", F.lit("HOST"))).isin("trial-sport.ru", "www.trial-sport.ru", "traektoria.ru", "www.traektoria.ru")
+    sourced = F.col("source_name").isNotNull() & F.col("source_url").isNotNull()
+    verified = F.col("data_status") == "verified"
+    trust = F.when(verified & sourced, "verified").when(sourced, "sourced").otherwise("draft")
+    flex = F.when(verified & sourced & ~F.coalesce(store, F.lit(False)), F.col("flex").cast("double"))
+    first = F.get(F.filter("offers", lambda o: o["is_active"]), F.lit(0))["slug"]
+    return catalogue.select("slug", trust.alias("trust"), flex.alias("flex"), F.coalesce("default_offer_slug", first).alias("narrative_offer"), long_date(F.col("source_checked_at").cast("string")).alias("checked"))

@@ -285,3 +285,17 @@ def recommend(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> DataF
     rows = kept.select(*inputs, F.when(F.col("chosen"), "recommended").otherwise("alternative").alias("list"), F.when(F.col("chosen"), F.col("place")).otherwise(F.col("place") - F.col("n")).cast("long").alias("place"), "m.slug", "m.size_cm", "m.size_label", F.col("m.score").cast("long").alias("score"), "m.role", "m.confidence").withColumnRenamed("rider_style", "riding_style")
     return riders.select("rider_id", *INPUTS).join(rows, INPUTS).drop(*INPUTS)
 
+
+
+def result_snapshots(matches: DataFrame) -> DataFrame:
+    """rider_id and snapshot: the recommended boards of a rider as JSON in order of place."""
+    one = F.struct("place", "slug", "size_cm", "size_label", "score", "role", "confidence")
+    nested = matches.where("list = 'recommended'").groupBy("rider_id").agg(F.array_sort(F.collect_list(one)).alias("boards"))
+    return nested.select("rider_id", F.to_json("boards").alias("snapshot"))
+
+
+def match_trust(matches: DataFrame, products: DataFrame) -> DataFrame:
+    """rider_id, boards, ready, verified and the newest check of a rider's recommended boards."""
+    p = with_trust(products).select(F.col("slug").alias("_s"), "ready", "verified", "source_checked_at")
+    j = matches.where("list = 'recommended'").join(p, F.col("slug") == F.col("_s"))
+    return j.groupBy("rider_id").agg(F.count(F.lit(1)).alias("boards"), F.count_if("ready").alias("ready"), F.count_if("verified").alias("verified"), F.max("source_checked_at").alias("last_checked"))

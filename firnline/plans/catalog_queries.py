@@ -86,3 +86,28 @@ def failing_products(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES += [catalogue_items, catalogue_presentation, catalogue_browse, catalogue_by_price, catalogue_related, catalogue_routes, quality_audit, waist_repair, source_counts, invalid_families, failing_products]
+
+
+def product_issues(s: SparkSession, d: str) -> DataFrame:
+    return cat.product_issues(rec.with_trust(b.products(s, d))).select("slug", F.array_join("issues", ",").alias("issues"))
+
+
+def representative_widths(s: SparkSession, d: str) -> DataFrame:
+    return cat.representative_width(b.sizes(s, d))
+
+
+def board_details(s: SparkSession, d: str) -> DataFrame:
+    return cat.board_details(_items(s, d))
+
+
+def match_trust(s: SparkSession, d: str) -> DataFrame:
+    return rec.match_trust(rec.recommend(b.riders(s, d), b.products(s, d), b.sizes(s, d)), b.products(s, d)).withColumn("last_checked", F.col("last_checked").cast("string"))
+
+
+def result_snapshots(s: SparkSession, d: str) -> DataFrame:
+    made = rec.result_snapshots(rec.recommend(b.riders(s, d), b.products(s, d), b.sizes(s, d)))
+    slugs = F.from_json("snapshot", "array<struct<place:long,slug:string,score:long>>")
+    return made.select("rider_id", F.array_join(F.transform(slugs, lambda x: F.concat_ws(":", x["place"].cast("string"), x["slug"], x["score"].cast("string"))), ",").alias("boards"))
+
+
+QUERIES += [product_issues, representative_widths, board_details, match_trust, result_snapshots]

@@ -216,3 +216,17 @@ ORACLE |= {
     "catalogue_items": ITEMS, "catalogue_presentation": PRESENTATION, "catalogue_browse": FACETS, "catalogue_by_price": BY_PRICE, "catalogue_related": RELATED, "catalogue_routes": ROUTES,
     "quality_audit": CHECKS, "waist_repair": REPAIR, "source_counts": SOURCES, "invalid_families": BAD_FAMILIES, "failing_products": FAILING,
 }
+
+ISSUES = f"""WITH {PROD}, {TRUST} SELECT slug, concat_ws(',', CASE WHEN NOT verified THEN 'not_verified' END, CASE WHEN NOT has_source THEN 'no_source' END, CASE WHEN shape_type IS NULL THEN 'no_shape' END, CASE WHEN camber_profile IS NULL THEN 'no_camber' END,
+  CASE WHEN NOT coalesce(length(trim(affiliate_url)) > 0, FALSE) THEN 'no_link' END, CASE WHEN placeholder_link THEN 'placeholder_link' END) AS issues FROM ready"""
+WIDEST = f"WITH {PROD} SELECT product_id, CASE max(CASE width_type WHEN 'wide' THEN 2 WHEN 'mid-wide' THEN 1 ELSE 0 END) WHEN 2 THEN 'wide' WHEN 1 THEN 'mid-wide' ELSE 'regular' END AS width_type FROM siz GROUP BY 1"
+DETAILS = f"""WITH {ITEMS_CTE}, x AS (SELECT i.*, (SELECT source_name FROM fam WHERE fam.id = i.item UNION ALL SELECT source_name FROM off WHERE off.item = i.item AND off.family_id IS NULL) AS source_name,
+  (SELECT slug FROM off WHERE off.item = i.item AND is_active ORDER BY ro, slug LIMIT 1) AS first_offer FROM items i)
+SELECT slug, CASE WHEN source_name IS NULL OR source_url IS NULL THEN 'draft' WHEN data_status = 'verified' THEN 'verified' ELSE 'sourced' END AS trust,
+  CASE WHEN data_status = 'verified' AND source_name IS NOT NULL AND source_url IS NOT NULL AND source_url NOT LIKE 'https://trial-sport.ru%' AND source_url NOT LIKE 'https://WWW.Traektoria.ru%' THEN CAST(flex AS DOUBLE) END AS flex, coalesce(default_offer_slug, first_offer) AS narrative_offer,
+  day(source_checked_at) || ' ' || ['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря'][month(source_checked_at)] || ' ' || year(source_checked_at) || ' г.' AS checked FROM x"""
+MATCH_TRUST = f"""WITH {PROD}, {TRUST}, f AS (SELECT * FROM ({MATCHES}) WHERE list = 'recommended')
+SELECT rider_id, count(*) AS boards, count(*) FILTER (ready) AS ready, count(*) FILTER (verified) AS verified, CAST(max(source_checked_at) AS VARCHAR) AS last_checked FROM f JOIN ready r ON r.slug = f.slug GROUP BY 1"""
+SNAPSHOTS = f"SELECT rider_id, string_agg(place || ':' || slug || ':' || score, ',' ORDER BY place) AS boards FROM ({MATCHES}) WHERE list = 'recommended' GROUP BY 1"
+
+ORACLE |= {"product_issues": ISSUES, "representative_widths": WIDEST, "board_details": DETAILS, "match_trust": MATCH_TRUST, "result_snapshots": SNAPSHOTS}
