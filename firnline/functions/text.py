@@ -20,6 +20,11 @@ def space(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s   -     　﻿]+", " "))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(space(x), F.lit(""))
 
@@ -73,30 +78,29 @@ FULL, MIXED, SHORT = (_bounded(p) for p in (r"(20\d{2})\s*[/-]\s*(20\d{2})", r"(
 WINTER, YEAR = f"(?i){EDGE_L}FW\\s*['’]?\\s*(\\d{{2}}|20\\d{{2}}){EDGE_R}", _bounded(r"(20\d{2})")
 
 
-def season_label(x: Column, winter: bool = False) -> Column:
-    """A season as first/last year or one year; rules in order of how much they say. ``winter`` makes a single year the end of a season."""
-    t, pair = space(x), lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
+def _season(t: Column, winter: bool) -> Column:
+    pair = lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
     full = F.when(t.rlike(FULL), pair(_found(t, FULL, 1), _found(t, FULL, 2)))
-    mixed_end = _year(_found(t, MIXED, 2))
-    mixed = F.when(mixed_end.isNotNull(), pair(_found(t, MIXED, 1), mixed_end))
-    a, b = _year(_found(t, SHORT, 1)), _year(_found(t, SHORT, 2))
-    short = F.when(b >= a, pair(a, b))
-    end = _year(_found(t, WINTER, 1))
-    fw = F.when(end.isNotNull(), pair(end - 1, end))
-    year = _found(t, YEAR, 1)
-    single = F.when(year.isNotNull(), pair(year.cast("int") - 1, year)) if winter else year
+    mixed = let(_year(_found(t, MIXED, 2)), lambda end: F.when(end.isNotNull(), pair(_found(t, MIXED, 1), end)))
+    short = let(F.struct(_year(_found(t, SHORT, 1)).alias("a"), _year(_found(t, SHORT, 2)).alias("b")), lambda y: F.when(y["b"] >= y["a"], pair(y["a"], y["b"])))
+    fw = let(_year(_found(t, WINTER, 1)), lambda end: F.when(end.isNotNull(), pair(end - 1, end)))
+    single = let(_found(t, YEAR, 1), lambda y: F.when(y.isNotNull(), pair(y.cast("int") - 1, y)) if winter else y)
     return F.coalesce(full, mixed, short, fw, single)
 
 
+def season_label(x: Column, winter: bool = False) -> Column:
+    """A season as first/last year or one year; rules in order of how much they say. ``winter`` makes a single year the end of a season."""
+    return let(space(x), lambda t: _season(t, winter))
+
+
 def season_identity(x: Column) -> Column:
-    t = blank_to_null(x)
     spaced = r"^(20\d{2})\s+(20\d{2})$"
-    return F.when(t.rlike(spaced), F.regexp_replace(t, spaced, "$1/$2")).otherwise(F.coalesce(season_label(t, winter=True), t))
+    return let(blank_to_null(x), lambda t: F.when(t.rlike(spaced), F.regexp_replace(t, spaced, "$1/$2")).otherwise(F.coalesce(_season(t, True), t)))
 
 
 def season_rank(x: Column) -> Column:
-    t, pattern = space(x), _bounded(r"(20\d{2})/(20\d{2})")
-    return F.when(t.rlike(pattern), _found(t, pattern, 2).cast("int") * 10000 + _found(t, pattern, 1).cast("int")).otherwise(_found(t, YEAR, 1).cast("int"))
+    pattern = _bounded(r"(20\d{2})/(20\d{2})")
+    return let(space(x), lambda t: F.when(t.rlike(pattern), _found(t, pattern, 2).cast("int") * 10000 + _found(t, pattern, 1).cast("int")).otherwise(_found(t, YEAR, 1).cast("int")))
 
 
 def whole_number(x: Column) -> Column:
@@ -127,9 +131,8 @@ def _has(t: Column, *words: str) -> Column:
 
 
 def flex_number(x: Column) -> Column:
-    n, t = decimal_number(x), F.lower(space(x))
-    words = F.when(_has(t, "мяг"), 3).when(_has(t, "сред"), 5).when(_has(t, "жест"), 8).otherwise(5)
-    return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), F.floor(n + 0.5)))).otherwise(words).cast("int")
+    named = let(F.lower(space(x)), lambda t: F.when(_has(t, "мяг"), 3).when(_has(t, "сред"), 5).when(_has(t, "жест"), 8).otherwise(5))
+    return let(decimal_number(x), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), F.floor(n + 0.5)))).otherwise(named)).cast("int")
 
 
 def board_line(x: Column) -> Column:
@@ -163,12 +166,16 @@ def skill_level(x: Column, flex: Column) -> Column:
 
 def weight_range(x: Column) -> Column:
     """Struct of low and high (null: open) from texts like 60+, 60-80 and 60."""
-    t, n = F.lower(space(x)), r"(\d+(?:[.,]\d+)?)"
+    n = r"(\d+(?:[.,]\d+)?)"
     plus, span = rf"{n}\s*[-–]?\s*{n}?\+", rf"{n}\s*[-–]\s*{n}"
-    whole = lambda p, g: F.floor(decimal_number(_found(t, p, g)) + 0.5).cast("int")
-    alone = F.floor(decimal_number(t) + 0.5).cast("int")
-    low = F.when(t.rlike(plus), whole(plus, 1)).when(t.rlike(span), whole(span, 1)).otherwise(F.coalesce(alone, F.lit(0)))
-    return F.struct(low.alias("low"), F.when(t.rlike(plus), whole(plus, 2)).when(t.rlike(span), whole(span, 2)).alias("high"))
+
+    def read(t: Column) -> Column:
+        whole = lambda p, g: F.floor(decimal_number(_found(t, p, g)) + 0.5).cast("int")
+        alone = F.floor(decimal_number(t) + 0.5).cast("int")
+        low = F.when(t.rlike(plus), whole(plus, 1)).when(t.rlike(span), whole(span, 1)).otherwise(F.coalesce(alone, F.lit(0)))
+        return F.struct(low.alias("low"), F.when(t.rlike(plus), whole(plus, 2)).when(t.rlike(span), whole(span, 2)).alias("high"))
+
+    return let(F.lower(space(x)), read)
 
 
 def size_cm(x: Column) -> Column:
@@ -194,13 +201,22 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
-def identity_text(x: Column) -> Column:
-    """Words of letters and digits of a name, lower-cased, with & and + spelt out."""
-    t = F.regexp_replace(F.lower(nfkc(space(x))), "[’']", "")
+def _identity(compatible: Column) -> Column:
+    t = F.regexp_replace(F.lower(compatible), "[’']", "")
     t = F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus "))
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
+def identity_text(x: Column) -> Column:
+    """Words of letters and digits of a name, lower-cased, with & and + spelt out."""
+    return _identity(nfkc(space(x)))
+
+
+def season_text(x: Column) -> Column:
+    """The identity of a season as words; null without one."""
+    return _identity(season_identity(nfkc(x)))
+
+
 def family_brand(x: Column) -> Column:
     return F.lower(nfkc(space(x)))
 
@@ -212,15 +228,21 @@ def family_model(x: Column) -> Column:
 
 
 def family_season(x: Column) -> Column:
-    t = blank_to_null(x)
-    pair = lambda p, a, b: F.when(t.rlike(p), F.concat(F.lit(a), _found(t, p, 1), F.lit("/"), F.lit(b), _found(t, p, 2)))
-    return F.coalesce(pair(FULL, "", ""), pair(MIXED, "", "20"), pair(SHORT, "20", "20"), F.lower(t))
+    def read(t: Column) -> Column:
+        pair = lambda p, a, b: F.when(t.rlike(p), F.concat(F.lit(a), _found(t, p, 1), F.lit("/"), F.lit(b), _found(t, p, 2)))
+        return F.coalesce(pair(FULL, "", ""), pair(MIXED, "", "20"), pair(SHORT, "20", "20"), F.lower(t))
+
+    return let(blank_to_null(x), read)
 
 
 def width_marker(model: Column) -> Column:
     """Struct of kind and base (the name without its width marker) of a normalised model name."""
     rules = [("ambiguous-mid-wide", r"^(.+?)\s+mid\s+wide(?:\s+snowboard)?$"), ("explicit-wide", r"^(.+?)\s+wide(?:\s+snowboard)?$"), ("ambiguous-single-w", r"^(.+?)\s+w$"), ("ambiguous-size-w", r"^(.+?)\s+\d{2,3}(?:\s+\d+)?w$")]
-    kind, base = F.lit("base"), model
-    for name, pattern in reversed(rules):
-        kind, base = F.when(model.rlike(pattern), name).otherwise(kind), F.when(model.rlike(pattern), F.regexp_extract(model, pattern, 1)).otherwise(base)
-    return F.struct(kind.alias("kind"), base.alias("base"))
+
+    def read(t: Column) -> Column:
+        kind, base = F.lit("base"), t
+        for name, pattern in reversed(rules):
+            kind, base = F.when(t.rlike(pattern), name).otherwise(kind), F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(base)
+        return F.struct(kind.alias("kind"), base.alias("base"))
+
+    return let(model, read)

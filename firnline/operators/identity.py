@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firnline.functions.text import blank_to_null, identity_text, season_identity, season_rank, slug
+from firnline.functions.text import blank_to_null, identity_text, let, season_rank, season_text, slug
 
 LINES = ["men", "women", "unisex"]
 #: Hosts of the managed stores and where their product ids stand in a path.
@@ -18,12 +18,16 @@ EDGE_L, EDGE_R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 def store_identity(url: Column) -> Column:
     """Struct of store_code and source_product_id."""
-    host, path = F.lower(F.try_parse_url(blank_to_null(url), F.lit("HOST"))), F.try_parse_url(blank_to_null(url), F.lit("PATH"))
-    code, pid = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, (hosts, pattern) in STORES.items():
-        code = F.when(host.isin(hosts), name).otherwise(code)
-        pid = F.when(host.isin(hosts), F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))).otherwise(pid)
-    return F.struct(code.alias("store_code"), pid.alias("source_product_id"))
+
+    def read(u: Column) -> Column:
+        host, path = F.lower(F.try_parse_url(u, F.lit("HOST"))), F.try_parse_url(u, F.lit("PATH"))
+        code, pid = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, (hosts, pattern) in STORES.items():
+            code = F.when(host.isin(hosts), name).otherwise(code)
+            pid = F.when(host.isin(hosts), F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))).otherwise(pid)
+        return F.struct(code.alias("store_code"), pid.alias("source_product_id"))
+
+    return let(blank_to_null(url), read)
 
 
 def line_evidence(text: Column) -> Column:
@@ -48,7 +52,6 @@ def offer_identities(offers: DataFrame) -> DataFrame:
     ident = store_identity(F.coalesce(blank_to_null(F.col("affiliate_url")), F.col("source_url")))
     out = offers.withColumn("_i", ident).withColumns({"store_code": F.col("_i.store_code"), "source_product_id": F.col("_i.source_product_id")}).drop("_i")
     line = F.when(F.col("board_line").isin(LINES), F.col("board_line")).otherwise("unisex")
-    season = season_identity(F.col("season_label"))
     return out.withColumns(
         {
             "source_key": F.when(F.col("store_code").isNotNull() & F.col("source_product_id").isNotNull(), F.concat_ws("|", "store_code", "source_product_id")),
@@ -57,7 +60,7 @@ def offer_identities(offers: DataFrame) -> DataFrame:
             "n_model": identity_text(F.col("model_name")),
             "board_line": line,
             "line_evidence": F.when(line.isin("men", "women"), "known").otherwise("missing"),
-            "season": F.when(season.isNotNull(), identity_text(season)),
+            "season": season_text(F.col("season_label")),
             "variant": variant_marker(F.col("model_name")),
         }
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from firnline.functions import links
 from firnline.functions import text as tx
 from firnline.functions.jsons import merchant
-from firnline.operators import decisions, digest, golden, identity, ledger
+from firnline.operators import authorization, decisions, digest, golden, identity, ledger
 from firnline.operators import events as ev
 from firnline.operators import families as fam
 from firnline.operators import recommend as rec
@@ -234,3 +234,16 @@ def table_checksum(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES += [decision_guide, report_warnings, store_links, size_tables, table_checksum]
+
+
+def offer_authorization(s: SparkSession, d: str) -> DataFrame:
+    """Imported offers against stored ones of which every fifth has changed hands."""
+    i = identity.offer_identities(_offers(s, d))
+    c = identity.clusters(i).select(F.col("id").alias("_id"), "cluster")
+    members = i.join(c, F.col("id") == F.col("_id")).withColumn("assigned", F.concat("base_slug", F.when(F.col("cluster") > 0, F.concat(F.lit("-"), F.col("cluster").cast("string"))).otherwise(""))).persist()
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    stored = members.where(k % 4 != 1).withColumn("n_model", F.when(k % 5 == 0, "another").otherwise(F.col("n_model"))).withColumn("slug", F.col("assigned")).withColumn("manual", k % 10 == 0).dropDuplicates(["slug"])
+    return authorization.authorize(members, stored).select("base_slug", "decision", F.array_join("reasons", ",").alias("reasons"))
+
+
+QUERIES += [offer_authorization]

@@ -121,3 +121,20 @@ def test_csv_catalogue(spark, tmp_path):
     (tmp_path / "s.csv").write_text("product_slug;size_cm;width_type\nq;1;odd\n")
     with pytest.raises(Exception, match="width_type is not allowed"):
         catalog_csv.read_catalogue(spark, str(tmp_path / "m.csv"), str(tmp_path / "s.csv")).collect()
+
+
+def test_authorization(spark):
+    from firnline.operators.authorization import authorize
+
+    schema = "base_slug string, assigned string, slug string, id string, model_name string, n_brand string, n_model string, board_line string, line_evidence string, season string, variant string, source_key string, manual boolean"
+    row = lambda base, to, i, key, model="m", line="men", season="2024 2025": (base, to, to, i, model, "b", model, line, "known", season, None, key, False)
+    members = [row("a", "a", "1", "t|1"), row("b", "b", "2", "t|2", "other"), row("c", "c", "3", None), row("d", "d", "4", "t|4"), row("d", "d", "5", "u|4"), row("e", "e", "6", "t|6", season=None), row("e", "e", "7", "u|6"), row("f", "f-2", "8", "t|8", line="women"), row("f", "f", "9", "t|9"), row("g", "g", "10", "t|10")]
+    owners = [row("a", "a", "1", "t|1"), row("b", "b", "2", "t|2"), row("f", "f", "9", "t|9"), row("g", "g", "x", "t|99")]
+    got = {r.base_slug: (r.decision, r.reasons) for r in authorize(spark.createDataFrame(members, schema), spark.createDataFrame(owners, schema)).collect()}
+    assert got["a"] == ("AUTO", ["STABLE_PROTECTED_IDENTITIES"])
+    assert got["b"] == ("BLOCK", ["SOURCE_ID_REUSE_MODEL_CONFLICT"])
+    assert got["c"] == ("BLOCK", ["MISSING_STABLE_SOURCE_IDENTITY"])
+    assert got["d"] == ("AUTO", ["NEW_CLEAN_MULTI_SOURCE"])
+    assert got["e"] == ("REVIEW", ["INCOMPLETE_CROSS_STORE_EVIDENCE_REVIEW"])
+    assert got["f"] == ("AUTO", ["NEW_PROTECTED_IDENTITY_SUFFIX", "STABLE_PROTECTED_IDENTITIES"])
+    assert got["g"] == ("BLOCK", ["HISTORICAL_BASE_TAKEOVER"])
