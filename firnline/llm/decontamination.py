@@ -3,7 +3,7 @@
 Every benchmark window of ``span`` words is known by the least of its ``span - k + 1`` k-gram hashes. A document
 keeps the least k-gram hash of each of its own windows; as the rule looks at the window's words alone, a window
 that stands in both selects the same hash in both, so joining selected hashes misses none. Each hit is extended:
-the words around the k-gram are held against the whole window. DataFrame functions only.
+the document window that chose the hash is held against the benchmark's word by word. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -71,40 +71,39 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     width = span - k + 1
     base = docs.select("doc_id", content_key(F.col("text")).alias("content"), words_of(F.col("text")).alias("words"))
     hashed = base.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("gram", _grams(F.col("h"), k))
-    selected = F.transform(F.slice(F.col("gram"), 1, F.greatest(F.size("gram") - (k - 1), F.lit(0))), lambda x, i: _least(F.col("gram"), x, i, width))
-    short = [F.array_distinct(_grams(F.col("h"), n)) for n in sorted(lengths) if n < span]
-    rows = hashed.select(
-        "doc_id",
-        "content",
-        "words",
-        F.array_append(F.array_compact(F.array_distinct(F.concat(selected, *short))), F.lit(None).cast("long")).alias("selected"),
-    )
-    # one row per selected hash, and one with a null hash that stands for the document itself
+    selected = F.transform(F.slice(F.col("gram"), 1, F.greatest(F.size("gram") - (span - 1), F.lit(0))), lambda x, i: _least(F.col("gram"), x, i, width))
+    lesser = [n for n in sorted(lengths) if n < span]
+    firsts = lambda n: F.greatest(F.size("words") - (n - 1), F.lit(0))
+    short = [F.slice(_grams(F.col("h"), n), 1, firsts(n)) for n in lesser]
+    # one hash per window of the document, by length and start, and a null that stands for the document itself
+    rows = hashed.select("doc_id", "content", "words", F.array_append(F.concat(selected, *short), F.lit(None).cast("long")).alias("selected"))
+    offset, before = F.lit(0), firsts(span)
+    for n in lesser:
+        offset, before = F.when(F.col("_n") == n, before).otherwise(offset), before + firsts(n)
     grouped = windows.groupBy("fingerprint").agg(F.collect_list(F.struct("window", "n", "items")).alias("found"))
+    spread = lambda *columns: rows.select(*columns, F.posexplode_outer("selected").alias("place", "fingerprint"))
     if sum(lengths.values()) <= BROADCAST_WINDOWS:
-        probes = rows.select("doc_id", "content", "words", F.explode_outer("selected").alias("fingerprint"))
+        probes = spread("doc_id", "content", "words")
         joined = probes.join(F.broadcast(grouped), "fingerprint", "left").where(F.col("fingerprint").isNull() | F.col("found").isNotNull())
     else:  # narrow rows find the hits; words travel for those alone
-        hits = rows.select("doc_id", "content", F.explode_outer("selected").alias("fingerprint")).distinct().join(grouped, "fingerprint").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "fingerprint", "found")
-        own = rows.select("doc_id", "content", "words", F.lit(None).cast("long").alias("fingerprint"), F.lit(None).cast(grouped.schema["found"].dataType).alias("found"))
-        met = rows.select("doc_id", "content", "words").join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c"))).select("doc_id", "content", "words", "fingerprint", "found")
+        hits = spread("doc_id", "content").distinct().join(grouped, "fingerprint").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "place", "fingerprint", "found")
+        own = rows.select("doc_id", "content", "words", F.lit(0).alias("place"), F.lit(None).cast("long").alias("fingerprint"), F.lit(None).cast(grouped.schema["found"].dataType).alias("found"))
+        met = rows.select("doc_id", "content", "words").join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c"))).select("doc_id", "content", "words", "place", "fingerprint", "found")
         joined = own.unionByName(met)
-    every = F.sequence(F.lit(0), F.size("words") - 1)
-    places = lambda window, n: F.filter(every, lambda s: F.slice(F.col("words"), s + 1, n) == window)
-    occurrences = F.when(
-        F.col("found").isNotNull() & (F.size("words") > 0),
-        F.filter(F.transform("found", lambda f: F.struct(places(f["window"], f["n"]).alias("at"), f["n"].alias("n"), f["items"].alias("items"))), lambda f: F.size(f["at"]) > 0),
-    ).otherwise(F.array())
-    marked = joined.select(
+    # the k-gram's window is held against each benchmark window with that fingerprint, word by word
+    one = joined.select("doc_id", "content", "words", "place", "fingerprint", F.explode_outer("found").alias("f")).select("*", F.col("f.n").alias("_n"))
+    start = F.col("place") - offset
+    same = F.when(F.col("f").isNotNull() & (start >= 0), F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("_n")) == F.col("f.window"))
+    marked = one.where(F.col("fingerprint").isNull() | same).select(
         "doc_id",
         "content",
         F.size("words").cast("long").alias("n_words"),
         F.when(F.col("fingerprint").isNull(), 1).otherwise(0).alias("own"),
-        F.array_distinct(F.flatten(F.transform(occurrences, lambda f: F.flatten(F.transform(f["at"], lambda s: F.sequence(s, s + f["n"] - 1)))))).alias("hit"),
-        F.array_distinct(F.flatten(F.transform(occurrences, lambda f: f["items"]))).alias("items"),
+        F.when(F.col("fingerprint").isNotNull(), F.struct(start.alias("at"), F.col("_n").alias("n"))).alias("hit"),
+        F.when(F.col("fingerprint").isNotNull(), F.col("f.items")).alias("items"),
     )
     # a document's own hits: no longer than the document
-    per_doc = marked.groupBy("doc_id", "content", "n_words").agg(F.sum("own").alias("copies"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per_doc = marked.groupBy("doc_id", "content", "n_words").agg(F.sum("own").alias("copies"), F.array_distinct(F.flatten(F.transform(F.collect_set("hit"), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return per_doc.select(
         "doc_id",
         *(["content"] if keyed else []),
