@@ -125,9 +125,24 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a number each (_row), written so that the numbers stay."""
+    return scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def one_row_per_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each root one row: the least by doc_id (null last), content, other columns and number. roots: _row, _root."""
+    other = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_row", "doc_id", "text")], F.lit(0).alias("_")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("content"), F.xxhash64(other).alias("other"), "_row")
+    least = rows.select("_row", place.alias("_place")).join(roots, "_row").groupBy("_root").agg(F.min("_place").alias("_place"))
+    return rows.join(least.select("_place._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"])
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of each component, one row each (the least, of repeated doc_ids)."""
-    groups = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = packed.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    """One row of each component, whatever the doc_ids in it."""
+    scratch = Scratch(docs.sparkSession, "simhash-rows")
+    rows = numbered_rows(docs, scratch)
+    marked = scratch.put(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")), "fingerprints").select(F.col("doc_id").alias("_row"), "fp")
+    found = components(links(marked.select("fp").distinct()), scratch)
+    roots = marked.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_row", F.coalesce("root", "fp").alias("_root"))
+    return one_row_per_root(rows, roots)
