@@ -4,10 +4,10 @@ import random
 from collections import Counter
 
 import pytest
-from firnline.llm import simhash
+from firnline.llm import similar, simhash
 
 
-@pytest.mark.parametrize("keep", [simhash.keep_one_of_each])
+@pytest.mark.parametrize("keep", [simhash.keep_one_of_each, similar.keep_one_of_each])
 def test_one_row_per_component_whatever_the_ids(spark, keep):
     rng = random.Random(6)
     text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
