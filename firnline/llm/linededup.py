@@ -1,8 +1,9 @@
 """Removing repeated lines and sentences: the earliest occurrence stays, the rest goes, offsets are kept.
 
-Units are lines, and the sentences of lines that have several. A unit is normalised to its words (letters and
-digits, A-Z in lower case) and known by 128 bits of rolling hash over its word hashes. Occurrences are ranked by
-doc_id, content and position.
+Units are lines, and the sentences of lines that have several, whatever their length. A unit is normalised to its
+words (letters and digits, A-Z in lower case) and known by 128 bits of rolling hash over its word hashes; the words of
+a line without letters and digits are its runs between white space. Only blank lines, and sentences without letters
+and digits, are no units. Occurrences are ranked by doc_id, content and position.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from firnline.llm.cutting import cut_spans
 from firnline.llm.storage import Scratch
-from firnline.llm.textblocks import ALNUM, BASE, LOWER, blocks, mixed, prefix_hashes, span_hashes, word_spans
+from firnline.llm.textblocks import ALNUM, BASE, LOWER, SPACE, blocks, mixed, prefix_hashes, span_hashes, word_spans
 
-#: Units of fewer words are never removed.
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+#: Units of fewer words are never removed; one word means that every unit counts.
+LINE_WORDS, SENTENCE_WORDS = 1, 1
 SECOND_BASE = 0xD1342543DE82EF95
 
 
@@ -39,11 +40,17 @@ def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS
     n = len(data)
     lowered = LOWER[data]
     starts, ends, _ = word_spans(lowered, offsets, ALNUM)
-    keys = span_hashes(prefix_hashes(lowered), starts, ends)
     head = np.zeros(n + 1, bool)
     head[offsets] = True
     head[1:] |= data == 0x0A
     lines = np.flatnonzero(head[:n])
+    bare = np.diff(np.searchsorted(starts, np.append(lines, n))) == 0  # lines without words
+    if bare.any():
+        more, till, _ = word_spans(data, offsets, ~SPACE)
+        own = bare[np.searchsorted(lines, more, side="right") - 1]
+        order = np.argsort(starts := np.append(starts, more[own]), kind="stable")
+        starts, ends = starts[order], np.append(ends, till[own])[order]
+    keys = span_hashes(prefix_hashes(lowered), starts, ends)
     stop = np.zeros(n, bool)  # a sentence ends at the space after . ! or ?
     stop[1:] = np.isin(data[:-1], list(b".!?")) & (data[1:] == 0x20)
     inner = head.copy()
@@ -57,7 +64,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS
         lo, hi = np.searchsorted(starts, heads), np.searchsorted(starts, tails)
         good = hi - lo >= least
         if level:  # a line of one sentence is known as a line
-            good &= ~(head[heads] & head[tails])
+            good &= ~(head[heads] & head[tails]) & ~bare[np.searchsorted(lines, heads, side="right") - 1]
         heads, tails, lo, hi = heads[good], tails[good], lo[good], hi[good]
         rows = np.searchsorted(offsets, heads, side="right") - 1
         for c, v in zip(out, (rows, heads - offsets[rows], tails - offsets[rows], _unit_hashes(keys, lo, hi, BASE), _unit_hashes(keys, lo, hi, SECOND_BASE)), strict=True):
@@ -78,7 +85,7 @@ def repeated_units(docs: DataFrame, scratch: Scratch, line_words: int = LINE_WOR
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = scratch.put(docs.select("doc_id", "content", "text").mapInArrow(run, f"doc_id {kind}, content long, a int, b int, h1 long, h2 long"), "units")
     place = F.struct("doc_id", "content", "a")
-    first = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = scratch.put(units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")  # a table: Spark splits the join where one line is very common
     later = units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
