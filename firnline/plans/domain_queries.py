@@ -233,7 +233,12 @@ def table_checksum(s: SparkSession, d: str) -> DataFrame:
     return digest.checksum(b.table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey").select("rows")
 
 
-QUERIES += [decision_guide, report_warnings, store_links, size_tables, table_checksum]
+def table_digest(s: SparkSession, d: str) -> DataFrame:
+    """Rows and md5 over all columns."""
+    return digest.checksum(b.table(s, d, "supplier"), "s_suppkey")
+
+
+QUERIES += [decision_guide, report_warnings, store_links, size_tables, table_checksum, table_digest]
 
 
 def offer_authorization(s: SparkSession, d: str) -> DataFrame:
