@@ -198,6 +198,29 @@ def _mismatches() -> tuple[Column, Column, Column]:
     return level(length, 2.5), level(weight, 5), F.when(F.col("spare") >= slack, 0).when(F.col("spare") >= -3, 1).otherwise(2)
 
 
+def style_points() -> Column:
+    own, board, terrain = F.col("rider_style"), F.col("riding_style"), F.col("terrain_priority")
+    exceptions = reduce(lambda out, kv: F.when((own == "all-mountain") & (terrain == kv[0][0]) & (board == kv[0][1]), F.lit(kv[1])).otherwise(out), STYLE_EXCEPTIONS.items(), F.lit(None).cast("int"))
+    return F.coalesce(exceptions, choose(F.concat_ws("|", own, board), {"|".join(k): v for k, v in STYLE_POINTS.items()}, -12))
+
+
+def skill_points() -> Column:
+    rank = {k: i for i, k in enumerate(SKILLS)}
+    return F.get(F.array(*[F.lit(p) for p in SKILL_POINTS]), choose(F.col("board_skill"), rank, 0) - choose(F.col("skill_level"), rank, 0) + 2)
+
+
+def terrain_points() -> Column:
+    f, out = F.col("flex"), F.lit(0)
+    for t in reversed(list(TERRAIN_STYLE)):
+        points = choose(F.col("riding_style"), TERRAIN_STYLE[t], 0) + choose(F.col("shape_type"), TERRAIN_SHAPE[t], 0)
+        if t == "groomers-carving":
+            points = points + F.when(f >= 6, 2).when(f <= 4, -2).otherwise(0)
+        if t == "soft-snow":
+            points = points + F.when(f >= 6, 2).otherwise(0)
+        out = F.when(F.col("terrain_priority") == t, points).otherwise(out)
+    return out
+
+
 def _score() -> Column:
     """The total of all parts, a whole number as double."""
     c = F.col
@@ -209,11 +232,9 @@ def _score() -> Column:
     ideal = F.when(wmax.isNull(), wmin + 8.0).otherwise((wmin + wmax) / F.lit(2.0))
     reach = F.when(wmax.isNull(), 12.0).otherwise(F.greatest((wmax - wmin) / F.lit(2.0), F.lit(8.0)))
     weight = F.when(~c("weight_known"), -4.0).when(c("weight_off") == 0, round_half_up(F.lit(14) + close(F.abs(c("weight_kg") - ideal), reach) * 10)).when(c("weight_off") <= 5, 6.0).otherwise(-8.0)
-    exceptions = reduce(lambda out, kv: F.when((c("rider_style") == "all-mountain") & (c("terrain_priority") == kv[0][0]) & (c("riding_style") == kv[0][1]), F.lit(kv[1])).otherwise(out), STYLE_EXCEPTIONS.items(), F.lit(None).cast("int"))
-    style = F.coalesce(exceptions, choose(F.concat_ws("|", "rider_style", "riding_style"), {"|".join(k): v for k, v in STYLE_POINTS.items()}, -12))
+    style = style_points()
     shape = F.when(c("shape_type").isNull(), 0).when(c("shape_type") == c("shape_first"), 10).when(F.array_contains("shape_others", c("shape_type")), 6).otherwise(-6)
-    rank = {k: i for i, k in enumerate(SKILLS)}
-    skill = F.get(F.array(*[F.lit(p) for p in SKILL_POINTS]), choose(c("board_skill"), rank, 0) - choose(c("skill_level"), rank, 0) + 2)
+    skill = skill_points()
     f, flo, fhi = c("flex"), c("flex_lo"), c("flex_hi")
     off, soft, stiff = outside(f, flo, fhi), c("soft_boost"), c("stiff_boost")
     width = F.greatest((fhi - flo) / F.lit(2.0), F.lit(1.0))
@@ -224,14 +245,7 @@ def _score() -> Column:
     )
     flex = F.when(c("flex_trusted"), round_half_up(flex.cast("double"))).otherwise(0.0)
     line = F.when(c("board_line_preference") == "any", 0).when(c("board_line") == "unisex", 6).when(c("board_line") == c("board_line_preference"), 10).otherwise(-12)
-    terrain = F.lit(0)
-    for t in reversed(list(TERRAIN_STYLE)):
-        points = choose(c("riding_style"), TERRAIN_STYLE[t], 0) + choose(c("shape_type"), TERRAIN_SHAPE[t], 0)
-        if t == "groomers-carving":
-            points = points + F.when(f >= 6, 2).when(f <= 4, -2).otherwise(0)
-        if t == "soft-snow":
-            points = points + F.when(f >= 6, 2).otherwise(0)
-        terrain = F.when(c("terrain_priority") == t, points).otherwise(terrain)
+    terrain = terrain_points()
     camber = F.when(c("camber_profile").isNull(), 0).when(F.array_contains("camber_best", c("camber_profile")), 8).when(F.array_contains("camber_fair", c("camber_profile")), 3).otherwise(-6)
     slack = F.when(c("stance_type") == "duck", -1.5).otherwise(-1.0)
     boost = F.when((c("aggressiveness") == "aggressive") | _carving(), 4).otherwise(0)
@@ -271,18 +285,21 @@ def candidates(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> Data
     return met.withColumn("role", role).withColumn("confidence", sure)
 
 
-def recommend(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rider_id, list (recommended or alternative), place, slug, size_cm, size_label, score, role, confidence."""
+def recommend(riders: DataFrame, products: DataFrame, sizes: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """rider_id, list (recommended or alternative), place, slug, size_cm, size_label, score, role, confidence.
+
+    ``also`` names further columns, made of those of ``candidates``.
+    """
     family = F.coalesce(F.when(F.length(F.trim("family_id")) > 0, F.concat(F.lit("family:"), "family_id")), F.concat(F.lit("product:"), "product_id"))
     inputs = [c if c != "riding_style" else "rider_style" for c in INPUTS]
-    key = F.struct((-F.col("score")).alias("o"), "slug", "size_cm", "size_label", "product_id", "score", "role", "confidence")
+    key = F.struct((-F.col("score")).alias("o"), "slug", "size_cm", "size_label", "product_id", "score", "role", "confidence", *[c.alias(n) for n, c in (also or {}).items()])
     best = candidates(riders, products, sizes).groupBy(*inputs, family.alias("family_key")).agg(F.min(key).alias("m"))
     each = Window.partitionBy(*inputs)
     ranked = best.withColumn("place", F.row_number().over(each.orderBy("m"))).where(F.col("place") <= MOST_RECOMMENDED + MOST_ALTERNATIVES)
     chosen = (F.col("place") <= MOST_RECOMMENDED) & (F.col("m.score") >= RECOMMENDED_FROM)
     ranked = ranked.withColumn("chosen", chosen).withColumn("n", F.count_if("chosen").over(each))
     kept = ranked.where(F.col("chosen") | ((F.col("place") <= F.col("n") + MOST_ALTERNATIVES) & (F.col("m.score") >= ALTERNATIVE_FROM)))
-    rows = kept.select(*inputs, F.when(F.col("chosen"), "recommended").otherwise("alternative").alias("list"), F.when(F.col("chosen"), F.col("place")).otherwise(F.col("place") - F.col("n")).cast("long").alias("place"), "m.slug", "m.size_cm", "m.size_label", F.col("m.score").cast("long").alias("score"), "m.role", "m.confidence").withColumnRenamed("rider_style", "riding_style")
+    rows = kept.select(*inputs, F.when(F.col("chosen"), "recommended").otherwise("alternative").alias("list"), F.when(F.col("chosen"), F.col("place")).otherwise(F.col("place") - F.col("n")).cast("long").alias("place"), "m.slug", "m.size_cm", "m.size_label", F.col("m.score").cast("long").alias("score"), "m.role", "m.confidence", *[f"m.{n}" for n in also or {}]).withColumnRenamed("rider_style", "riding_style")
     return riders.select("rider_id", *INPUTS).join(rows, INPUTS).drop(*INPUTS)
 
 

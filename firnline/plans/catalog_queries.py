@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators import catalogue as cat
 from firnline.operators import checks as chk
+from firnline.operators import match_texts as txt
 from firnline.operators import recommend as rec
 from firnline.plans import bindings as b
 
@@ -111,3 +112,17 @@ def result_snapshots(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES += [product_issues, representative_widths, board_details, match_trust, result_snapshots]
+
+
+def match_reasons(s: SparkSession, d: str) -> DataFrame:
+    made = txt.matches_with_texts(b.riders(s, d), b.products(s, d), b.sizes(s, d))
+    return made.select("rider_id", "list", "place", "slug", F.array_join("reason_codes", ",").alias("reasons"))
+
+
+def match_comparison(s: SparkSession, d: str) -> DataFrame:
+    made = txt.comparison(b.riders(s, d), b.products(s, d), b.sizes(s, d))
+    word = lambda i, *words: F.regexp_extract(F.col("highlights")[i], f"({'|'.join(words)})", 1)
+    return made.select("rider_id", "rank", "title", "role_label", word(0, "нижней", "верхней", "центральный").alias("length_word"), F.col("highlights")[1].alias("width_line"), word(2, "совпадает", "универсальный", "смещена", "компромиссный").alias("style_word"), word(3, "не уточнена", "попадание", "рабочий", "смещена").alias("shape_word"), F.contains(F.col("highlights")[4], F.lit("проверена:")).alias("ready"))
+
+
+QUERIES += [match_reasons, match_comparison]

@@ -131,7 +131,40 @@ SELECT rider_id, CASE WHEN chosen THEN 'recommended' ELSE 'alternative' END AS l
   CASE WHEN score >= 78 AND ready THEN 'high' WHEN score >= 64 THEN 'medium' ELSE 'careful' END AS confidence
 FROM named WHERE chosen OR (place <= nc + 3 AND score >= 40)"""
 
-ORACLE = {"rider_profiles": PROFILE, "product_readiness": READY, "recommendations": MATCHES}
+_RANKED = MATCHES[: MATCHES.index("SELECT rider_id, CASE WHEN chosen")]
+
+REASONS = _RANKED + """, why AS (SELECT *, abs(size_cm - target) AS near, greatest(flex_lo - flex, flex - flex_hi, 0) AS f_out,
+  CASE terrain
+    WHEN 'balanced' THEN riding_style = 'all-mountain' AND shape_type IS DISTINCT FROM 'tapered-directional'
+    WHEN 'switch-freestyle' THEN (riding_style = 'park' AND (shape_type IS NULL OR shape_type IN ('twin', 'asym-twin', 'directional-twin'))) OR (riding_style = 'all-mountain' AND coalesce(shape_type IN ('twin', 'asym-twin'), FALSE))
+    WHEN 'groomers-carving' THEN CASE riding_style WHEN 'freeride' THEN 7 WHEN 'all-mountain' THEN 5 ELSE -6 END + CASE shape_type WHEN 'directional' THEN 6 WHEN 'tapered-directional' THEN 5 WHEN 'directional-twin' THEN 4 ELSE CASE WHEN shape_type IS NULL THEN 0 ELSE -4 END END + CASE WHEN flex >= 6 THEN 2 WHEN flex <= 4 THEN -2 ELSE 0 END >= 8
+    ELSE CASE riding_style WHEN 'freeride' THEN 9 WHEN 'all-mountain' THEN 3 ELSE -8 END + CASE shape_type WHEN 'tapered-directional' THEN 8 WHEN 'directional' THEN 5 WHEN 'directional-twin' THEN 1 ELSE CASE WHEN shape_type IS NULL THEN 0 ELSE -6 END END + CASE WHEN flex >= 6 THEN 2 ELSE 0 END >= 8 END AS t8
+  FROM named WHERE chosen OR (place <= nc + 3 AND score >= 40))
+SELECT rider_id, CASE WHEN chosen THEN 'recommended' ELSE 'alternative' END AS list, CASE WHEN chosen THEN place ELSE place - nc END AS place, slug, array_to_string(list_filter([
+  CASE WHEN hard = 1 AND mild >= 1 THEN 'compromise' END,
+  CASE WHEN lo_off = 0 THEN CASE WHEN near <= 0.75 THEN 'length-ideal' WHEN size_cm < target THEN 'length-lively' ELSE 'length-stable' END WHEN lo_off <= 2.5 THEN 'length-near' END,
+  CASE WHEN known AND w_off = 0 THEN 'weight' END,
+  CASE WHEN riding_style = style OR riding_style = 'all-mountain' OR (style = 'all-mountain' AND (terrain = 'switch-freestyle' AND riding_style = 'park' OR terrain IN ('soft-snow', 'groomers-carving') AND riding_style = 'freeride')) THEN 'style' END,
+  CASE WHEN shape_type = shape_first THEN 'shape-first' WHEN list_contains(shape_others, shape_type) THEN 'shape-other' END,
+  CASE WHEN list_position(['beginner', 'intermediate', 'advanced'], skill_level) - list_position(['beginner', 'intermediate', 'advanced'], skill) < 2 THEN 'skill' END,
+  CASE WHEN flex_trusted THEN CASE WHEN f_out = 0 THEN 'flex' WHEN flex < flex_lo THEN CASE WHEN f_out > 2 THEN 'flex-too-soft' WHEN f_out > 1 AND soft_boost >= 4 THEN 'flex-soft' END ELSE CASE WHEN f_out > 2 THEN 'flex-too-stiff' WHEN f_out > 1 AND stiff_boost >= 4 THEN 'flex-stiff' END END END,
+  CASE WHEN t8 THEN 'terrain' END,
+  CASE WHEN camber_profile IN ('hybrid-rocker', 'rocker') AND cam = 1 OR camber_profile IN ('camber', 'hybrid-camber') AND cam IN (2, 3, 5) OR camber_profile IN ('flat', 'hybrid-rocker') AND cam = 4 OR camber_profile = 'hybrid-camber' AND cam = 6 THEN 'camber' END,
+  CASE WHEN spare >= 0 AND spare <= over_width THEN 'width' WHEN spare > over_width AND spare <= over_width + 4 THEN 'width-over' WHEN spare >= CASE WHEN stance = 'duck' THEN -1.5 ELSE -1 END THEN NULL WHEN spare >= -3 THEN 'width-edge' ELSE 'width-risk' END
+  ], lambda x: x IS NOT NULL)[1:3], ',') AS reasons
+FROM why"""
+
+COMPARISON = _RANKED + """
+SELECT rider_id, place AS rank, brand || ' ' || model_name AS title,
+  CASE role WHEN 'width-safe' THEN 'больше запаса по ширине' WHEN 'playful' THEN 'более живой вариант' WHEN 'stable' THEN 'более стабильный вариант' ELSE 'лучший общий вариант' END AS role_label,
+  CASE WHEN size_cm <= lo + 1 THEN 'нижней' WHEN size_cm >= hi - 1 THEN 'верхней' ELSE 'центральный' END AS length_word,
+  'Талия ' || CAST(spare + waist AS INT) || ' мм ' || CASE WHEN spare >= 4 THEN 'даёт заметный запас относительно целевой ширины ' || waist || ' мм.' WHEN spare >= 1 THEN 'даёт небольшой запас относительно целевой ширины ' || waist || ' мм.'
+    WHEN spare >= 0 THEN 'почти точно попадает в целевую ширину ' || waist || ' мм.' ELSE 'чуть уже целевой ширины ' || waist || ' мм, поэтому вариант ближе к границе.' END AS width_line,
+  CASE WHEN riding_style = style THEN 'совпадает' WHEN riding_style = 'all-mountain' THEN 'универсальный' WHEN style = 'all-mountain' THEN 'смещена' ELSE 'компромиссный' END AS style_word,
+  CASE WHEN shape_type IS NULL THEN 'не уточнена' WHEN shape_type = shape_first THEN 'попадание' WHEN list_contains(shape_others, shape_type) THEN 'рабочий' ELSE 'смещена' END AS shape_word, ready
+FROM (SELECT *, CASE WHEN spare >= 6 THEN 'width-safe' WHEN size_cm <= target - 0.75 THEN 'playful' WHEN size_cm >= target + 0.75 THEN 'stable' ELSE 'best-overall' END AS role FROM named WHERE chosen AND place <= 3)"""
+
+ORACLE = {"rider_profiles": PROFILE, "product_readiness": READY, "recommendations": MATCHES, "match_reasons": REASONS, "match_comparison": COMPARISON}
 
 ITEMS_CTE = f"""{PROD},
 off AS (SELECT *, coalesce(family_id, 'offer:' || id) AS item, CASE member_role WHEN 'base' THEN 0 WHEN 'wide' THEN 1 ELSE 3 END AS ro FROM prod),
