@@ -1,12 +1,12 @@
 """Near duplicates by SimHash fingerprints, found through a table of pivot distances.
 
-Each distinct fingerprint gets its Hamming distances to 33 reference fingerprints: one base pivot, and for each
-pair of neighbouring bits the base with that pair flipped. A distance less the base distance depends on one pair
-of bits, so fingerprints that differ in at most ``MAX_BITS`` = 2 bits agree in all coordinates of at least four
-of six coordinate groups. Equal coordinates in four groups make the candidates; everything else is discarded
-without being seen together. Of small candidate sets the pairs are discarded by their largest coordinate
-difference and then verified; members of larger sets meet at the fingerprints one bit away from them, of which
-each has 65 neighbours at most, so no set is expanded into its pairs whatever its size.
+Each distinct fingerprint gets its Hamming distances to reference fingerprints: a base pivot, the 64 *near* pivots one
+bit away from it, and 32 *far* pivots spread over the space. Fingerprints at most ``MAX_BITS`` = 2 bits apart agree in
+all near coordinates but two, taken relative to the base, so in all of at least four of six groups of them: equal
+coordinates in four groups make a block. A block of over ``SMALL_SET`` members is dealt by more coordinates, as often as
+it takes: its open ones are cut in three, of which one at least is equal in every pair that links. Of each block's
+pairs those with a difference of over ``MAX_BITS`` in any far coordinate are discarded, and the survivors verified.
+A block with five open coordinates has 32 members at most, so the dealing ends after four rounds.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from firnline.llm.components import components
 from firnline.llm.storage import Scratch
-from firnline.llm.textblocks import whole_bytes
+from firnline.llm.textblocks import mixed, whole_bytes
 
 MAX_BITS = 2
 SEED = 42
 BASE_PIVOT = 0x5BD1E995A7C3F021
-PAIRS = 32
+NEAR, FAR = 64, 32
 GROUPS, EQUAL_GROUPS = 6, 4
-#: Candidate sets of up to so many members are verified pair by pair.
-SMALL_SET = 6
+#: Blocks of up to so many members have their pairs compared, as have those of up to so many open coordinates.
+SMALL_SET, LEAST_OPEN = 32, 5
 _ROWS = 1 << 15
 
 
@@ -43,10 +43,14 @@ def fingerprint(text: bytes, size: int = 3) -> int:
         return hashed(b" ".join(words), SEED)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: -size].tolist()]
-    hashes = np.array([hashed(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], ">u8")
+    return majority(np.array([hashed(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _ROWS):
-        ones += np.unpackbits(hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        ones += np.unpackbits(hashes[at : at + _ROWS].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
@@ -67,40 +71,62 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The bit pairs of each coordinate group, and the pivots in that order after the base.
-PAIRS_OF = [[j for j in range(PAIRS) if j % GROUPS == g] for g in range(GROUPS)]
-PIVOTS = [_signed(BASE_PIVOT ^ mask) for mask in [0, *(3 << (2 * j) for js in PAIRS_OF for j in js)]]
+NEAR_PIVOTS = [_signed(BASE_PIVOT ^ mask) for mask in [0, *(1 << b for b in range(NEAR))]]
+FAR_PIVOTS = mixed(np.arange(1, FAR + 1, dtype=np.uint64) * np.uint64(BASE_PIVOT)).view(np.int64).tolist()
+#: The near coordinates of each group.
+GROUP_OF = [list(range(g, NEAR, GROUPS)) for g in range(GROUPS)]
+
+
+def distances(fp: Column, pivots: list[int]) -> Column:
+    return F.transform(F.lit(pivots), lambda p: F.bit_count(fp.bitwiseXOR(p)))
+
 
+def _bits(numbers: list[int]) -> Column:
+    return F.lit(numbers).cast("array<int>")
 
-def pivot_distances(fp: Column) -> Column:
-    """Hamming distances to the base pivot and to the 32 pivots beside it."""
-    return F.transform(F.lit(PIVOTS), lambda p: F.bit_count(fp.bitwiseXOR(p)))
 
+def _coordinates(of: Column) -> Column:
+    """The coordinates of the given numbers, relative to the base (plus or minus one each), as one number."""
+    return F.aggregate(of, F.lit(0).cast("long"), lambda acc, i: acc * F.lit(2) + F.greatest(F.get(F.col("d"), i + F.lit(1)) - F.get(F.col("d"), F.lit(0)), F.lit(0)))
 
-def candidate_keys(table: DataFrame) -> DataFrame:
-    """fp and key: a key for each choice of four coordinate groups, from the coordinates in them."""
-    d, first = F.col("d"), 2
-    for g, js in enumerate(PAIRS_OF):
-        own = F.aggregate(F.slice(d, first, len(js)), F.lit(0).cast("long"), lambda acc, x: acc * F.lit(3) + F.shiftright(x - d[0] + F.lit(2), 1).cast("long"))
-        table, first = table.withColumn(f"g{g}", own), first + len(js)
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"g{g}") for g in chosen]) for i, chosen in enumerate(combinations(range(GROUPS), EQUAL_GROUPS))])
-    return table.select("fp", F.explode_outer(keys).alias("key"))
 
+def blocked(table: DataFrame) -> DataFrame:
+    """fp, d, key and open (numbers of the coordinates not in the key) for each choice of four coordinate groups."""
+    for g, js in enumerate(GROUP_OF):
+        table = table.withColumn(f"g{g}", _coordinates(_bits(js)))
+    choices = [(chosen, [j for g in range(GROUPS) if g not in chosen for j in GROUP_OF[g]]) for chosen in combinations(range(GROUPS), EQUAL_GROUPS)]
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(i), *[F.col(f"g{g}") for g in chosen]).alias("key"), _bits(rest).alias("open")) for i, (chosen, rest) in enumerate(choices)])
+    return table.select("fp", "d", F.explode(keys).alias("k")).select("fp", "d", "k.key", "k.open")
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges a < b between fingerprints at most two bits apart, enough of them to connect all that are."""
-    table = candidate_keys(distinct.select("fp", pivot_distances(F.col("fp")).alias("d")))
-    sets = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = table.join(sets, "key")
-    small = members.where(F.col("n") <= SMALL_SET).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fp", pivot_distances(F.col("fp")).alias("d")))).alias("m"))
-    apart = lambda a, b: F.array_max(F.zip_with(a["d"], b["d"], lambda x, y: F.abs(x - y)))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter(F.col("m"), lambda b: (b["fp"] > a["fp"]) & (apart(a, b) <= MAX_BITS)), lambda b: F.struct(a["fp"].alias("a"), b["fp"].alias("b")))))
-    survivors = small.select(F.explode_outer(pairs).alias("p")).select("p.a", "p.b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    large = members.where(F.col("n") > SMALL_SET).select("fp").distinct()
-    beside = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = large.select("fp", F.explode_outer(beside).alias("centre")).groupBy("centre").agg(F.array_sort(F.collect_set("fp")).alias("m")).where(F.size("m") > 1)  # 65 at most
-    stars = met.select(F.col("m")[0].alias("a"), F.explode_outer(F.slice("m", 2, 64)).alias("b"))
-    return survivors.unionByName(stars).distinct()
+
+def dealt(crowded: DataFrame) -> DataFrame:
+    """The rows of crowded blocks by the three thirds of their open coordinates."""
+    size, n = F.col("open"), F.size("open")
+    cut = [F.lit(0), F.ceil(n / F.lit(3)).cast("int"), F.ceil(F.lit(2) * n / F.lit(3)).cast("int"), n]
+    part = lambda i: F.slice(size, cut[i] + F.lit(1), cut[i + 1] - cut[i])
+    keys = [F.struct(F.xxhash64("key", F.lit(i), _coordinates(part(i))).alias("key"), F.concat(*[part(j) for j in range(3) if j != i]).alias("open")) for i in range(3)]
+    return crowded.select("fp", "d", F.explode(F.array(*keys)).alias("k")).select("fp", "d", "k.key", "k.open")
+
+
+def links(distinct: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Edges a < b between all fingerprints at most two bits apart."""
+    scratch = scratch or Scratch(distinct.sparkSession, "simhash-links")
+    rows = blocked(distinct.select("fp", distances(F.col("fp"), NEAR_PIVOTS).alias("d")))
+    found, level = None, 0
+    while True:
+        counted = scratch.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("open")).alias("left")).where("n > 1"), f"blocks{level}")
+        few = (F.col("n") <= SMALL_SET) | (F.col("left") <= LEAST_OPEN)
+        small = rows.join(counted.where(few).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("m"))
+        pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter(F.col("m"), lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        met = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+        found = met if found is None else found.unionByName(met)
+        full = counted.where(~few).select("key")
+        if full.isEmpty():
+            break
+        rows = scratch.put(dealt(rows.join(full, "key")), f"dealt{level}")
+        level += 1
+    far = F.array_max(F.zip_with(distances(F.col("a"), FAR_PIVOTS), distances(F.col("b"), FAR_PIVOTS), lambda x, y: F.abs(x - y)))
+    return found.where(far <= MAX_BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
 def simhash_groups(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -112,7 +138,7 @@ def simhash_groups(docs: DataFrame, size: int = 3) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.put(fingerprints(docs, size), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
-    found = components(links(distinct.select("fp")), scratch)
+    found = components(links(distinct.select("fp"), scratch), scratch)
     root = F.coalesce("root", "fp")
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", root.alias("root"), "least_doc")
     named = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
@@ -139,10 +165,13 @@ def one_row_per_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, whatever the doc_ids in it."""
+    """One row of each component of fingerprints, whatever the doc_ids in it; the columns stay as they are.
+
+    Null, empty and wordless texts are one component, as are repeated rows. An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-rows")
     rows = numbered_rows(docs, scratch)
     marked = scratch.put(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")), "fingerprints").select(F.col("doc_id").alias("_row"), "fp")
-    found = components(links(marked.select("fp").distinct()), scratch)
+    found = components(links(marked.select("fp").distinct(), scratch), scratch)
     roots = marked.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_row", F.coalesce("root", "fp").alias("_root"))
     return one_row_per_root(rows, roots)
