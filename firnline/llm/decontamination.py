@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firnline.llm.copies import numbered_copies
+
 #: What separates words: ASCII other than digits and lower-case letters, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of the benchmark that are broadcast at most (about 200 bytes each); beyond, both sides are shuffled.
@@ -104,7 +106,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     )
     # a document's own hits: no longer than the document
     per_doc = marked.groupBy("doc_id", "content", "n_words").agg(F.sum("own").alias("copies"), F.array_distinct(F.flatten(F.transform(F.collect_set("hit"), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return per_doc.select(
+    named = per_doc.select(
         "doc_id",
         *(["content"] if keyed else []),
         "n_words",
@@ -112,12 +114,17 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+        "copies",
+    )
+    return numbered_copies(named, "copies", "_copy").drop("copies", "_copy")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage occurs, columns as they were."""
+    """The rows of ``docs`` in which no benchmark passage occurs, columns as they were.
+
+    Rows with a null doc_id or text, and repeated rows, stay or go by their own text; an empty benchmark takes nothing,
+    and an empty table stays empty. Columns of any name pass through.
+    """
     bad = mark_contamination(docs, benchmark, keyed=True).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct()
     keyed = docs.select("doc_id", content_key(F.col("text")).alias("_content"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")), "left_anti").select("_row.*")

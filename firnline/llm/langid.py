@@ -1,6 +1,6 @@
 """Language identification by error-correcting output codes over byte n-grams.
 
-Each language has a codeword; for each of its bits a binary naive-Bayes classifier over hashed n-grams of 1 to 4
+Each language has a codeword; for each of its bits a binary naive-Bayes classifier over hashed n-grams of 2 to 4
 bytes, lower-cased, says how likely the bit is set. Decoding sums, per language, each bit's logistic loss weighted
 by how well the bit told its two sides apart in training, and takes the least; a small lead over the runner-up
 flags the text as ambiguous.
@@ -102,7 +102,9 @@ def margins_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarra
 
 
 def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> Model | None:
-    """Fits the classifiers on text and lang of at most about ``limit`` rows; None without labelled rows.
+    """Fits the classifiers on text and lang of at most about ``limit`` rows; None where no labelled text has an n-gram.
+
+    A language is learned if one of its texts in the sample has an n-gram. More than ``MAX_LANGUAGES`` of them are an error.
 
     Tasks send n-gram counts per language, which Spark adds up: at most languages x buckets numbers, whatever the
     number of rows.
@@ -129,8 +131,10 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> Model | None:
     counted = some.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     tables = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MAX_LANGUAGES + 1).toArrow()
     languages = sorted(tables.column("lang").to_pylist())
-    if not languages or len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages in the sample; from 1 to {MAX_LANGUAGES} can be told apart")
+    if not languages:
+        return None
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages in the sample")
     counts = np.zeros((len(languages), BUCKETS))
     for lang, c in zip(tables.column("lang").to_pylist(), tables.column("c"), strict=True):
         flat = c.values.flatten()
@@ -180,6 +184,11 @@ def _fold(doc_id, folds: int):
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous: fitted on the rows whose crc32(doc_id) mod 5 is not 0."""
+    """doc_id, held_out, lang_pred, score, ambiguous: fitted on the rows whose crc32(doc_id) mod 5 is not 0.
+
+    Null and letterless texts are ``und``, as is everything where nothing could be learned; a null doc_id counts as the
+    empty string in the fold; long texts are read whole; repeated rows get equal results; an empty table gives no rows.
+    Other columns are not read.
+    """
     held_out = _fold(F.col("doc_id"), 5) == 0
     return identify(docs, train(docs.where(~held_out))).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firnline.llm.copies import numbered_copies
+
 WORDS = r"[^\x20\x09-\x0D]+"
 STEPS = 40
 #: Hash blocks of a pass over one source.
@@ -99,13 +101,17 @@ def units_of(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, **limits) -> DataFrame:
     """source, doc_id, n_tokens, pass, start: the mixed stream over all documents, by source, pass and token offset."""
     mixed = mix_sources(units_of(docs), **limits)
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    return mixed.select("source", "doc_id", "tokens", "pass", "start", each.alias("j")).select("source", "doc_id", F.col("tokens").alias("n_tokens"), "pass", (F.col("start") + F.col("j") * F.col("tokens")).alias("start"))
+    return numbered_copies(mixed, "copies", "j").select("source", "doc_id", F.col("tokens").alias("n_tokens"), "pass", (F.col("start") + F.col("j") * F.col("tokens")).alias("start"))
 
 
 def mix_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture reads it, with the columns of ``docs``."""
+    """The rows of ``docs``, each as often as the mixture reads it, with the columns of ``docs``.
+
+    A null source is the source ``''``, a null or empty text costs one token, rows equal in doc_id, source and text are
+    read equally often, and an empty table stays empty. Columns of any name pass through.
+    """
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_content"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     times = mix_sources(units_of(docs), **limits).groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.count(F.lit(1)).alias("_times"))
     on = (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_content") == F.col("_c")) & (F.col("_source") == F.col("_s"))
-    return keyed.join(times, on).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_again")).select("_row.*")
+    read = keyed.join(times, on).select("_row", "_times")
+    return numbered_copies(read, "_times", "_again").select("_row.*")

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firnline.llm.copies import numbered_copies
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -113,7 +115,8 @@ def slotted(df: DataFrame, group: str, out: str = "slot", blocks: int = 1024) ->
     within = Window.partitionBy(group, block).orderBy(*[F.col(f"`{c}`") for c in cols if c != group]).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col(start) + F.coalesce(F.sum(copies).over(within), F.lit(0))
     numbered = rows.join(starts, [group, block]).select(*cols, copies, first.alias(start))
-    return numbered.select(*cols, F.explode(F.sequence(F.col(start), F.col(start) + F.col(copies) - 1)).alias(out))
+    each = numbered_copies(numbered, copies, "_number")
+    return each.select(*cols, (F.col(start) + F.col("_number")).alias(out))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

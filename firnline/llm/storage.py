@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,13 +11,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_open: list[Scratch] = []
+
+
+@atexit.register
+def _close_all() -> None:
+    for scratch in _open[:]:
+        with contextlib.suppress(Exception):  # the session may have ended
+            scratch.close()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
         folder = tempfile.mkdtemp(prefix="firnline-")
@@ -29,11 +40,12 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and survive a lost executor.
 
     ``put`` writes a frame and reads it back; ``drop`` removes tables that nothing reads any more.
-    A table that the caller's result still reads lazily stays until ``close`` or the cluster's own sweep.
+    A table that the caller's result still reads lazily stays until ``close``, or else until the driver's end.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -50,3 +62,4 @@ class Scratch:
 
     def close(self) -> None:
         self.drop("")
+        _open.remove(self)

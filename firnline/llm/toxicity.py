@@ -22,6 +22,7 @@ BITS = 18
 TRAIN_ROWS, GROUP_ROWS = 32_000, 8_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 4
 THRESHOLD = 0.3
+PRIOR_CLEAN = 9.5
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,8 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(places) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(owners)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by place (the bias is last) after ``epochs`` runs over the examples in order."""
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, start: float = 0.0) -> np.ndarray:
+    """Weights by place (the bias, counted from ``start``, is last) after ``epochs`` runs over the examples in order."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
@@ -59,7 +60,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
         for at, y in zip(examples, labels.tolist(), strict=True):
             at = np.append(at, bias)
             w = weights(at)
-            g = 1.0 / (1.0 + np.exp(-min(max(w.sum(), -30.0), 30.0))) - y
+            g = 1.0 / (1.0 + np.exp(-min(max(w.sum() + start, -30.0), 30.0))) - y
             grown = n[at] + g * g
             z[at] += g - (np.sqrt(grown) - np.sqrt(n[at])) / ALPHA * w
             n[at] = grown
@@ -67,9 +68,16 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
 
 
 def train(rows: DataFrame, limit: int = TRAIN_ROWS, group: int = GROUP_ROWS) -> Model:
-    """Fits on text and toxic (0 or 1; others and null texts are left out) of at most about ``limit`` rows."""
+    """Fits on text and toxic (0 or 1; others and null texts are left out) of at most about ``limit`` rows.
+
+    The bias starts from the share of toxic labels, with ``PRIOR_CLEAN`` clean ones added, so that a few labels mark
+    nothing; without any label every score is 0.
+    """
     rows = rows.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("double").alias("y"))
-    n = rows.select("y").count()
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    if not n:
+        return Model(-np.inf, np.zeros(0, np.int32), np.zeros(0))
+    start = float(np.log((toxic + 0.5) / (n - toxic + PRIOR_CLEAN)))
     trainers = max(1, -(-min(n, limit) // group))
     draw = F.xxhash64("doc_id", "text")
     some = rows.where(F.pmod(draw, F.lit(1 << 30)) < int((1 << 30) * limit / n)) if n > limit else rows
@@ -87,7 +95,7 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS, group: int = GROUP_ROWS) ->
         table = table.sort_by([("draw", "ascending"), ("y", "ascending")]).combine_chunks()
         lists = table.column("places").chunk(0) if table.column("places").num_chunks else pa.array([], pa.list_(pa.int32()))
         flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-        w = ftrl([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], table.column("y").to_numpy())
+        w = ftrl([flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], table.column("y").to_numpy(), start=start)
         at = np.flatnonzero(w)
         return pa.table({"place": pa.array(at.astype(np.int32)), "w": pa.array(w[at])})
 
@@ -96,7 +104,7 @@ def train(rows: DataFrame, limit: int = TRAIN_ROWS, group: int = GROUP_ROWS) ->
     found = fitted.groupBy("place").agg((F.sum("w") / F.lit(float(trainers))).alias("w")).orderBy("place").toArrow()  # 2**18 + 1 rows at most
     places, weights = found.column("place").to_numpy(), found.column("w").to_numpy()
     own = places < 1 << BITS
-    return Model(float(weights[~own].sum()), places[own], weights[own])
+    return Model(start + float(weights[~own].sum()), places[own], weights[own])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -118,7 +126,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 hit = np.flatnonzero(table[places])
                 both = np.unique(owners[hit].astype(np.int64) << BITS | places[hit])
                 total = np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], minlength=end - first) + m.bias
-                s = 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40)))
+                s = 1.0 / (1.0 + np.exp(-np.clip(total, -40, 40))) * np.isfinite(m.bias)
                 yield pa.RecordBatch.from_arrays([*[c.slice(first, end - first) for c in batch.columns], pa.array(s)], names=[*batch.schema.names, "score"])
 
     return docs.select("text", *rest).mapInArrow(run, schema)
@@ -135,13 +143,21 @@ def held_out(doc_id):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null and empty texts have the score of no features, long ones are read whole, repeated rows score the same, rows
+    with a null doc_id are scored but not learned from, labels other than 0 and 1 are ignored; an empty table gives no
+    rows. Other columns are not read.
+    """
     scored = score(docs.select("doc_id", "text"), train(labelled(docs, labels)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, columns as they were."""
+    """The rows of ``docs`` that score below the threshold, columns (of any name) as they were.
+
+    Rows are judged one by one as in ``score_documents``; without labels all of them stay.
+    """
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "text")
     scored = score(own, train(labelled(docs, labels)))
     return scored.where(F.col("score") < THRESHOLD).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
