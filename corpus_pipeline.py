@@ -1,13 +1,15 @@
 """A corpus in five stages: toxic documents go, one of each near-duplicate group stays, benchmark passages go,
 sources are mixed to their weights, and the rest is placed in shards.
 
-Each stage takes (spark, docs, sf_dir), with ``docs`` the rows that the stage before it kept.
+Each stage takes (spark, docs, sf_dir), with ``docs`` the rows that the stage before it kept, and returns their columns,
+whatever else they are called; rows with a null doc_id, text or source take part like any others, repeated rows are
+copies of each other, long texts are read whole, and an empty table stays empty. The operators' docstrings say what each
+case means for them. The last stage adds ``shard`` and replaces a column of that name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from firnline.llm import decontamination, mixing, sharding, similar, toxicity
 from firnline.llm.storage import Scratch
@@ -54,4 +56,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.put(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             scratch.drop(f"stage{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "text", "lang", "source", "n_chars", F.col("shard"))
+    return STAGES[-1][1](spark, docs, sf_dir)
