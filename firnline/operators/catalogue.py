@@ -6,7 +6,7 @@ brings an item together; order inside arrays comes from sort keys in their struc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Display order of widths and family roles.
@@ -147,8 +147,8 @@ def search_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[-_]+", " "), r"(?U)\s+", " "))
 
 
-def browse(catalogue: DataFrame, query: str = "", brand: str = "all", styles=(), skills=(), shapes=(), lines=(), widths=(), sort: str = "featured") -> DataFrame:
-    """Items that match every facet, in display order; an empty facet passes all, a null attribute fails a set one."""
+def matching(catalogue: DataFrame, query: str = "", brand: str = "all", styles=(), skills=(), shapes=(), lines=(), widths=()) -> DataFrame:
+    """Items that match every facet; an empty facet passes all, a null attribute fails a set one."""
     out = catalogue
     text = " ".join(query.replace("-", " ").replace("_", " ").lower().split())
     if text:
@@ -161,13 +161,35 @@ def browse(catalogue: DataFrame, query: str = "", brand: str = "all", styles=(),
             out = out.where(F.col(c).isin(*chosen))
     if widths:
         out = out.where(F.exists(filter_sizes(), lambda s: s["width_type"].isin(*widths)))
-    return out.orderBy(*sort_keys(sort))
+    return out
 
 
-def sort_keys(sort: str) -> list[Column]:
+def browse(catalogue: DataFrame, sort: str = "featured", collation: str | None = None, **facets) -> DataFrame:
+    """The items of ``matching`` in display order; names by code point, or by a collation such as ``ru``."""
+    return matching(catalogue, **facets).orderBy(*sort_keys(sort, collation))
+
+
+def with_places(found: DataFrame, sort: str = "featured", collation: str | None = None) -> DataFrame:
+    """The items with their place (from 1) in display order.
+
+    Items are numbered within groups of equal first sort keys; only the sizes of the groups are summed in one task.
+    """
+    price = F.col("price_from").cast("double")
+    known = F.when(price > 0, price)
+    free = F.least(F.size(available_sizes()), F.lit(999_999))
+    group = {"price-asc": F.coalesce(known, F.lit(float("inf"))), "price-desc": F.coalesce(-known, F.lit(float("inf")))}.get(sort, F.when(F.col("data_status") == "verified", 0.0).otherwise(1e6) - free)
+    rows = found.withColumn("_group", group)
+    number = F.row_number().over(Window.partitionBy("_group").orderBy(*sort_keys(sort, collation)))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(F.col("_group").alias("_g")).agg(F.count(F.lit(1)).alias("n")).select("_g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_head"))
+    return rows.withColumn("_number", number).join(heads, F.col("_group") == F.col("_g")).withColumn("place", F.col("_head") + F.col("_number")).drop("_group", "_g", "_head", "_number")
+
+
+def sort_keys(sort: str, collation: str | None = None) -> list[Column]:
     """Unknown prices come last whichever way prices are sorted."""
     price = F.when(F.col("price_from") > 0, F.col("price_from"))
-    name = [F.col("brand"), F.col("model_name"), F.col("slug")]
+    named = [F.collate(c, collation) if collation else F.col(c) for c in ("brand", "model_name")]
+    name = [*named, F.col("slug")]
     if sort == "price-asc":
         return [price.asc_nulls_last(), *name]
     if sort == "price-desc":

@@ -82,11 +82,19 @@ def duplicates(products: DataFrame) -> DataFrame:
 
 
 def proposals(pairs: DataFrame) -> DataFrame:
-    """Families of the sure pairs: identity_key, base, wide; a product in two pairs is left to review."""
+    """Families of the sure pairs: identity_key, base, wide; pairs that share a product are in ``contested``."""
     sure = pairs.where("classification = 'HIGH_CONFIDENCE_WIDTH_FAMILY'")
     uses = sure.select(F.explode(F.array("base", "variant")).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slug")
-    busy = sure.join(uses, (F.col("slug") == F.col("base")) | (F.col("slug") == F.col("variant")), "left_anti")
-    return busy.select(F.concat_ws("|", F.lit("v1"), "brand", "model", "season").alias("identity_key"), "base", F.col("variant").alias("wide"))
+    free = sure.join(uses, F.col("base") == F.col("slug"), "left_anti").join(uses, F.col("variant") == F.col("slug"), "left_anti")
+    return free.select(F.concat_ws("|", F.lit("v1"), "brand", "model", "season").alias("identity_key"), "base", F.col("variant").alias("wide"))
+
+
+def contested(pairs: DataFrame) -> DataFrame:
+    """base, wide and slug of the sure pairs that ``proposals`` leaves to review, with a product that is in two of them."""
+    sure = pairs.where("classification = 'HIGH_CONFIDENCE_WIDTH_FAMILY'").select("base", F.col("variant").alias("wide"))
+    each = sure.select("base", "wide", F.explode(F.array("base", "wide")).alias("slug"))
+    uses = each.groupBy(F.col("slug").alias("_s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.join(uses, F.col("slug") == F.col("_s"), "left_semi").select("base", "wide", "slug")
 
 
 def reconcile(proposed: DataFrame, existing: DataFrame) -> DataFrame:

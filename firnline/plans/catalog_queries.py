@@ -33,7 +33,7 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """Slug and place of an ordered, bounded or small result."""
+    """Slug and place of a result of a few rows."""
     return df.select("slug").withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
 
 
@@ -46,11 +46,12 @@ def catalogue_presentation(s: SparkSession, d: str) -> DataFrame:
 
 
 def catalogue_browse(s: SparkSession, d: str) -> DataFrame:
-    return _placed(cat.browse(_items(s, d), query="Brand#1", styles=["park", "all-mountain"], lines=["men", "unisex"], widths=["wide", "mid-wide"]))
+    found = cat.matching(_items(s, d), query="Brand#1", styles=["park", "all-mountain"], lines=["men", "unisex"], widths=["wide", "mid-wide"])
+    return cat.with_places(found).select("slug", "place")
 
 
 def catalogue_by_price(s: SparkSession, d: str) -> DataFrame:
-    return _placed(cat.browse(_items(s, d), sort="price-desc"))
+    return cat.with_places(_items(s, d), "price-desc").select("slug", "place")
 
 
 def catalogue_related(s: SparkSession, d: str) -> DataFrame:

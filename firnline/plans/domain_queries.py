@@ -245,9 +245,11 @@ def offer_authorization(s: SparkSession, d: str) -> DataFrame:
     """Imported offers against stored ones of which every fifth has changed hands."""
     i = identity.offer_identities(_offers(s, d))
     c = identity.clusters(i).select(F.col("id").alias("_id"), "cluster")
-    members = i.join(c, F.col("id") == F.col("_id")).withColumn("assigned", F.concat("base_slug", F.when(F.col("cluster") > 0, F.concat(F.lit("-"), F.col("cluster").cast("string"))).otherwise(""))).persist()
+    members = i.join(c, F.col("id") == F.col("_id")).withColumn("assigned", F.concat("base_slug", F.when(F.col("cluster") > 0, F.concat(F.lit("-"), F.col("cluster").cast("string"))).otherwise("")))
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
-    stored = members.where(k % 4 != 1).withColumn("n_model", F.when(k % 5 == 0, "another").otherwise(F.col("n_model"))).withColumn("slug", F.col("assigned")).withColumn("manual", k % 10 == 0).dropDuplicates(["slug"])
+    stored = members.where(k % 4 != 1).withColumn("n_model", F.when(k % 5 == 0, "another").otherwise(F.col("n_model"))).withColumn("slug", F.col("assigned")).withColumn("manual", k % 10 == 0)
+    least = stored.groupBy("slug").agg(F.min("id").alias("_least"))
+    stored = stored.join(least.drop("slug"), F.col("id") == F.col("_least"), "left_semi")
     return authorization.authorize(members, stored).select("base_slug", "decision", F.array_join("reasons", ",").alias("reasons"))
 
 

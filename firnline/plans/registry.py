@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.plans import catalog_queries, domain_queries, event_queries, oracle_catalog, oracle_domain, oracle_events
+from firnline.plans import catalog_queries, domain_queries, event_queries, oracle_catalog, oracle_domain, oracle_events, oracle_store, store_queries
 
-MODULES = [event_queries, catalog_queries, domain_queries]
+MODULES = [event_queries, catalog_queries, domain_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_events.ORACLE, **oracle_catalog.ORACLE, **oracle_domain.ORACLE}
+    return {**oracle_events.ORACLE, **oracle_catalog.ORACLE, **oracle_domain.ORACLE, **oracle_store.ORACLE}
