@@ -57,4 +57,12 @@ SELECT id, CASE WHEN wmin <= 0 AND wmax IS NULL THEN 'нет данных' WHEN
   CASE WHEN n * 100 >= 150 AND k <> n * 100 AND abs(k - n * 100) / (n * 100) >= 0.25 THEN CASE WHEN k > n * 100 THEN 'up' ELSE 'down' END END AS moved,
   CASE WHEN n < 3 THEN 'x_product_clicked' || CASE WHEN k % 2 = 0 THEN ',x_product_clicked_board_page' ELSE '' END ELSE '' END AS goals,
   CASE WHEN k % 40 IN (1, 3) THEN 'authentication' WHEN k % 40 = 29 THEN 'rate_limited' ELSE 'upstream' END AS failure, k % 120 = 29 OR k % 120 >= 100 AS again, CASE WHEN k % 2 = 0 THEN least(k % 30 * 1000, 10000) END AS wait FROM q""",
+    "stored_family_state": f"""WITH {PROD}, f AS (SELECT CAST(substr(id, 3) AS BIGINT) AS k, (SELECT count(*) FROM prod WHERE family_id = fam.id AND member_role = 'wide') AS w FROM fam)
+SELECT 'CONFLICT' AS status, 'absent:' || count(*) FILTER (k % 7 = 0) || ',different:' || count(*) FILTER (k % 7 <> 0 AND k % 5 = 1 AND w > 0) AS reasons, 't1' AS matched_at FROM f""",
+    "family_structure": f"""WITH {PROD}, f AS (SELECT id, CAST(substr(id, 3) AS BIGINT) AS k, (SELECT count(*) FROM prod WHERE family_id = fam.id) AS n FROM fam)
+SELECT 'v1|' || id AS identity_key, CASE WHEN n <> 2 OR k % 4 = 0 THEN 'members' WHEN k % 3 = 0 THEN 'roles' END AS problem FROM f""",
+    "metadata_changes": f"""WITH {PROD} SELECT 'v1|' || family_id AS identity_key, 'flex' AS field, NULL AS before, '5' AS after FROM prod WHERE member_role = 'base' AND flex = 5
+UNION ALL SELECT 'v1|' || family_id, 'shape_type', shape_type, NULL FROM prod WHERE member_role = 'base' AND shape_type IS NOT NULL AND {K} % 2 = 1""",
+    "offer_repairs": f"""WITH {PROD} SELECT slug, FALSE AS is_new FROM prod WHERE ({K} % 3 = 0 AND price_from > 0) OR id IN (SELECT product_id FROM siz WHERE size_cm = 95)""",
+    "digest_rows": """SELECT CAST(o_orderkey AS VARCHAR) AS logical_id, CASE WHEN o_orderkey % 11 = 0 THEN 'stored_digest_invalid' WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'stored_digest_hash_mismatch' END AS problem FROM orders""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import report_text as rt
 from firnline.operators import catalogue as cat
+from firnline.operators import changes
 from firnline.operators import families as fam
 from firnline.operators import match_texts as txt
 from firnline.operators import reads, validation
@@ -152,4 +153,50 @@ def report_texts(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = [product_by_slug, product_slugs, offer_scans, editor_products, catalogue_page, family_members, empty_families, catalogue_snapshot, catalogue_brands, size_total, related_pages, shared_images, rider_problems, product_problems, import_changes, import_counts, merged_imports, changed_rows, gallery_rewrites, deleted_sizes, contested_families, priority_impacts, report_texts]
+def _keyed_families(s: SparkSession, d: str, role=None, at: str = "t1") -> DataFrame:
+    made = reads.families_with_members(b.families(s, d), b.products(s, d))
+    member = lambda m: F.struct(m["product_id"], m["slug"], (role if role is not None else m["role"]).alias("role"), F.lit(False).alias("manual_override"), F.lit(changes.AUTOMATIC_RULE).alias("match_method"), F.lit(changes.AUTOMATIC_CONFIDENCE).alias("confidence"), F.lit(at).alias("matched_at"))
+    return made.select(F.concat(F.lit("v1|"), "id").alias("identity_key"), F.transform("members", member).alias("members"))
+
+
+def stored_family_state(s: SparkSession, d: str) -> DataFrame:
+    """Stored families of which every seventh is gone and every fifth has one role twice."""
+    k = _key("identity_key")
+    wanted = _keyed_families(s, d)
+    twice = _keyed_families(s, d, F.lit("base")).where(k % 5 == 1)
+    stored = wanted.where(k % 5 != 1).unionByName(twice).where(k % 7 != 0)
+    return changes.stored_state(wanted, stored).select("status", F.array_join("reasons", ",").alias("reasons"), "matched_at")
+
+
+def family_structure(s: SparkSession, d: str) -> DataFrame:
+    """Families by what keeps them from being kept."""
+    k = _key("identity_key")
+    mixed = _keyed_families(s, d).where(k % 3 != 0).unionByName(_keyed_families(s, d, F.lit("base")).where(k % 3 == 0))
+    some = mixed.withColumn("members", F.when(k % 4 == 0, F.slice("members", 1, 1)).otherwise(F.col("members")))
+    return some.select("identity_key", changes.structural_problem(F.col("members")).alias("problem"))
+
+
+def metadata_changes(s: SparkSession, d: str) -> DataFrame:
+    key = F.concat(F.lit("v1|"), F.col("id")).alias("identity_key")
+    f = b.families(s, d).select(key, F.lit(changes.FROM_MEMBER).alias("source_kind"), "flex", "shape_type", "source_url")
+    c = b.products(s, d).where("member_role = 'base'").select(F.concat(F.lit("v1|"), "family_id").alias("identity_key"), "flex", F.when(_key() % 2 == 0, F.col("shape_type")).alias("shape_type"), "source_url")
+    return changes.metadata_changes(f, c, ["flex", "shape_type", "source_url"])
+
+
+def offer_repairs(s: SparkSession, d: str) -> DataFrame:
+    """Offers whose evidence changes when every third price and every size of 95 cm does."""
+    p, z = b.products(s, d), b.sizes(s, d)
+    after = changes.offer_evidence(p.withColumn("price_from", F.when(_key() % 3 == 0, 0).otherwise(F.col("price_from"))), z.withColumn("size_cm", F.when(F.col("size_cm") == 95, 96.0).otherwise(F.col("size_cm"))))
+    return changes.repairs(changes.offer_evidence(p, z), after)
+
+
+def digest_rows(s: SparkSession, d: str) -> DataFrame:
+    """Ledger rows against the digests that they hold."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    body = F.to_json(F.struct(n.alias("logicalId"), F.lit("daily").alias("kind"), F.lit("ok").alias("status"), F.struct(F.concat(F.lit("c"), n).alias("contentHash")).alias("delivery"), F.struct(F.concat(F.lit("e"), n).alias("evidenceHash")).alias("sourceReport")))
+    rows = b.table(s, d, "orders").select(n.alias("logical_id"), F.when(k % 5 == 0, "weekly").otherwise("daily").alias("kind"), F.lit("ok").alias("digest_status"), F.concat(F.lit("c"), n).alias("content_hash"), F.when(k % 7 == 0, "old").otherwise(F.concat(F.lit("e"), n)).alias("evidence_hash"), F.when(k % 11 == 0, "{broken").otherwise(body).alias("digest"))
+    return changes.stored_digest_problem(rows)
+
+
+QUERIES = [product_by_slug, product_slugs, offer_scans, editor_products, catalogue_page, family_members, empty_families, catalogue_snapshot, catalogue_brands, size_total, related_pages, shared_images, rider_problems, product_problems, import_changes, import_counts, merged_imports, changed_rows, gallery_rewrites, deleted_sizes, contested_families, priority_impacts, report_texts, stored_family_state, family_structure, metadata_changes, offer_repairs, digest_rows]
