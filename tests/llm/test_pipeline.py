@@ -6,7 +6,8 @@ import corpus_pipeline
 import duckdb
 import pytest
 from firnline.llm import queries, sql, toxicity
-from tests_llm_help import hits, roots, slow_fingerprint
+from test_similar import components
+from tests_llm_help import hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +21,9 @@ def test_stages(spark):
     scored = {r.doc_id for r in toxicity.score(docs, model).where(f"score < {toxicity.THRESHOLD}").collect()}
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == scored
     one = corpus_pipeline.drop_near_copies(spark, clean, SF)
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in clean.collect()}
-    assert one.columns == columns and Counter(r.doc_id for r in one.collect()) == Counter(set(roots(fps).values()))
+    rows = sorted((r.doc_id, r.text) for r in clean.collect())
+    want, _ = components([t for _, t in rows])  # five words and a similarity of 0.8 or more
+    assert one.columns == columns and Counter(r.doc_id for r in one.collect()) == Counter(rows[i][0] for i in set(want))
     fresh = corpus_pipeline.drop_contaminated(spark, one, SF)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert fresh.columns == columns and {r.doc_id for r in fresh.collect()} == {r.doc_id for r in one.collect() if not hits(r.text, items)[-1]}
