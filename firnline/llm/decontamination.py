@@ -18,8 +18,9 @@ from firnline.llm.copies import numbered_copies
 
 #: What separates words: ASCII other than digits and lower-case letters, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of the benchmark that are broadcast at most (about 200 bytes each); beyond, both sides are shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Windows of the benchmark that are broadcast at most, and their bytes with the ids of their items; beyond, both sides are
+#: shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +70,10 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
     which with doc_id tells rows of different texts apart.
     """
     windows = benchmark_windows(benchmark, span, k)
-    lengths = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most `span` rows
+    room = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", ","))
+    totals = windows.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum(room).alias("room")).collect()  # at most `span` rows
+    lengths = {r["n"]: r["c"] for r in totals}
+    small = sum(lengths.values()) <= BROADCAST_WINDOWS and sum(r["room"] for r in totals) <= BROADCAST_BYTES
     width = span - k + 1
     base = docs.select("doc_id", content_key(F.col("text")).alias("content"), words_of(F.col("text")).alias("words"))
     hashed = base.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("gram", _grams(F.col("h"), k))
@@ -84,7 +88,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k:
         offset, before = F.when(F.col("_n") == n, before).otherwise(offset), before + firsts(n)
     grouped = windows.groupBy("fingerprint").agg(F.collect_list(F.struct("window", "n", "items")).alias("found"))
     spread = lambda *columns: rows.select(*columns, F.posexplode_outer("selected").alias("place", "fingerprint"))
-    if sum(lengths.values()) <= BROADCAST_WINDOWS:
+    if small:
         probes = spread("doc_id", "content", "words")
         joined = probes.join(F.broadcast(grouped), "fingerprint", "left").where(F.col("fingerprint").isNull() | F.col("found").isNotNull())
     else:  # narrow rows find the hits; words travel for those alone
