@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.operators.catalogue import number_text, size_label
-from firnline.operators.recommend import INPUTS, choose, recommend, skill_points, style_points, terrain_points, with_profile
+from firnline.operators.recommend import choose, recommend, skill_points, style_points, terrain_points, with_profile
 
 # The texts shown -----------------------------------------------------------------------------------
 SHAPES = {"twin": "твин", "asym-twin": "асимметричный твин", "directional-twin": "направленный твин", "directional": "направленная", "tapered-directional": "направленная с тейпером"}
@@ -97,6 +97,42 @@ IMPACT_FEELS = {
     "groomers-carving": ("стабильнее в дуге", "Этот приоритет усиливает ощущение собранной доски, которая спокойнее стоит на канте и увереннее ощущается на скорости."),
     "soft-snow": ("спокойнее вне трассы", "Этот приоритет добавляет больше запаса в разбитом и мягком снегу, чтобы доска ощущалась менее нервной вне ровной трассы."),
 }
+STYLE_NAMES = {"all-mountain": "all-mountain", "park": "park / freestyle", "freeride": "freeride / powder"}
+TEMPERS = {"relaxed": "спокойный", "balanced": "сбалансированный", "aggressive": "агрессивный"}
+STANCES = {"standard": "стандартная стойка", "duck": "duck stance", "unknown": "не уверен в стойке"}
+LINE_NAMES = {"men": "мужская / унисекс", "women": "женская", "any": "не важно"}
+SKILL_NAMES = {"beginner": "начинающий", "intermediate": "средний уровень", "advanced": "продвинутый"}
+DRAG_NAMES = {"low": "низкий", "medium": "средний", "high": "высокий"}
+WIDTH_NAMES = {"regular": "обычная ширина", "mid-wide": "mid-wide", "wide": "wide"}
+WIDTH_TEXTS = {
+    "regular": "Подходит большинству райдеров со стандартным размером ботинка.",
+    "mid-wide": "Нужен запас по ширине, но без перехода в максимально широкую доску.",
+    "wide": "Широкая геометрия снижает риск зацепа ботинком при крупных размерах.",
+}
+SHAPE_TEXTS = {
+    "switch-freestyle": ("Сейчас логичнее смотреть в сторону twin или близких к нему форм.", "Приоритет на свич, side hits и более живое ощущение под ногами лучше всего раскрывается на twin. Если хочется оставить чуть больше универсальности, хорошим компромиссом остаётся асимметричный или направленный твин."),
+    "groomers-carving": ("Сейчас логичнее смотреть в сторону более направленной формы.", "Если приоритетом являются трасса и дуга, направленная геометрия обычно даёт более собранный вход в поворот и спокойнее держит скорость. Направленный твин остаётся рабочим вариантом, если не хочется совсем терять универсальность."),
+    "soft-snow": ("Сейчас логичнее смотреть в сторону направленной формы с запасом для мягкого снега.", "Если хочется больше уверенности в мягком снегу и разбитом рельефе, в приоритете оказываются направленные формы. Тейпер здесь особенно полезен, когда катание заметно смещено в freeride-сценарий."),
+    "park": ("Сейчас логичнее смотреть в сторону twin или близких к нему форм.", "Для парка, свича и более игривой подачи безопаснее всего начинать с twin. Если хочется чуть больше универсальности вне парка, подойдёт и направленный твин."),
+    "freeride-relaxed": ("Сейчас логичнее смотреть в сторону направленной формы.", "Во freeride-сценарии направленная геометрия обычно даёт больше спокойствия на скорости и понятнее ведёт доску носом вперёд. Тейпер здесь тоже в рабочей зоне."),
+    "freeride": ("Сейчас логичнее смотреть в сторону направленной формы с тейпером.", "Если катание смещено в freeride и хочется больше запаса в мягком снегу, tapered directional обычно выглядит сильнее всего. Простая направленная форма тоже остаётся хорошим вариантом."),
+    "aggressive": ("Сейчас логичнее смотреть в сторону более направленной формы.", "Для более жёсткого all-mountain катания направленная геометрия часто даёт спокойнее вход в дугу и больше стабильности. Направленный твин остаётся хорошим компромиссом, если не хочется терять универсальность."),
+    "balanced": ("Сейчас логичнее смотреть в сторону направленного твина.", "Для универсального катания направленный твин обычно даёт лучший баланс: доска остаётся живой и понятной, но не уходит слишком далеко ни в парк, ни в чистый freeride."),
+}
+EXPLAIN_TERRAIN = {
+    "balanced": "Приоритет выбран как универсальный, поэтому сервис не смещает подбор лишний раз в парк или freeride.",
+    "switch-freestyle": "Дополнительный приоритет на свич и freestyle слегка удерживает рекомендацию ближе к более живой стороне диапазона.",
+    "groomers-carving": "Дополнительный приоритет на трассу и дугу чуть смещает подбор к более собранной длине и направленной форме.",
+    "soft-snow": "Дополнительный приоритет на мягкий снег даёт небольшой сдвиг к длине и форме с большим запасом вне трассы.",
+}
+EXPLAIN_WEIGHT = "Вес %s кг даёт базовый диапазон %s-%s см. Дальше мы мягко подправили его под рост %s см, стиль %s и ваш %s темп катания."
+EXPLAIN_LENGTH = 'Итоговый диапазон %s-%s см остаётся рабочей зоной, но внутри неё сервис дополнительно ищет размер ближе к идеальной точке около %s см, а не просто любую доску "в пределах".'
+EXPLAIN_WIDTH = "Размер ботинка EU %s и %s выводят вас в категорию %s. Мы ориентируемся на целевую талию около %s мм и отдельно штрафуем варианты, которые становятся заметно шире нужного. %s"
+CARVING_CLEARANCE = " Для carving-сценария мы оставили дополнительный запас по талии, чтобы снизить риск касания ботинком снега на больших углах закантовки."
+EXPLAIN_SHAPE = "%s Базовый ориентир здесь — %s. %s"
+EXPLAIN_FLEX = "По жёсткости доски сейчас логичнее смотреть в диапазон %s-%s из 10: это помогает не тянуть слишком дубовую модель в relaxed/park-сценарий и не опускаться слишком мягко в aggressive/freeride."
+EXPLAIN_DRAG = "Риск boot drag сейчас оценивается как %s. Это не абсолютный приговор, а понятная подсказка: при выборе доски уже видно, где ширина безопасна, а где лучше не рисковать."
+EXPLAIN_TRUST = "В подборе мы дополнительно учитываем линию %s и уровень %s, а в выдаче выше ставим проверенные карточки с живыми ссылками, чтобы рекомендации выглядели надёжнее."
 # -----------------------------------------------------------------------------------------------------------------
 
 
@@ -179,7 +215,30 @@ def priority_impact(riders: DataFrame) -> DataFrame:
     return p.select("rider_id", one(IMPACT_HEADLINES).alias("headline"), summary.alias("summary"), cards.alias("cards"))
 
 
-def explanation_values(riders: DataFrame) -> DataFrame:
-    """rider_id and the numbers and kinds that the explanation of a result names, in its order."""
-    p = with_profile(riders)
-    return p.select("rider_id", *[c for c in INPUTS if c != "rider_id"], "base_lo", "base_hi", "lo", "hi", F.format_number("target", 1).alias("target"), "width_type", "waist", (F.col("terrain_priority") == "groomers-carving").alias("carving_clearance"), "shape_first", "flex_lo", "flex_hi", "boot_drag_risk")
+def explanation(riders: DataFrame) -> DataFrame:
+    """rider_id and lines: the eight texts that explain a rider's result, in order."""
+    p, c = with_profile(riders), F.col
+    say = lambda template, *values: F.printf(F.lit(template), *values)
+    label = lambda name, table: choose(c(name), table, None)
+    n = lambda name: number_text(c(name))
+    target = F.format_number(F.round("target", 1), 1)
+    carving = F.when(c("terrain_priority") == "groomers-carving", CARVING_CLEARANCE).otherwise("")
+    lines = F.array(
+        say(EXPLAIN_WEIGHT, n("weight_kg"), n("base_lo"), n("base_hi"), n("height_cm"), label("riding_style", STYLE_NAMES), label("aggressiveness", TEMPERS)),
+        say(EXPLAIN_LENGTH, n("lo"), n("hi"), target),
+        choose(c("terrain_priority"), EXPLAIN_TERRAIN, EXPLAIN_TERRAIN["balanced"]),
+        F.concat(say(EXPLAIN_WIDTH, n("boot_size_eu"), label("stance_type", STANCES), label("width_type", WIDTH_NAMES), n("waist"), label("width_type", WIDTH_TEXTS)), carving),
+        say(EXPLAIN_SHAPE, _shape_text(0), label("shape_first", SHAPES), _shape_text(1)),
+        say(EXPLAIN_FLEX, n("flex_lo"), n("flex_hi")),
+        say(EXPLAIN_DRAG, label("boot_drag_risk", DRAG_NAMES)),
+        say(EXPLAIN_TRUST, label("board_line_preference", LINE_NAMES), label("skill_level", SKILL_NAMES)),
+    )
+    return p.select("rider_id", lines.alias("lines"))
+
+
+def _shape_text(i: int) -> Column:
+    """Headline (0) or description (1) of the shapes that suit a rider."""
+    terrain, style, temper = F.col("terrain_priority"), F.col("riding_style"), F.col("aggressiveness")
+    t = {k: F.lit(v[i]) for k, v in SHAPE_TEXTS.items()}
+    by_style = F.when(style == "park", t["park"]).when(style == "freeride", F.when(temper == "relaxed", t["freeride-relaxed"]).otherwise(t["freeride"])).when(temper == "aggressive", t["aggressive"]).otherwise(t["balanced"])
+    return F.when(terrain == "switch-freestyle", t["switch-freestyle"]).when(terrain == "groomers-carving", t["groomers-carving"]).when(terrain == "soft-snow", t["soft-snow"]).otherwise(by_style)
