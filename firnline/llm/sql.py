@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of the operator queries that SQL can express."""
 
-#: 3-gram marking by exact windows: every document window is looked up among the benchmark's windows.
+#: Marking by exact windows of ten words: every document window is looked up among the benchmark's windows.
 DECONTAMINATION = r"""
 WITH b AS (
   SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
@@ -65,3 +65,20 @@ o AS (
 SELECT source, doc_id, tokens AS n_tokens, pass, CAST(begun + j * tokens AS BIGINT) AS start
 FROM (SELECT *, unnest(range(0, copies)) AS j FROM o WHERE begun < quota - pass * total)
 """
+
+#: Every 200-byte window of the texts in hexadecimal digits; those found twice cover what is removed.
+REPEATED_STRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT rid, j, substr(h, 1024 * j + 1, 1422) AS piece FROM (SELECT rid, h, unnest(range(0, CAST(length(h) // 1024 + 1 AS BIGINT))) AS j FROM d)),
+w AS (SELECT rid, 512 * j + o AS i, md5(substr(piece, 2 * o + 1, 400)) AS k FROM (SELECT rid, j, piece, unnest(range(0, CAST(least(512, length(piece) // 2 - 199) AS BIGINT))) AS o FROM p)),
+r AS (SELECT rid, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+s AS (SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 200, TRUE) AS fresh FROM r),
+g AS (SELECT rid, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+spans AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY rid, run),
+edges AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+per AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY rid),
+parts AS (SELECT rid, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k FROM edges JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(parts.k, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per USING (rid) LEFT JOIN parts USING (rid)
+"""
