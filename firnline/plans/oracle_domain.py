@@ -139,3 +139,9 @@ top AS (SELECT rider_id, slug AS best FROM m WHERE place = 1)
 SELECT rider_id, choice, slug FROM (SELECT rider_id, 'steady-choice' AS choice, s1 AS slug FROM c UNION ALL SELECT c.rider_id, 'width-choice', coalesce(s2, best) FROM c JOIN top USING (rider_id) UNION ALL SELECT c.rider_id, 'playful-choice', coalesce(s3, best) FROM c JOIN top USING (rider_id))"""
 
 ORACLE |= {"report_warnings": WARNINGS, "store_links": LINKS, "size_tables": TABLES, "decision_guide": GUIDE, "table_checksum": "SELECT count(*) AS rows FROM supplier"}
+
+ORACLE |= {
+    "table_digest": """WITH r AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, md5(to_json({'s_acctbal': s_acctbal, 's_name': s_name, 's_nationkey': s_nationkey, 's_suppkey': s_suppkey})) AS h FROM supplier),
+p AS (SELECT substr(md5(k), 1, 3) AS p, md5(string_agg(h, '' ORDER BY k, h)) AS h FROM r GROUP BY 1)
+SELECT (SELECT count(*) FROM r) AS rows, md5(string_agg(h, '' ORDER BY p, h)) AS md5 FROM p"""
+}
