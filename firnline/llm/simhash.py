@@ -152,16 +152,17 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def numbered_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows with a number each (_row), written so that the numbers stay."""
-    return scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    """_row (a number) and _own (the row as it is) of every row, written so that the numbers stay."""
+    return scratch.put(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")), "rows")
 
 
 def one_row_per_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Of each root one row: the least by doc_id (null last), content, other columns and number. roots: _row, _root."""
-    other = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_row", "doc_id", "text")], F.lit(0).alias("_")))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("content"), F.xxhash64(other).alias("other"), "_row")
+    names = [c for c in rows.schema["_own"].dataType.names if c not in ("doc_id", "text")]
+    other = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col("_own")[c].alias(f"c{i}") for i, c in enumerate(names)]))
+    place = F.struct(F.col("_own.doc_id").isNull().alias("no_id"), F.col("_own.doc_id").alias("doc_id"), F.xxhash64("_own.text").alias("content"), F.xxhash64(other).alias("other"), "_row")
     least = rows.select("_row", place.alias("_place")).join(roots, "_row").groupBy("_root").agg(F.min("_place").alias("_place"))
-    return rows.join(least.select("_place._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"])
+    return rows.join(least.select("_place._row"), "_row", "left_semi").select("_own.*")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash-rows")
     rows = numbered_rows(docs, scratch)
-    marked = scratch.put(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")), "fingerprints").select(F.col("doc_id").alias("_row"), "fp")
+    marked = scratch.put(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("_own.text").alias("text"))), "fingerprints").select(F.col("doc_id").alias("_row"), "fp")
     found = components(links(marked.select("fp").distinct(), scratch), scratch)
     roots = marked.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_row", F.coalesce("root", "fp").alias("_root"))
     return one_row_per_root(rows, roots)
