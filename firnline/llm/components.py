@@ -29,6 +29,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     No edges give no nodes.
     """
     at, now = 0, scratch.put(edges, "edges0")
+    if now.isEmpty():
+        return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     sign = None
     while True:
         large = scratch.put(_large_star(now, scratch, f"large{at}"), f"stars{at}")
