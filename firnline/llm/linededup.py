@@ -4,6 +4,10 @@ Units are lines, and the sentences of lines that have several, whatever their le
 words (letters and digits, A-Z in lower case) and known by 128 bits of rolling hash over its word hashes; the words of
 a line without letters and digits are its runs between white space. Only blank lines, and sentences without letters
 and digits, are no units. Occurrences are ranked by doc_id, content and position.
+
+Every unit that is not the earliest of its kind is found. A single short one says little ("Yes." or a date line are in
+many good texts), so ``least_run`` bytes may be asked of what is cut: then it is runs of found units, with nothing but white
+space between, of so many bytes or more, and documents in which every unit was found. Without it every found unit goes.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from firnline.llm.textblocks import ALNUM, BASE, LOWER, SPACE, blocks, mixed, pr
 
 #: Units of fewer words are never removed; one word means that every unit counts.
 LINE_WORDS, SENTENCE_WORDS = 1, 1
+#: The least run of the query, in bytes: about twenty words.
+LEAST_RUN = 128
 SECOND_BASE = 0xD1342543DE82EF95
 
 
@@ -90,18 +96,19 @@ def repeated_units(docs: DataFrame, scratch: Scratch, line_words: int = LINE_WOR
     return later.groupBy("doc_id", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
-    """doc_id, n_bytes, removed (array of a and b: bytes of the original text), kept (binary) for every row.
+def remove_repeated_units(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, least_run: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_found, removed (array of a and b: bytes of the original text), kept (binary) for every row.
 
-    A null text is empty. Rows equal in doc_id and text are one document: they keep and lose the same units. Null
-    doc_ids rank first. An empty table gives no rows.
+    n_found counts the bytes in repeated units whatever the length of their runs. A null text is empty. Rows equal in
+    doc_id and text are one document: they keep and lose the same units. Null doc_ids rank first. Long texts are taken
+    whole, other columns are not read, and an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")).alias("content"), "text")
-    return cut_spans(keyed, repeated_units(keyed, scratch, line_words, sentence_words))
+    return cut_spans(keyed, repeated_units(keyed, scratch, line_words, sentence_words), least_run)
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, removed, kept_sha256, text (what is kept)."""
-    out = remove_repeated_units(docs)
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "removed", F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("text"))
+def line_report(docs: DataFrame, least_run: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_found, n_removed, n_spans, removed, kept_sha256, text (what is kept)."""
+    out = remove_repeated_units(docs, least_run=least_run)
+    return out.select("doc_id", "n_bytes", "n_found", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "removed", F.sha2("kept", 256).alias("kept_sha256"), F.decode("kept", "UTF-8").alias("text"))
