@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.llm import decontamination, hardneg, langid, linededup, mixing, prefixtrie, quality, sharding, simhash, sql, suffix, tokenbin, toxicity
+from firnline.llm import decontamination, hardneg, langid, linededup, mixing, prefixtrie, quality, sharding, simhash, sql, suffix, tokenbin, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,9 +65,13 @@ def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing, op9_line_hash_dedup, op10_bucket_pointer_suffixes, op11_prefix_trie, op12_bit_sliced_negatives)}
+    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_ftrl_toxicity, op3_winnowing_decontamination, op4_zstd_token_frames, op5_simhash_pivot_tables, op6_ecoc_language_id, op7_repetition_coverage, op8_temperature_mixing, op9_line_hash_dedup, op10_bucket_pointer_suffixes, op11_prefix_trie, op12_bit_sliced_negatives, op13_warc_capture_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op8_temperature_mixing": sql.MIXING, "op10_bucket_pointer_suffixes": sql.REPEATED_STRINGS, "op11_prefix_trie": sql.PREFIX_TRIE, "op12_bit_sliced_negatives": sql.HARD_NEGATIVES}
+    return {"op3_winnowing_decontamination": sql.DECONTAMINATION, "op8_temperature_mixing": sql.MIXING, "op10_bucket_pointer_suffixes": sql.REPEATED_STRINGS, "op11_prefix_trie": sql.PREFIX_TRIE, "op12_bit_sliced_negatives": sql.HARD_NEGATIVES, "op13_warc_capture_index": sql.ARCHIVES}

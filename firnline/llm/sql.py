@@ -133,3 +133,17 @@ WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
 QUALIFY row_number() OVER w <= 10
 """
+
+#: Of equal payloads the largest page_id is the response; base32 of SHA-1 from groups of five hexadecimal digits.
+ARCHIVES = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+         row_number() OVER w AS place, first_value(page_id) OVER w AS best
+  FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)),
+d AS (SELECT *, [CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS five FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((five[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN best END AS refers_to
+FROM d
+"""
