@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.functions.text import blank_to_null, identity_text, let, season_rank, season_text, slug
+from firnline.functions.order import dictionary
+from firnline.functions.text import blank_to_null, identity_text, let, season_text, slug
 
 LINES = ["men", "women", "unisex"]
 #: Hosts of the managed stores and where their product ids stand in a path.
@@ -89,10 +88,6 @@ def pair_compatibility(identities: DataFrame) -> DataFrame:
     return pairs.select(F.col("l.base_slug").alias("base_slug"), F.col("l.id").alias("left"), F.col("r.id").alias("right"), incompatibilities("l", "r").alias("reasons"))
 
 
-def _natural(text: str) -> tuple:
-    return tuple((0, int(x), "") if x.isdigit() else (1, 0, x.casefold()) for x in re.findall(r"\d+|\D+", text))
-
-
 FIELDS = ["store_code", "source_product_id", "source_key", "n_brand", "n_model", "board_line", "line_evidence", "season", "variant"]
 
 
@@ -112,12 +107,18 @@ def _fits(a: dict, b: dict) -> bool:
 def clusters(identities: DataFrame) -> DataFrame:
     """id, base_slug, cluster (number in the slug), clusters: each offer joins the first cluster that it fits as a whole.
 
-    The order of offers decides, so a slug's offers are taken in one group; slugs are the unit of parallel work.
+    Offers go by store, number, line, season and variant in dictionary order, then by id. Offers of one identity always
+    meet in one cluster, so only distinct identities are compared; and as names and variants of a cluster are the same,
+    those are compared within one slug, name and variant, each in a group of its own.
     """
+    own = F.md5(F.to_json(F.struct(*FIELDS)))
+    label = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("store_code", "source_product_id", "board_line", "season", "variant")])
+    marked = identities.withColumn("_i", own)
+    kinds = marked.groupBy("base_slug", "_i", *FIELDS).agg(F.min("id").alias("_least"))
+    ranked = kinds.withColumn("place", F.row_number().over(Window.partitionBy("base_slug").orderBy(dictionary(label), "_least")))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: (None if v is None or v != v else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-        rows.sort(key=lambda r: (_natural("|".join([r["store_code"] or "", r["source_product_id"] or "", r["board_line"], r["season"] or "", r["variant"] or ""])), r["id"]))
+        rows = sorted(({k: (None if v is None or v != v else v) for k, v in r.items()} for r in pdf.to_dict("records")), key=lambda r: r["place"])
         found: list[list[dict]] = []
         out = []
         for r in rows:
@@ -125,10 +126,14 @@ def clusters(identities: DataFrame) -> DataFrame:
             if k == len(found):
                 found.append([])
             found[k].append(r)
-            out.append((r["id"], r["base_slug"], k))
-        return pd.DataFrame([(*x, len(found)) for x in out], columns=["id", "base_slug", "cluster", "clusters"])
+            out.append((r["base_slug"], r["_i"], found[k][0]["place"]))
+        return pd.DataFrame(out, columns=["base_slug", "_i", "lead"])
 
-    return identities.select("id", "base_slug", *FIELDS).groupBy("base_slug").applyInPandas(group, "id string, base_slug string, cluster int, clusters int")
+    names = ["base_slug", "n_brand", "n_model", "variant"]
+    led = ranked.select("base_slug", "_i", "place", *FIELDS).groupBy(*names).applyInPandas(group, "base_slug string, _i string, lead int")
+    number = F.dense_rank().over(Window.partitionBy("base_slug").orderBy("lead")) - 1
+    numbered = led.withColumn("cluster", number).withColumn("clusters", F.max("cluster").over(Window.partitionBy("base_slug")) + 1)
+    return marked.select("id", "base_slug", "_i").join(numbered.drop("lead"), ["base_slug", "_i"]).select("id", "base_slug", F.col("cluster").cast("int").alias("cluster"), F.col("clusters").cast("int").alias("clusters"))
 
 
 def group_classes(identities: DataFrame, clustered: DataFrame) -> DataFrame:
@@ -162,17 +167,6 @@ def completeness(sizes: Column, shape: Column, flex: Column, active: Column) ->
     return F.size(sizes) * 10 + known * 8 + F.when(F.length(shape) > 0, 4).otherwise(0) + F.when(flex != 0, 3).otherwise(0) + F.when(active, 3).otherwise(0)
 
 
-def commerce_owner(offers: DataFrame, by: str) -> DataFrame:
-    """The offer of each group that sells: active, priced, cheapest, most complete, then by store and id."""
-    priced = F.col("price_from") > 0
-    key = F.struct((~F.col("is_active")).alias("a"), (~priced).alias("b"), F.when(priced, F.col("price_from")).otherwise(0).alias("c"), (-F.col("completeness")).alias("d"), F.coalesce("store_code", F.lit("")).alias("e"), F.lpad(F.coalesce("source_product_id", F.lit("")), 20, "0").alias("f"), "id")
-    return offers.groupBy(by).agg(F.min(key)["id"].alias("owner"))
-
-
-def newest_season(offers: DataFrame, by: str) -> DataFrame:
-    return offers.groupBy(by).agg(F.max_by("season_label", season_rank(F.col("season_label"))).alias("season_label"))
-
-
 def stale_decisions(existing: DataFrame, resolved: DataFrame, observed: DataFrame, checked: DataFrame) -> DataFrame:
     """slug and decision (stale, keep, block or revalidate) of active stored products that an import did not resolve.
 
