@@ -71,7 +71,8 @@ j3 AS (SELECT *, row_number() OVER (ORDER BY base_slug, c) AS i, CASE WHEN len(o
 given AS (
   SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS STRUCT(slug VARCHAR, reason VARCHAR)) AS x
   UNION ALL
-  SELECT n.i, list_append(used, y.slug), y FROM (SELECT j3.i, used, list_filter(cands, lambda e: NOT list_contains(used, e.slug))[1] AS y FROM given JOIN j3 ON j3.i = given.i + 1) n),
+  SELECT n.i, list_append(held, y.slug), y FROM (SELECT i, held, list_filter(cands, lambda e: NOT list_contains(held, e.slug))[1] AS y FROM (
+    SELECT j3.i, cands, CASE WHEN j3.c = 0 AND j3.base IS NULL THEN list_append(used, j3.base_slug) ELSE used END AS held FROM given JOIN j3 ON j3.i = given.i + 1)) n),
 slugs AS (SELECT j3.base_slug, j3.c, base, why, x.slug AS slug, coalesce(x.reason, CASE WHEN len(old) > 1 THEN 'blocking-existing-identity-duplication' ELSE 'blocking-no-safe-slug' END) AS reason FROM j3 JOIN given USING (i))"""
 
 SIZES = """sz AS (SELECT product_id, count(*) AS n, 10 * count(*) + 8 * count(*) FILTER (WHERE wmin > 0 OR wmax IS NOT NULL) AS pts,
