@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from firnline.functions.text import family_brand, family_model, family_season
 from firnline.operators.changes import AUTOMATIC_CONFIDENCE, AUTOMATIC_RULE, FROM_MEMBER, METADATA
 from firnline.operators.digest import checksum
+from firnline.sources.rounds import Rounds
 from firnline.sources.versions import Version, Versions
 
 FIELDS = ["description_short", "description_full", *METADATA]
@@ -195,7 +196,7 @@ def plan(decided: DataFrame, candidates: DataFrame, review: DataFrame | None = N
 MUTATIONS = ["new_family", "new_membership", "metadata", "continuity"]
 
 
-def fingerprint(planned: DataFrame, decided: DataFrame, candidates: DataFrame) -> str:
+def fingerprint(planned: DataFrame, candidates: DataFrame) -> str:
     """One hash of what a plan would change, to the value; plans that change the same have the same, whatever the row order."""
     target = candidates.select(F.col("identity_key").alias("_k"), F.to_json(F.struct("slug", "brand", "model_name", "season_label", *FIELDS)).alias("target"))
     changes = planned.where(F.col("bucket").isin(MUTATIONS)).join(target, F.col("identity_key") == F.col("_k"), "left").drop("_k")
@@ -262,10 +263,10 @@ def preview(store: Versions, candidates: DataFrame, version: Version | None = No
     """Inputs, decisions, plan and its fingerprint against a version of the store; nothing is written."""
     at = version or store.version()
     families, products = (store.staged(at.tables[name]) for name in ("families", "products"))
-    x = Inputs(candidates, families, memberships(products), products)
-    decided = decisions(x)
-    planned = plan(decided, candidates)
-    return x, decided, planned, fingerprint(planned, decided, candidates)
+    x, tables = Inputs(candidates, families, memberships(products), products), Rounds(store.spark, "reconcile")
+    decided = tables.put(decisions(x), "decided")
+    planned = tables.put(plan(decided, candidates), "planned")
+    return x, decided, planned, fingerprint(planned, candidates)
 
 
 def _counts(planned: DataFrame) -> dict[str, int]:
@@ -302,8 +303,7 @@ def apply(store: Versions, candidates: DataFrame, expected: str, matched_at: str
             raise Refused(f"{name}: {made} instead of {want}")
         tables[name] = store.stage(name, marked.drop("_wanted", "_done"))
     families, products = store.staged(tables["families"]), store.staged(tables["products"])
-    after = Inputs(candidates, families, memberships(products), products)
-    left = _counts(plan(decisions(after), candidates))
+    left = _counts(preview(store, candidates, Version(0, tables, {}))[2])
     if any(left.values()):
         raise Refused(f"the next state would change again: {left}")
     if _sources(x.products) != _sources(products):
