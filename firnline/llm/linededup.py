@@ -1,13 +1,14 @@
 """Removing repeated lines and sentences: the earliest occurrence stays, the rest goes, offsets are kept.
 
 Units are lines, and the sentences of lines that have several, whatever their length. A unit is normalised to its
-words (letters and digits, A-Z in lower case) and known by 128 bits of rolling hash over its word hashes; the words of
-a line without letters and digits are its runs between white space. Only blank lines, and sentences without letters
+words (letters and digits, A-Z in lower case) and known by two rolling hashes of 61 bits, each over word hashes of its
+own, modulo a prime and with bases that the driver draws for each run, so that no text can be written to collide; the
+words of a line without letters and digits are its runs between white space. Only blank lines, and sentences without letters
 and digits, are no units. Occurrences are ranked by doc_id, content and position.
 
-Every unit that is not the earliest of its kind is found. A single short one says little ("Yes." or a date line are in
-many good texts), so ``least_run`` bytes may be asked of what is cut: then it is runs of found units, with nothing but white
-space between, of so many bytes or more, and documents in which every unit was found. Without it every found unit goes.
+Every unit that is not the earliest of its kind goes. ``least_run`` is an option for corpora whose short repeated lines
+are to stay ("Yes." or a date line are in many good texts): with it only runs of found units go, with nothing but white
+space between, of so many bytes or more, and documents in which every unit was found.
 """
 
 from __future__ import annotations
@@ -19,30 +20,15 @@ from pyspark.sql import functions as F
 
 from firnline.llm.cutting import cut_spans
 from firnline.llm.storage import Scratch
-from firnline.llm.textblocks import ALNUM, BASE, LOWER, SPACE, blocks, mixed, prefix_hashes, span_hashes, word_spans
+from firnline.llm.textblocks import ALNUM, LETTERS, LOWER, SPACE, blocks, keyed_prefix, keyed_spans, random_base, word_spans
 
 #: Units of fewer words are never removed; one word means that every unit counts.
 LINE_WORDS, SENTENCE_WORDS = 1, 1
-#: The least run of the query, in bytes: about twenty words.
-LEAST_RUN = 128
-SECOND_BASE = 0xD1342543DE82EF95
-
-
-def _unit_hashes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of word sequences lo up to hi, from prefix sums over the words."""
-    up = np.full(len(keys) + 1, base, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(len(keys) + 1, pow(base, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.zeros(len(keys) + 1, np.uint64)
-    np.cumsum(mixed(keys ^ np.uint64(base)) * up[:-1], out=sums[1:])
-    return mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-
-
-def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> dict[str, np.ndarray]:
-    """row, a, b (bytes of the row), h1, h2 of each line and sentence with words enough; a line has its line feed."""
+def units_of(data: np.ndarray, offsets: np.ndarray, bases: tuple[int, int, int, int], line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> dict[str, np.ndarray]:
+    """row, a, b (bytes of the row), h1, h2 of each line and sentence with words enough; a line has its line feed.
+
+    ``bases`` are those of words and of sequences of words, for each of the two hashes.
+    """
     n = len(data)
     lowered = LOWER[data]
     starts, ends, _ = word_spans(lowered, offsets, ALNUM)
@@ -56,7 +42,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS
         own = bare[np.searchsorted(lines, more, side="right") - 1]
         order = np.argsort(starts := np.append(starts, more[own]), kind="stable")
         starts, ends = starts[order], np.append(ends, till[own])[order]
-    keys = span_hashes(prefix_hashes(lowered), starts, ends)
+    words = [keyed_prefix(keyed_spans(keyed_prefix(LETTERS[lowered], letter), starts, ends, letter), word) for letter, word in zip(bases[::2], bases[1::2], strict=True)]
     stop = np.zeros(n, bool)  # a sentence ends at the space after . ! or ?
     stop[1:] = np.isin(data[:-1], list(b".!?")) & (data[1:] == 0x20)
     inner = head.copy()
@@ -73,7 +59,7 @@ def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS
             good &= ~(head[heads] & head[tails]) & ~bare[np.searchsorted(lines, heads, side="right") - 1]
         heads, tails, lo, hi = heads[good], tails[good], lo[good], hi[good]
         rows = np.searchsorted(offsets, heads, side="right") - 1
-        for c, v in zip(out, (rows, heads - offsets[rows], tails - offsets[rows], _unit_hashes(keys, lo, hi, BASE), _unit_hashes(keys, lo, hi, SECOND_BASE)), strict=True):
+        for c, v in zip(out, (rows, heads - offsets[rows], tails - offsets[rows], *(keyed_spans(sums, lo, hi, word) for sums, word in zip(words, bases[1::2], strict=True))), strict=True):
             out[c].append(v)
     return {c: np.concatenate(v) if v else np.zeros(0, np.uint64 if c[0] == "h" else np.int64) for c, v in out.items()}
 
@@ -81,10 +67,12 @@ def units_of(data: np.ndarray, offsets: np.ndarray, line_words: int = LINE_WORDS
 def repeated_units(docs: DataFrame, scratch: Scratch, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
     """doc_id, content, spans of the units that are not the earliest of their kind. docs: doc_id, content, text."""
 
+    bases = tuple(random_base() for _ in range(4))
+
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column(2)):
-                u = units_of(data, offsets, line_words, sentence_words)
+                u = units_of(data, offsets, bases, line_words, sentence_words)
                 rows = pa.array(u["row"] + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(u[c].astype(np.int32)) for c in "ab"], *[pa.array(u[c].view(np.int64)) for c in ("h1", "h2")]], ["doc_id", "content", "a", "b", "h1", "h2"])
 

@@ -1,7 +1,8 @@
 """Quality rules from repetition: characters inside repeated n-grams and repeated lines.
 
-Words and lines are hashed by a rolling hash over the bytes of a block of documents; n-gram hashes combine word
-hashes. An n-gram that occurs twice in a document contains a shorter one that does, so each length looks only at
+Words and lines are hashed by a rolling hash over the bytes of a block of documents, modulo a prime and with a base that
+each process draws for itself, so that no text can be written to collide; n-gram hashes combine word hashes. Hashes are
+compared within a document only. An n-gram that occurs twice in a document contains a shorter one that does, so each length looks only at
 places where the shorter length repeats. All of it is numpy over blocks of bounded size.
 """
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from firnline.llm.textblocks import BASE, SPACE, blocks, mixed, prefix_hashes, span_hashes, word_spans
+from firnline.llm.textblocks import BASE, LETTERS, SPACE, blocks, keyed_prefix, keyed_spans, mixed, random_base, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -22,6 +23,8 @@ NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
 MIN_WORDS = 50
 
+_KEY = random_base()
+
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -52,8 +55,8 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     """The base columns and ``top_share`` (the largest measure as a share of its limit) of a block's documents."""
     n = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets, ~SPACE)
-    prefix = prefix_hashes(data)
-    keys = span_hashes(prefix, starts, ends)
+    prefix = keyed_prefix(LETTERS[data], _KEY)
+    keys = keyed_spans(prefix, starts, ends, _KEY)
     points = np.zeros(len(data) + 1, np.int64)  # code points begin at bytes that do not continue one
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = points[ends] - points[starts]
@@ -90,7 +93,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     line_of = np.searchsorted(heads, starts, side="right") - 1
     line_chars = np.bincount(line_of, chars, minlength=len(heads)).astype(np.int64)
     worded = np.flatnonzero(line_chars > 0)
-    _, again = _repeated(line_rows[worded], span_hashes(prefix, heads[worded], stops[worded]))
+    _, again = _repeated(line_rows[worded], keyed_spans(prefix, heads[worded], stops[worded], _KEY))
     repeats = worded[again]
     out["n_dup_lines"] = _sums(line_rows[repeats], n)
     out["top_share"] = np.maximum(shares, _sums(line_rows[repeats], n, line_chars[repeats]) / whole / LINE_LIMIT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,11 +87,75 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of the spans; equal bytes give equal hashes wherever they stand.
+
+    Made for features and for spans of a few hundred bytes: texts of 1,024 bytes or more can be written so that they collide.
+    Where that would matter, ``keyed_spans`` is used.
+    """
     _, down = powers(len(prefix))
     return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: The modulus of keyed hashes, a prime: two texts collide for at most as many bases as they have letters.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30, _LOW32 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 32) - 1)
+
+
+def random_base() -> int:
+    """A base for keyed hashes that nobody knows beforehand; hashes of one base can be compared wherever they were made."""
+    return secrets.randbelow(PRIME - (1 << 32)) + (1 << 32)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """Products modulo ``PRIME`` of numbers below it."""
+    b = np.asarray(b, np.uint64)
+    au, al, bu, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = au * bl + al * bu
+    return _reduced((au * bu << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + al * bl)
+
+
+def _raised(base: int, size: int) -> np.ndarray:
+    out = np.ones(max(1, size), np.uint64)
+    n = 1
+    while n < size:
+        more = min(n, size - n)
+        out[n : n + more] = times(out[:more], pow(base, n, PRIME))
+        n += more
+    return out
+
+
+@lru_cache(maxsize=8)
+def _kept_powers(base: int, size: int) -> np.ndarray:
+    return _raised(base, size)
+
+
+def _powers_of(base: int, size: int) -> np.ndarray:
+    return _kept_powers(base, BLOCK_BYTES + 2)[:size] if size <= BLOCK_BYTES + 2 else _raised(base, size)
+
+
+def keyed_prefix(values: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums modulo ``PRIME`` of whole numbers from 1 below it, times the powers of a base."""
+    terms = times(values, _powers_of(base, len(values))[: len(values)]) if len(values) else np.zeros(0, np.uint64)
+    out = np.zeros(len(values) + 1, np.uint64)
+    high, low = np.cumsum(terms >> np.uint64(32)), np.cumsum(terms & _LOW32)
+    out[1:] = _reduced(times(_reduced(high), 1 << 32) + _reduced(low))
+    return out
+
+
+def keyed_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hashes below 2**61 of the spans: equal values give equal hashes wherever they stand, others hardly ever, whoever wrote them."""
+    return times(_reduced(prefix[ends] + (_P - prefix[starts])), _powers_of(pow(base, -1, PRIME), len(prefix))[starts])
+
+
+#: Bytes as numbers from 1, so that no letter is nothing.
+LETTERS = np.arange(1, 257, dtype=np.uint64)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes for which ``inside`` holds; runs end at row ends."""
     edge = np.zeros(len(data) + 1, bool)
