@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firnline.plans import catalog_queries, domain_queries, event_queries, family_queries, identity_queries, oracle_catalog, oracle_domain, oracle_events, oracle_family, oracle_identity, oracle_shop, oracle_store, shop_queries, store_queries
+from firnline.plans import catalog_queries, digest_queries, domain_queries, event_queries, family_queries, identity_queries, oracle_catalog, oracle_digest, oracle_domain, oracle_events, oracle_family, oracle_identity, oracle_shop, oracle_store, shop_queries, store_queries
 
-MODULES = [event_queries, catalog_queries, domain_queries, store_queries, identity_queries, family_queries, shop_queries]
+MODULES = [event_queries, catalog_queries, domain_queries, store_queries, identity_queries, family_queries, shop_queries, digest_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_events.ORACLE, **oracle_catalog.ORACLE, **oracle_domain.ORACLE, **oracle_store.ORACLE, **oracle_identity.ORACLE, **oracle_family.ORACLE, **oracle_shop.ORACLE}
+    return {**oracle_events.ORACLE, **oracle_catalog.ORACLE, **oracle_domain.ORACLE, **oracle_store.ORACLE, **oracle_identity.ORACLE, **oracle_family.ORACLE, **oracle_shop.ORACLE, **oracle_digest.ORACLE}
