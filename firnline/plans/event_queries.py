@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from firnline.operators import events as ev
 from firnline.plans.bindings import NOW, events
+from firnline.sources.rounds import Rounds
+from firnline.sources.versions import Versions
+from firnline.streaming import report_stream
 
 
 def _listed(items: str, name: str):
@@ -62,3 +65,16 @@ def partner_readiness(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [event_counts, event_funnel, session_timeline, commerce_report, commerce_shares, merchant_evidence, top_items, event_history, event_trends, partner_readiness]
+
+
+def streamed_event_counts(s: SparkSession, d: str) -> DataFrame:
+    """The counts of the windows as a stream keeps them: events land in files in no order and are taken in a few at a time."""
+    tables = Rounds(s, "streamed")
+    landed = events(s, d).select("session_id", F.coalesce("event_name", F.lit("none")).alias("event_name"), "created_at", "payload").repartition(6, F.xxhash64("session_id", "created_at"))
+    tables.put(landed, "landed")
+    store = Versions(s, f"{tables.root}/store")
+    report_stream.keep_windows(s, f"{tables.root}/landed", store, NOW, f"{tables.root}/checkpoint", 2).awaitTermination()
+    return store.read("windows")
+
+
+QUERIES += [streamed_event_counts]

@@ -112,6 +112,6 @@ SELECT floor((total + 2.220446049250313e-16) * 10 + 0.5) / 10 AS score,
   CASE WHEN total IS NULL THEN 'insufficient_data' WHEN u >= 10000 AND q >= 1000 AND c >= 300 AND r >= 0.1 AND d >= 60 THEN 'metric_ready' WHEN total < 40 THEN 'early' WHEN total < 70 THEN 'building_evidence' ELSE 'approaching' END AS status FROM y"""
 
 ORACLE = {
-    "event_counts": COUNTS, "event_funnel": FUNNEL, "session_timeline": TIMELINE, "commerce_report": COMMERCE, "commerce_shares": SHARES, "merchant_evidence": EVIDENCE,
+    "event_counts": COUNTS, "streamed_event_counts": COUNTS, "event_funnel": FUNNEL, "session_timeline": TIMELINE, "commerce_report": COMMERCE, "commerce_shares": SHARES, "merchant_evidence": EVIDENCE,
     "top_items": TOP, "event_history": HISTORY, "event_trends": TRENDS, "partner_readiness": READINESS,
 }
