@@ -3,9 +3,10 @@
 Each distinct fingerprint gets its Hamming distances to reference fingerprints: a base pivot, the 64 *near* pivots one
 bit away from it, and 32 *far* pivots spread over the space. Fingerprints at most ``MAX_BITS`` = 2 bits apart agree in
 all near coordinates but two, taken relative to the base, so in all of at least four of six groups of them: equal
-coordinates in four groups make a block. A block of over ``SMALL_SET`` members is dealt by more coordinates, as often as
+coordinates in four groups make a block. All distances are worked out once for each fingerprint and stored: the near
+ones, relative to the base, as the bits of one number. A block of over ``SMALL_SET`` members is dealt by more coordinates, as often as
 it takes: its open ones are cut in three, of which one at least is equal in every pair that links. Of each block's
-pairs those with a difference of over ``MAX_BITS`` in any far coordinate are discarded, and the survivors verified.
+pairs those with a difference of over ``MAX_BITS`` in any stored far coordinate are discarded, and the survivors verified.
 A block with five open coordinates has 32 members at most, so the dealing ends after four rounds.
 """
 
@@ -81,22 +82,33 @@ def distances(fp: Column, pivots: list[int]) -> Column:
     return F.transform(F.lit(pivots), lambda p: F.bit_count(fp.bitwiseXOR(p)))
 
 
-def _bits(numbers: list[int]) -> Column:
-    return F.lit(numbers).cast("array<int>")
+def near_coordinates(fp: Column) -> Column:
+    """The distances to the near pivots, each less that to the base (one more or one less), as the bits of a number, the first highest."""
+    bit = lambda x, base: F.when(x > base, 1).otherwise(0).cast("long")
+    packed = lambda d: F.aggregate(F.slice(d, 2, NEAR), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(bit(x, F.get(d, F.lit(0)))))
+    return F.get(F.transform(F.array(distances(fp, NEAR_PIVOTS)), packed), F.lit(0))
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """fp, near (a number) and far (distances to the far pivots) of each fingerprint: worked out once, and stored."""
+    return distinct.select("fp", near_coordinates(F.col("fp")).alias("near"), F.transform(distances(F.col("fp"), FAR_PIVOTS), lambda d: d.cast("byte")).alias("far"))
+
+
+def _numbers(of: list[int]) -> Column:
+    return F.lit(of).cast("array<int>")
 
 
 def _coordinates(of: Column) -> Column:
-    """The coordinates of the given numbers, relative to the base (plus or minus one each), as one number."""
-    return F.aggregate(of, F.lit(0).cast("long"), lambda acc, i: acc * F.lit(2) + F.greatest(F.get(F.col("d"), i + F.lit(1)) - F.get(F.col("d"), F.lit(0)), F.lit(0)))
+    """The near coordinates of the given numbers as one number."""
+    return F.aggregate(of, F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.getbit(F.col("near"), F.lit(NEAR - 1) - i).cast("long")))
 
 
 def blocked(table: DataFrame) -> DataFrame:
-    """fp, d, key and open (numbers of the coordinates not in the key) for each choice of four coordinate groups."""
-    for g, js in enumerate(GROUP_OF):
-        table = table.withColumn(f"g{g}", _coordinates(_bits(js)))
-    choices = [(chosen, [j for g in range(GROUPS) if g not in chosen for j in GROUP_OF[g]]) for chosen in combinations(range(GROUPS), EQUAL_GROUPS)]
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(i), *[F.col(f"g{g}") for g in chosen]).alias("key"), _bits(rest).alias("open")) for i, (chosen, rest) in enumerate(choices)])
-    return table.select("fp", "d", F.explode(keys).alias("k")).select("fp", "d", "k.key", "k.open")
+    """fp, near, key and open (numbers of the coordinates not in the key) for each choice of four coordinate groups."""
+    choices = [(sorted(j for g in chosen for j in GROUP_OF[g]), [j for g in range(GROUPS) if g not in chosen for j in GROUP_OF[g]]) for chosen in combinations(range(GROUPS), EQUAL_GROUPS)]
+    mask = lambda held: _signed(sum(1 << (NEAR - 1 - j) for j in held))
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("near").bitwiseAND(F.lit(mask(held)))).alias("key"), _numbers(rest).alias("open")) for i, (held, rest) in enumerate(choices)])
+    return table.select("fp", "near", F.explode(keys).alias("k")).select("fp", "near", "k.key", "k.open")
 
 
 def dealt(crowded: DataFrame) -> DataFrame:
@@ -105,13 +117,14 @@ def dealt(crowded: DataFrame) -> DataFrame:
     cut = [F.lit(0), F.ceil(n / F.lit(3)).cast("int"), F.ceil(F.lit(2) * n / F.lit(3)).cast("int"), n]
     part = lambda i: F.slice(size, cut[i] + F.lit(1), cut[i + 1] - cut[i])
     keys = [F.struct(F.xxhash64("key", F.lit(i), _coordinates(part(i))).alias("key"), F.concat(*[part(j) for j in range(3) if j != i]).alias("open")) for i in range(3)]
-    return crowded.select("fp", "d", F.explode(F.array(*keys)).alias("k")).select("fp", "d", "k.key", "k.open")
+    return crowded.select("fp", "near", F.explode(F.array(*keys)).alias("k")).select("fp", "near", "k.key", "k.open")
 
 
 def links(distinct: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Edges a < b between all fingerprints at most two bits apart."""
     scratch = scratch or Scratch(distinct.sparkSession, "simhash-links")
-    rows = blocked(distinct.select("fp", distances(F.col("fp"), NEAR_PIVOTS).alias("d")))
+    table = scratch.put(pivot_table(distinct.select("fp")), "pivots")
+    rows = blocked(table.select("fp", "near"))
     found, level = None, 0
     while True:
         counted = scratch.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("open")).alias("left")).where("n > 1"), f"blocks{level}")
@@ -125,8 +138,10 @@ def links(distinct: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             break
         rows = scratch.put(dealt(rows.join(full, "key")), f"dealt{level}")
         level += 1
-    far = F.array_max(F.zip_with(distances(F.col("a"), FAR_PIVOTS), distances(F.col("b"), FAR_PIVOTS), lambda x, y: F.abs(x - y)))
-    return found.where(far <= MAX_BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
+    one, two = (table.select(F.col("fp").alias(c), F.col("far").alias(f"far_{c}")) for c in "ab")
+    apart = F.array_max(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    kept = found.distinct().join(one, "a").join(two, "b").where(apart <= MAX_BITS)
+    return kept.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, size: int = 3) -> DataFrame:
