@@ -48,7 +48,8 @@ def family_members(s: SparkSession, d: str) -> DataFrame:
 
 
 def empty_families(s: SparkSession, d: str) -> DataFrame:
-    return reads.families_without_products(b.families(s, d), b.products(s, d).where(_key() % 3 != 0)).select("id")
+    """Every third family has lost its products."""
+    return reads.families_without_products(b.families(s, d), b.products(s, d).where(F.floor(_key() / 5) % 3 != 0)).select("id")
 
 
 def catalogue_snapshot(s: SparkSession, d: str) -> DataFrame:
@@ -77,13 +78,28 @@ def shared_images(s: SparkSession, d: str) -> DataFrame:
 
 
 def rider_problems(s: SparkSession, d: str) -> DataFrame:
+    """Answers of which each is at times missing, out of bounds or unknown."""
     k = F.col("rider_id")
-    odd = b.riders(s, d).withColumn("weight_kg", F.when(k % 9 == 0, 20.0).when(k % 9 == 1, F.lit(None)).otherwise(F.col("weight_kg"))).withColumn("stance_type", F.when(k % 7 == 0, "goofy").otherwise(F.col("stance_type")))
-    return validation.rider_problems(odd).select("rider_id", F.array_join("problems", ",").alias("problems"))
+    odd = {"height_cm": (11, 139.5), "boot_size_eu": (13, 52.5), "board_line_preference": (17, "kids"), "skill_level": (19, "expert"), "riding_style": (23, "moguls"), "terrain_priority": (29, "ice"), "aggressiveness": (31, "wild"), "stance_type": (7, "goofy"), "weight_kg": (9, 20.0)}
+    riders = b.riders(s, d).withColumns({c: F.when(k % n == 0, v).when(k % n == 1, F.lit(None)).otherwise(F.col(c)) for c, (n, v) in odd.items()})
+    return validation.rider_problems(riders).select("rider_id", F.array_join("problems", ",").alias("problems"))
 
 
 def product_problems(s: SparkSession, d: str) -> DataFrame:
-    return validation.product_problems(b.products(s, d), b.sizes(s, d)).select("slug", F.array_join("problems", ",").alias("problems"))
+    """Products and sizes of which each rule finds some."""
+    k, of = _key(), F.regexp_extract("product_id", r"(\d+)$", 1).cast("long")
+    c = F.col
+    p = b.products(s, d).withColumns({
+        "name": c("slug"), "slug": F.when(k % 31 == 0, F.concat(F.lit("P_"), k.cast("string"))).when(k % 37 == 0, "x").otherwise(c("slug")), "brand": F.when(k % 29 == 3, " ").otherwise(c("brand")), "model_name": F.when(k % 41 == 0, F.lit(None)).otherwise(c("model_name")),
+        "flex": F.when(k % 17 == 0, 0).when(k % 17 == 1, 11).otherwise(c("flex")), "price_from": F.when(k % 43 == 0, -1).when(k % 43 == 1, 600_000).otherwise(c("price_from")), "riding_style": F.when(k % 47 == 0, "moguls").otherwise(c("riding_style")), "skill_level": F.when(k % 53 == 0, F.lit(None)).otherwise(c("skill_level")),
+        "board_line": F.when(k % 59 == 0, "kids").otherwise(c("board_line")), "data_status": F.when(k % 61 == 0, "new").otherwise(c("data_status")), "shape_type": F.when(k % 67 == 0, "odd").otherwise(c("shape_type")), "camber_profile": F.when(k % 71 == 0, "odd").otherwise(c("camber_profile")),
+        "image_url": b.pick(k, ["/i.jpg", "https://img.example/i.jpg", "img"]), "source_name": F.when(k % 73 == 0, F.repeat(F.lit("x"), 161)).otherwise(c("source_name")),
+    })
+    z = b.sizes(s, d).withColumns({
+        "size_label": F.when(of % 19 == 0, F.repeat(F.lit("y"), 25)).otherwise(c("size_label")), "recommended_weight_max": F.when(of % 23 == 0, 20).when(of % 23 == 1, c("recommended_weight_min") - 1).otherwise(c("recommended_weight_max")), "width_type": F.when(of % 27 == 0, "slim").otherwise(c("width_type")),
+        "copy": F.explode(F.sequence(F.lit(1), F.when(of % 33 == 0, 6).otherwise(1))),
+    })
+    return validation.product_problems(p, z).select("slug", F.array_join("problems", ",").alias("problems"))
 
 
 def import_changes(s: SparkSession, d: str) -> DataFrame:
@@ -177,10 +193,14 @@ def family_structure(s: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_changes(s: SparkSession, d: str) -> DataFrame:
-    key = F.concat(F.lit("v1|"), F.col("id")).alias("identity_key")
-    f = b.families(s, d).select(key, F.lit(changes.FROM_MEMBER).alias("source_kind"), "flex", "shape_type", "source_url")
-    c = b.products(s, d).where("member_role = 'base'").select(F.concat(F.lit("v1|"), "family_id").alias("identity_key"), "flex", F.when(_key() % 2 == 0, F.col("shape_type")).alias("shape_type"), "source_url")
-    return changes.metadata_changes(f, c, ["flex", "shape_type", "source_url"])
+    """Families whose fields, each for some, are no longer their base's; every seventh is written by hand."""
+    k = F.regexp_extract("identity_key", r"(\d+)$", 1).cast("long")
+    key = lambda c: F.concat(F.lit("v1|"), c).alias("identity_key")
+    f = b.families(s, d).select(key("id"), *changes.METADATA).withColumn("source_kind", F.when(k % 7 == 0, "editorial").otherwise(changes.FROM_MEMBER))
+    fields = changes.METADATA
+    c = b.products(s, d).where("member_role = 'base'").select(key("family_id"), *fields)
+    moved = {x: F.when(k % len(fields) == i, F.lit(None)).otherwise(F.col(x)) for i, x in enumerate(fields)}
+    return changes.metadata_changes(f, c.withColumns(moved), fields)
 
 
 def offer_repairs(s: SparkSession, d: str) -> DataFrame:
