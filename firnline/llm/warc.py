@@ -27,8 +27,8 @@ from firnline.llm.textblocks import whole_bytes
 
 #: Bytes after which a task starts a new archive, lines of an index block, lines of a shard, most shards.
 ARCHIVE_BYTES, BLOCK_LINES, SHARD_LINES, MOST_SHARDS = 1 << 30, 1024, 1 << 20, 4096
-#: Records closer together than this are read at once, up to so many bytes.
-GAP, READ_BYTES = 1 << 15, 4 << 20
+#: Records closer together than this are read at once, up to so many bytes; bytes of records that a task reads.
+GAP, READ_BYTES, TASK_BYTES = 1 << 15, 4 << 20, 64 << 20
 #: Pages have no time of capture; the archives say this one.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -335,15 +335,19 @@ def find(shards: DataFrame, ranges: DataFrame) -> DataFrame:
     held = sorted((r.path, _bytes(r.low), _bytes(r.high)) for r in shards.collect())
     held.sort(key=lambda s: (s[1], s[2]))
     asked = ranges.select("low", "high").where("low is not null and high is not null")
-    blocks = asked.repartitionByRange("low").sortWithinPartitions("low").mapInArrow(_blocks_of(held), BLOCK)
-    return blocks.repartition("path", "at").sortWithinPartitions("path", "at").mapInArrow(_lines_of, ENTRY)
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since rows are small and what they stand for is not
+    blocks = asked.repartitionByRange(tasks, "low").sortWithinPartitions("low").mapInArrow(_blocks_of(held), BLOCK)
+    return blocks.repartition(tasks, "path", "at").sortWithinPartitions("path", "at").mapInArrow(_lines_of, ENTRY)
 
 
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_records(entries: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that entries name, each checked against its digest; neighbours in an archive are read together."""
+    """The records that entries (a stored table, since it is read twice) name, each checked against its digest.
+
+    Neighbours in an archive are read together; tasks have their share of the records' bytes.
+    """
 
     def run(batches):
         files, schema, todo = _Files(), _arrow(RECORD), []
@@ -365,7 +369,9 @@ def read_records(entries: DataFrame, folder: str, payloads: bool = True) -> Data
         if todo:
             yield records(todo)
 
-    return entries.select("file", "at", "length").repartitionByRange("file", "at").sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return entries.select("file", "at", "length").repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
