@@ -121,7 +121,34 @@ UNION ALL SELECT 'signal', s, count(*) FROM (SELECT unnest(list_filter([CASE WHE
 UNION ALL SELECT 'issue', issue, count(*) FROM iss GROUP BY 2
 UNION ALL SELECT operation, coalesce(class, 'none'), count(*) FROM ops GROUP BY 1, 2"""
 
+#: Stored offers, every fifth under another name now; flags of offers and of slugs, of which the gravest decide.
+AUTHORIZE = f"""{PLAIN},
+me AS (SELECT *, base_slug || CASE WHEN c > 0 THEN '-' || c ELSE '' END AS assigned FROM mem),
+o0 AS (SELECT id, assigned AS slug, n_brand, CASE WHEN k % 5 = 0 THEN 'another' ELSE n_model END AS n_model, variant, line, known, season, key, k % 10 = 0 AS manual FROM me WHERE k % 4 <> 1),
+ow AS (SELECT * FROM o0 WHERE id IN (SELECT min(id) FROM o0 GROUP BY slug)),
+us AS (SELECT key, count(DISTINCT assigned) AS uses FROM me GROUP BY 1), cm AS (SELECT key, count(*) AS claims FROM ow GROUP BY 1),
+blocks AS (
+  SELECT me.base_slug, unnest(list_filter([CASE WHEN uses > 1 THEN 'DUPLICATE_SOURCE_KEY_PROPOSAL' END, CASE WHEN claims > 1 THEN 'MULTIPLE_CLUSTERS_CLAIM_HISTORICAL_IDENTITY' END, CASE WHEN w.n_brand <> me.n_brand THEN 'SOURCE_ID_REUSE_BRAND_CONFLICT' END, CASE WHEN w.n_model <> me.n_model THEN 'SOURCE_ID_REUSE_MODEL_CONFLICT' END,
+    CASE WHEN w.known AND me.known AND w.line <> me.line THEN 'SOURCE_ID_REUSE_BOARD_LINE_CONFLICT' END, CASE WHEN w.season <> me.season THEN 'SOURCE_ID_REUSE_SEASON_CONFLICT' END, CASE WHEN w.id IS NOT NULL AND w.variant IS DISTINCT FROM me.variant THEN 'SOURCE_ID_REUSE_VARIANT_CONFLICT' END], lambda x: x IS NOT NULL)) AS reason, 2 AS level
+  FROM me LEFT JOIN ow w ON w.key = me.key LEFT JOIN us ON us.key = me.key LEFT JOIN cm ON cm.key = me.key),
+fi AS (SELECT base_slug, assigned, count(*) AS n, arg_min(me, id) AS f, list(DISTINCT key) AS keys, bool_and(known) AND count(DISTINCT row(n_brand, n_model, line, season, coalesce(variant, ''))) = 1 AS complete FROM me GROUP BY 1, 2),
+x AS (
+  SELECT fi.*, w.slug IS NOT NULL AS owned, coalesce(list_contains(keys, w.key), FALSE) AS exact, w.manual, w.n_brand = f.n_brand AS same_brand, assigned <> fi.base_slug AND h.slug IS NOT NULL AS suffixed,
+    coalesce(h.n_brand = f.n_brand AND trim(regexp_replace(h.n_model, '( ?mid)? ?wide$', '')) = trim(regexp_replace(f.n_model, '( ?mid)? ?wide$', '')) AND ((h.known AND f.known AND h.line <> f.line) OR h.season <> f.season OR h.variant IS DISTINCT FROM f.variant), FALSE) AS kin,
+    coalesce(h.n_brand = f.n_brand AND h.n_model = f.n_model AND NOT (h.known AND f.known AND h.line <> f.line) AND h.season = f.season AND h.variant IS NOT DISTINCT FROM f.variant, FALSE) AS public
+  FROM fi LEFT JOIN ow w ON w.slug = fi.assigned LEFT JOIN ow h ON h.slug = fi.base_slug),
+y AS (SELECT *, suffixed AND n = 1 AND kin AS sibling FROM x),
+planned AS (
+  SELECT base_slug, unnest(list_filter([CASE WHEN owned AND NOT exact AND manual THEN 'MANUAL_IDENTITY_REASSIGNMENT' END, CASE WHEN owned AND NOT exact AND NOT same_brand THEN 'CROSS_BRAND_SLUG_COLLISION' END, CASE WHEN owned AND NOT exact AND same_brand THEN 'HISTORICAL_BASE_TAKEOVER' END], lambda r: r IS NOT NULL)) AS reason, 2 AS level FROM y
+  UNION ALL SELECT base_slug, CASE WHEN n > 1 THEN 'INCOMPLETE_CROSS_STORE_EVIDENCE_REVIEW' ELSE 'COLLISION_SUFFIX_REVIEW' END, 1 FROM y WHERE NOT owned AND ((n > 1 AND NOT sibling AND NOT complete) OR (n = 1 AND suffixed AND public))
+  UNION ALL SELECT base_slug, CASE WHEN owned THEN 'STABLE_PROTECTED_IDENTITIES' WHEN sibling THEN 'NEW_PROTECTED_IDENTITY_SUFFIX' WHEN n > 1 THEN 'NEW_CLEAN_MULTI_SOURCE' ELSE 'NEW_CLEAN_SINGLE_SOURCE' END, 0 FROM y
+    WHERE (owned AND exact) OR (NOT owned AND (sibling OR (n > 1 AND complete) OR (n = 1 AND NOT (suffixed AND public))))),
+every AS (SELECT * FROM blocks UNION ALL SELECT * FROM planned),
+worst AS (SELECT base_slug, max(level) AS level FROM every GROUP BY 1)
+SELECT base_slug, CASE level WHEN 2 THEN 'BLOCK' WHEN 1 THEN 'REVIEW' ELSE 'AUTO' END AS decision, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM every JOIN worst USING (base_slug, level) GROUP BY 1, level"""
+
 ORACLE = {
+    "offer_authorization": AUTHORIZE,
     "offer_clusters": f"{PLAIN} SELECT id, base_slug, CAST(c AS INTEGER) AS cluster, CAST(clusters AS INTEGER) AS clusters FROM mem JOIN gc USING (base_slug)",
     "offer_classes": f"{PLAIN} SELECT base_slug, offers, clusters, class FROM classes",
     "identity_plan_products": f"""{PLAN} SELECT base_slug, CAST(c AS INTEGER) AS cluster, slug, reason, x.base_id AS base, x.seller AS seller, n AS n_offers, x.n_sizes AS n_sizes, x.season_label AS season_label, x.price_from AS price_from, x.act AS is_active, x.image_url AS image_url, x.gallery AS gallery, members FROM asg""",
