@@ -10,6 +10,7 @@ from firnline.operators import corrections as fix
 from firnline.operators.checks import width_of
 from firnline.operators.identity import line_evidence, store_identity, variant_marker
 from firnline.operators.spec_match import matched_groups, protected_signature
+from firnline.sources.rounds import Rounds
 
 # What marks things on the shop's pages.
 BASE, STORE, WORD = "https://trial-sport.ru", "trial-sport", "Сноуборд"
@@ -35,7 +36,7 @@ def json_array(html: Column, variable: str) -> Column:
 
     It goes from the first bracket to the one that closes it, brackets inside strings left aside, and must end its script.
     """
-    tail = F.regexp_extract(html, rf"(?s)(?:const|let|var)\s+{variable}\s*=\s*(\[.*)", 1)
+    tail = F.regexp_extract(html, rf"(?s)(?:const|let|var)\s+{variable}\s*=\s*(\[.*?\]\s*;?\s*</script>)", 1)
     pieces = F.regexp_extract_all(tail, F.lit(r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"|\[|\]|[^"\[\]]++|")'), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
 
@@ -149,7 +150,7 @@ def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: D
     sheet that did not land or cannot be read, a page without brand, model or number, a correction that met another
     product, no group in the sheet, no size, and at last a product. Pages meet sheets on keys; a page is one row.
     """
-    p = page_fields(pages)
+    p = Rounds(pages.sparkSession, "shop-pages").put(page_fields(pages), "pages")  # pages are read once, however often their fields are asked
     p = p.withColumn("availability", F.when(F.col("entries").isNull(), "unknown").when(F.exists("entries", lambda e: e["available"]), "available").otherwise("unavailable"))
     p = p.withColumns({"key": tx.board_key(F.col("model_name")), "signature": protected_signature(F.col("model_name"))})
     groups = specs.withColumn("signature", protected_signature(F.col("model_name")))
