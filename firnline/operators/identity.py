@@ -109,7 +109,7 @@ def clusters(identities: DataFrame) -> DataFrame:
 
     Offers go by store, number, line, season and variant in dictionary order, then by id. Offers of one identity always
     meet in one cluster, so only distinct identities are compared; and as names and variants of a cluster are the same,
-    those are compared within one slug, name and variant, each in a group of its own.
+    those are compared within one slug, name and variant, one such group after the other.
     """
     own = F.md5(F.to_json(F.struct(*FIELDS)))
     label = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("store_code", "source_product_id", "board_line", "season", "variant")])
@@ -117,20 +117,25 @@ def clusters(identities: DataFrame) -> DataFrame:
     kinds = marked.groupBy("base_slug", "_i", *FIELDS).agg(F.min("id").alias("_least"))
     ranked = kinds.withColumn("place", F.row_number().over(Window.partitionBy("base_slug").orderBy(dictionary(label), "_least")))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(({k: (None if v is None or v != v else v) for k, v in r.items()} for r in pdf.to_dict("records")), key=lambda r: r["place"])
-        found: list[list[dict]] = []
-        out = []
-        for r in rows:
-            k = next((i for i, c in enumerate(found) if all(_fits(m, r) for m in c)), len(found))
-            if k == len(found):
-                found.append([])
-            found[k].append(r)
-            out.append((r["base_slug"], r["_i"], found[k][0]["place"]))
-        return pd.DataFrame(out, columns=["base_slug", "_i", "lead"])
-
     names = ["base_slug", "n_brand", "n_model", "variant"]
-    led = ranked.select("base_slug", "_i", "place", *FIELDS).groupBy(*names).applyInPandas(group, "base_slug string, _i string, lead int")
+
+    def run(frames):
+        key, found = None, []
+        for pdf in frames:
+            out = []
+            for r in ({k: (None if v is None or v != v else v) for k, v in r.items()} for r in pdf.to_dict("records")):
+                if key != (now := tuple(r[n] for n in names)):
+                    key, found = now, []
+                k = next((i for i, c in enumerate(found) if all(_fits(m, r) for m in c)), len(found))
+                if k == len(found):
+                    found.append([])
+                found[k].append(r)
+                out.append((r["base_slug"], r["_i"], found[k][0]["place"]))
+            if out:
+                yield pd.DataFrame(out, columns=["base_slug", "_i", "lead"])
+
+    # sorted rows of many slugs go through one Python call; only the group at hand is held
+    led = ranked.select("base_slug", "_i", "place", *FIELDS).repartition(*names).sortWithinPartitions(*names, "place").mapInPandas(run, "base_slug string, _i string, lead int")
     number = F.dense_rank().over(Window.partitionBy("base_slug").orderBy("lead")) - 1
     numbered = led.withColumn("cluster", number).withColumn("clusters", F.max("cluster").over(Window.partitionBy("base_slug")) + 1)
     return marked.select("id", "base_slug", "_i").join(numbered.drop("lead"), ["base_slug", "_i"]).select("id", "base_slug", F.col("cluster").cast("int").alias("cluster"), F.col("clusters").cast("int").alias("clusters"))
