@@ -42,16 +42,17 @@ def _bounded(pattern: str) -> str:
     return f"{EDGE_L}(?:{pattern}){EDGE_R}"
 
 
-def slug(x: Column) -> Column:
+def slug(x: Column, years: bool = True) -> Column:
+    """A name as a part of an address. Years are left out, unless ``years`` says that such numbers are parts of names."""
     out = F.lower(transliterate(F.coalesce(x, F.lit(""))))
-    for pattern in (r"(?:fw|ss)\d{2}", r"20\d{2}(?:/20\d{2})?", "snowboard|snoubord"):
+    for pattern in (r"(?:fw|ss)\d{2}", r"20\d{2}(?:/20\d{2})?" if years else r"20\d{2}/20\d{2}", "snowboard|snoubord"):
         out = F.regexp_replace(out, _bounded(pattern), " ")
     out = F.regexp_replace(F.replace(F.replace(F.regexp_replace(out, "['’]", ""), F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus ")), "[^a-z0-9]+", "-")
     return F.regexp_replace(out, "^-+|-+$", "")
 
 
-def board_key(x: Column) -> Column:
-    return F.replace(slug(x), F.lit("-"), F.lit(""))
+def board_key(x: Column, years: bool = True) -> Column:
+    return F.replace(slug(x, years), F.lit("-"), F.lit(""))
 
 
 def decode_html(x: Column) -> Column:

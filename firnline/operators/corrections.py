@@ -9,16 +9,16 @@ from firnline.functions.text import board_key
 from firnline.operators.checks import width_of
 
 
-def corrected(products: DataFrame, corrections: DataFrame) -> DataFrame:
+def corrected(products: DataFrame, corrections: DataFrame, years: bool = True) -> DataFrame:
     """Products (source_product_id, brand, model_name, board_line, line_evidence) with correction (none, applied, agrees or conflict).
 
     ``corrections`` has source_product_id (unique), expected_brand, expected_model (null: any) and corrected_line. A
     product of another brand or model, or with evidence of another line, is in conflict and stays as it is; one without
-    evidence gets the line, which then is known; one that says the same already agrees.
+    evidence gets the line, which then is known; one that says the same already agrees. ``years`` is that of ``board_key``.
     """
     c = corrections.select(F.col("source_product_id").cast("string").alias("_id"), "expected_brand", "expected_model", "corrected_line")
     j = products.join(c, F.col("source_product_id").cast("string") == F.col("_id"), "left")
-    same = lambda own, wanted: F.col(wanted).isNull() | F.coalesce(board_key(F.col(own)) == board_key(F.col(wanted)), F.lit(False))
+    same = lambda own, wanted: F.col(wanted).isNull() | F.coalesce(board_key(F.col(own), years) == board_key(F.col(wanted), years), F.lit(False))
     meant = same("brand", "expected_brand") & same("model_name", "expected_model")
     known, has = F.col("line_evidence") == "known", F.col("corrected_line").isNotNull()
     state = (

@@ -61,7 +61,7 @@ def specs(s: SparkSession, d: str) -> DataFrame:
     name = F.when(r == 0, _join("Board ", n, F.when(n % 4 == 1, " New").otherwise(""))).when((r == 1) & (n % 3 == 0), _join("Board ", n, " Wide")).when((r == 2) & (n % 5 == 0), _join("Board ", n, " Pro")).when((r == 3) & (n % 15 == 0), _join("Kids Board ", n))
     size = lambda i, cm, label: F.struct((n * 2 + i).cast("int").alias("row"), F.lit(cm).alias("size_cm"), F.lit(label).alias("size_label"), (250 + (n + 9 * i) % 20).cast("int").alias("waist_width_mm"), F.when(250 + (n + 9 * i) % 20 >= 264, "wide").when(250 + (n + 9 * i) % 20 >= 257, "mid-wide").otherwise("regular").alias("width_type"))
     p = b.table(s, d, "part").select(_book(n).alias("book"), name.alias("model_name"), b.pick(n, ["Twin", "Directional Twin", "Направленный", ""]).alias("shape"), b.pick(n, ["фрирайд", "фристайл", "универсальный", "all mountain park", ""]).alias("purpose"), (n % 10 + 1).cast("int").alias("flex"), F.array(size(0, 152.0, "152"), size(1, 156.0, "156 W")).alias("sizes"))
-    return p.where("model_name is not null and not endswith(book, '=5')").withColumn("key", tx.board_key(F.col("model_name")))
+    return p.where("model_name is not null and not endswith(book, '=5')").withColumn("key", tx.board_key(F.col("model_name"), years=False))
 
 
 def books(s: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,8 @@ def widths(s: SparkSession, d: str) -> DataFrame:
 
 
 def _products(s: SparkSession, d: str) -> DataFrame:
-    return shop_pages.page_products(pages(s, d), specs(s, d), books(s, d), lines(s, d), widths(s, d))
+    """The models are numbered, past 2000 too: Board 2004 is no board of that year."""
+    return shop_pages.page_products(pages(s, d), specs(s, d), books(s, d), lines(s, d), widths(s, d), years=False)
 
 
 def shop_products(s: SparkSession, d: str) -> DataFrame:

@@ -80,10 +80,11 @@ def _literal(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
+def page_fields(pages: DataFrame, years: bool = True) -> DataFrame:
     """url, source_product_id, brand, model_name, season_label, price, images, spec_url, description, entries of pages (url, html).
 
     What a page does not have is empty, 0 or null; ``entries`` is null where the stock list is missing or broken.
+    Without ``years`` a season is two years with a stroke; one number like 2004 in a heading is none.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     brands = F.regexp_extract_all(html, F.lit(r'(?i)<a href="/gds\.php[^"]*brand=[^"]*"><span>([^<]+)</span></a>'), F.lit(1))
@@ -99,9 +100,10 @@ def page_fields(pages: DataFrame) -> DataFrame:
     said = F.concat(F.lit(rf"(?isu){WORD}\s+"), _literal(F.col("brand")), F.lit(r'[^-]{0,120}-\s*(.{120,2200}?)<a href="javascript:void\(0\)" onclick="showBrand\(\);"'))
     heading = F.concat(F.lit(f"{WORD} "), F.col("brand"))
     snippet = F.when(F.instr(html, heading) > 0, F.substring(html, F.instr(html, heading), F.lit(5000)))
+    season = lambda c: F.when(F.lit(years) | F.col(c).rlike(r"(?<!\d)20\d{2}\s*/\s*(?:20)?\d{2}(?!\d)"), tx.season_label(F.col(c), True))
     return p.select(
         "url", store_identity(F.col("url"))["source_product_id"].alias("source_product_id"), "brand", F.when(F.col("_head") == "", "").otherwise(model).alias("model_name"),
-        F.coalesce(tx.season_label(F.col("_head"), True), tx.season_label(F.col("_title"), True)).alias("season_label"), price.alias("price"), F.array_distinct(F.filter(big, lambda u: F.trim(u) != "")).alias("images"),
+        F.coalesce(season("_head"), season("_title")).alias("season_label"), price.alias("price"), F.array_distinct(F.filter(big, lambda u: F.trim(u) != "")).alias("images"),
         F.when(spec != "", absolute(spec)).alias("spec_url"), tx.strip_html(F.coalesce(F.call_function("regexp_extract", snippet, said, F.lit(1)), F.lit(""))).alias("description"), entries(json_array(html, "icspJS")).alias("entries"),
     )
 
@@ -141,7 +143,7 @@ def merged_sizes(model: Column, listed: Column, specs: Column) -> Column:
     return F.when(F.size(ours) > 0, ours).otherwise(theirs)
 
 
-def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: DataFrame, widths: DataFrame) -> DataFrame:
+def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: DataFrame, widths: DataFrame, years: bool = True) -> DataFrame:
     """One row for each page (url, html): status, reason, and the product where it is resolved.
 
     ``specs`` are ``spec_sheets.spec_groups`` by the address of their book, ``books`` (book, readable) which sheets have
@@ -149,10 +151,12 @@ def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: D
     map by length) of waists. Outcomes in order: a stock list that cannot be read, nothing in stock, no sheet named, a
     sheet that did not land or cannot be read, a page without brand, model or number, a correction that met another
     product, no group in the sheet, no size, and at last a product. Pages meet sheets on keys; a page is one row.
+    Names whose numbers may look like years without being any need ``years=False``, here and in the keys of ``specs``.
     """
-    p = Rounds(pages.sparkSession, "shop-pages").put(page_fields(pages), "pages")  # pages are read once, however often their fields are asked
+    board_key = lambda x: tx.board_key(x, years)
+    p = Rounds(pages.sparkSession, "shop-pages").put(page_fields(pages, years), "pages")  # pages are read once, however often their fields are asked
     p = p.withColumn("availability", F.when(F.col("entries").isNull(), "unknown").when(F.exists("entries", lambda e: e["available"]), "available").otherwise("unavailable"))
-    p = p.withColumns({"key": tx.board_key(F.col("model_name")), "signature": protected_signature(F.col("model_name"))})
+    p = p.withColumns({"key": board_key(F.col("model_name")), "signature": protected_signature(F.col("model_name"))})
     groups = specs.withColumn("signature", protected_signature(F.col("model_name")))
     named = p.where("spec_url is not null and availability = 'available'").select(F.col("spec_url").alias("book"), "key", "signature")
     found = matched_groups(named, groups).select(F.col("book").alias("_book"), F.col("key").alias("_key"), F.col("signature").alias("_sig"), F.col("kind").alias("match_kind"), "group")
@@ -163,10 +167,10 @@ def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: D
     j = j.join(g, (F.col("_book") == F.col("_b")) & (F.col("group") == F.col("_g")), "left").join(landed, F.col("spec_url") == F.col("_l"), "left").join(w, F.col("source_product_id") == F.col("_w"), "left")
     line = line_evidence(F.col("description"))
     j = j.withColumn("_line", line).withColumns({"board_line": F.col("_line.board_line"), "line_evidence": F.col("_line.evidence")}).drop("_line")
-    j = fix.corrected(j, lines)
+    j = fix.corrected(j, lines, years)
     sizes = fix.corrected_widths(merged_sizes(F.col("model_name"), F.col("entries"), F.col("spec_sizes")), F.col("widths"))
     j = j.withColumn("sizes", F.when(F.col("availability") == "available", sizes))
-    other = F.col("_w").isNotNull() & ((board := tx.board_key(F.col("brand"))).isNull() | (board != tx.board_key(F.col("_brand"))) | (F.col("key") != tx.board_key(F.col("_model"))))
+    other = F.col("_w").isNotNull() & ((board := board_key(F.col("brand"))).isNull() | (board != board_key(F.col("_brand"))) | (F.col("key") != board_key(F.col("_model"))))
     nameless = (F.col("brand") == "") | (F.col("model_name") == "") | F.col("source_product_id").isNull()
     row = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
     verdict = (
@@ -185,7 +189,7 @@ def page_products(pages: DataFrame, specs: DataFrame, books: DataFrame, lines: D
     )
     flex = F.coalesce(F.nullif("flex", F.lit(0)), F.lit(5))
     return j.withColumn("v", verdict).select(
-        "url", "v.status", "v.reason", "availability", F.lit(STORE).alias("store_code"), "source_product_id", "brand", "model_name", tx.slug(F.concat_ws(" ", "brand", "model_name")).alias("slug"), variant_marker(F.col("model_name")).alias("variant"), "season_label",
+        "url", "v.status", "v.reason", "availability", F.lit(STORE).alias("store_code"), "source_product_id", "brand", "model_name", tx.slug(F.concat_ws(" ", "brand", "model_name"), years).alias("slug"), variant_marker(F.col("model_name")).alias("variant"), "season_label",
         F.col("price").alias("price_from"), "images", "board_line", "line_evidence", "correction", "match_kind", "matched_model", tx.riding_style(F.col("purpose")).alias("riding_style"), tx.shape(F.col("shape")).alias("shape_type"), flex.alias("flex"), tx.skill_level(F.lit(""), flex).alias("skill_level"),
         "description", "spec_url", "sizes",
     )
