@@ -1,8 +1,9 @@
 """Scoring board sizes for riders and ranking them, for any number of riders in one job.
 
-A rider's wishes become a profile (a projection). Sizes are matched to profiles through buckets of length, since a
-size too far from the range is never eligible; pool gates come from a count per riding style; the best size per
-product and per family is one minimum over a sort key, which Spark aggregates before shuffling.
+A rider's wishes become a profile (a projection). A score has two parts: one of the board and the rider's tastes, one of
+the size's measures and the rider's body. Only the best sizes of equal measures for each set of tastes can be among a
+rider's first seven, so riders meet those instead of all sizes, through buckets of length; pool gates come from a count
+per riding style; the best size per product and per family is one minimum over a sort key.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.functions.num import clamp, outside, round_half_up
+from firnline.sources.rounds import Rounds
 
 # Fixed values of the scoring model ------------------------------------------------------------------------------
 #: Weight in kg (both ends included) and the base length range in cm; other weights take the default.
@@ -55,6 +57,12 @@ STORE_HOSTS = ["trial-sport.ru", "www.trial-sport.ru", "traektoria.ru", "www.tra
 # ----------------------------------------------------------------------------------------------------------------
 
 INPUTS = ["height_cm", "weight_kg", "boot_size_eu", "board_line_preference", "skill_level", "riding_style", "terrain_priority", "aggressiveness", "stance_type"]
+#: What the part of a score that is the board's depends on; the other wishes are the rider's body and stance.
+TASTES = ["board_line_preference", "skill_level", "rider_style", "terrain_priority", "aggressiveness"]
+#: What eligibility and the part of a score that is the size's depend on.
+MEASURES = ["size_cm", "waist_width_mm", "recommended_weight_min", "recommended_weight_max"]
+#: What the board's part depends on.
+TRAITS = ["riding_style", "board_skill", "flex", "flex_trusted", "board_line", "shape_type", "camber_profile", "ready", "verified", "placeholder_link"]
 BUCKET_CM = 8
 
 
@@ -171,7 +179,7 @@ def with_trust(products: DataFrame) -> DataFrame:
 def open_boards(products: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Active products that have an available size, and those sizes."""
     free = sizes.where(F.coalesce("is_available", F.lit(True)))
-    boards = with_trust(products.where("is_active")).join(free.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
+    boards = with_trust(products.where("is_active")).join(free.select(F.col("product_id").alias("id")).distinct().hint("merge"), "id", "left_semi")
     return boards, free
 
 
@@ -221,17 +229,37 @@ def terrain_points() -> Column:
     return out
 
 
-def _score() -> Column:
-    """The total of all parts, a whole number as double."""
-    c = F.col
+def _close(x: Column, reach) -> Column:
+    return clamp(F.lit(1.0) - x / reach, 0.0, 1.0)
+
+
+def _size_score() -> Column:
+    """The part of the score that is the size's measures for a rider's body, a whole number as double."""
+    c, close = F.col, _close
     size, spare, over = c("size_cm"), c("spare"), c("over_width")
-    close = lambda x, reach: clamp(F.lit(1.0) - x / reach, 0.0, 1.0)
     half = F.greatest((c("hi") - c("lo")) / F.lit(2.0), F.lit(1.5))
     length = F.when(c("length_off") == 0, round_half_up(F.lit(20) + close(F.abs(size - c("target")), half + 0.75) * 16)).when(c("length_off") <= 2.5, round_half_up(F.lit(10) - c("length_off") * 2)).otherwise(-14.0)
     wmin, wmax = c("recommended_weight_min"), c("recommended_weight_max")
     ideal = F.when(wmax.isNull(), wmin + 8.0).otherwise((wmin + wmax) / F.lit(2.0))
     reach = F.when(wmax.isNull(), 12.0).otherwise(F.greatest((wmax - wmin) / F.lit(2.0), F.lit(8.0)))
     weight = F.when(~c("weight_known"), -4.0).when(c("weight_off") == 0, round_half_up(F.lit(14) + close(F.abs(c("weight_kg") - ideal), reach) * 10)).when(c("weight_off") <= 5, 6.0).otherwise(-8.0)
+    slack = F.when(c("stance_type") == "duck", -1.5).otherwise(-1.0)
+    boost = F.when((c("aggressiveness") == "aggressive") | _carving(), 4).otherwise(0)
+    wide = (
+        F.when((spare >= 0) & (spare <= over), round_half_up(F.lit(12) + close(spare, F.greatest(over, F.lit(1.0))) * 8))
+        .when((spare > over) & (spare <= over + 4), round_half_up(F.lit(6) - (spare - over) * 1.5))
+        .when(spare >= slack, 0.0)
+        .when(spare >= -3, (F.lit(-8) - boost).cast("double"))
+        .otherwise((F.lit(-24) - boost).cast("double"))
+    )
+    hard, mild = c("hard"), c("mild")
+    critical = F.when(hard >= 2, -18).when((hard == 1) & (mild >= 1), -10).when((hard == 1) & (c("skill_level") == "beginner"), -6).otherwise(0)
+    return length + weight + wide + critical
+
+
+def _board_score() -> Column:
+    """The part of the score that is the board for a rider's tastes, a whole number as double."""
+    c, close = F.col, _close
     style = style_points()
     shape = F.when(c("shape_type").isNull(), 0).when(c("shape_type") == c("shape_first"), 10).when(F.array_contains("shape_others", c("shape_type")), 6).otherwise(-6)
     skill = skill_points()
@@ -247,61 +275,126 @@ def _score() -> Column:
     line = F.when(c("board_line_preference") == "any", 0).when(c("board_line") == "unisex", 6).when(c("board_line") == c("board_line_preference"), 10).otherwise(-12)
     terrain = terrain_points()
     camber = F.when(c("camber_profile").isNull(), 0).when(F.array_contains("camber_best", c("camber_profile")), 8).when(F.array_contains("camber_fair", c("camber_profile")), 3).otherwise(-6)
-    slack = F.when(c("stance_type") == "duck", -1.5).otherwise(-1.0)
-    boost = F.when((c("aggressiveness") == "aggressive") | _carving(), 4).otherwise(0)
-    wide = (
-        F.when((spare >= 0) & (spare <= over), round_half_up(F.lit(12) + close(spare, F.greatest(over, F.lit(1.0))) * 8))
-        .when((spare > over) & (spare <= over + 4), round_half_up(F.lit(6) - (spare - over) * 1.5))
-        .when(spare >= slack, 0.0)
-        .when(spare >= -3, (F.lit(-8) - boost).cast("double"))
-        .otherwise((F.lit(-24) - boost).cast("double"))
-    )
-    hard, mild = c("hard"), c("mild")
-    critical = F.when(hard >= 2, -18).when((hard == 1) & (mild >= 1), -10).when((hard == 1) & (c("skill_level") == "beginner"), -6).otherwise(0)
     trust = F.when(c("ready"), 10).when(c("verified"), 4).otherwise(0) - F.when(c("placeholder_link"), 12).otherwise(0)
-    return length + weight + style + shape + skill + flex + line + terrain + camber + wide + critical + trust
+    return (style + shape + skill + line + terrain + camber + trust + flex).cast("double")
 
 
-def candidates(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every eligible size for every distinct set of wishes (columns INPUTS), with score, role and confidence."""
-    boards, free = open_boards(products, sizes)
-    profiles = with_pool(with_profile(riders.select(*INPUTS).distinct()), boards).withColumnRenamed("riding_style", "rider_style")
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _near(profiles: DataFrame, stock: DataFrame, on: list[str]) -> DataFrame:
+    """Profiles with the rows of ``stock`` (MEASURES and others) that are not too far from them, and by how much they fit."""
     bucket = lambda x: F.floor(x / F.lit(float(BUCKET_CM)))
     reach = F.sequence(bucket(F.col("lo") - FAR_LENGTH), bucket(F.col("hi") + FAR_LENGTH))
-    left = profiles.withColumn("bucket", F.explode(reach))
-    stock = free.join(boards.withColumnRenamed("id", "product_id").withColumnRenamed("skill_level", "board_skill"), "product_id").withColumn("bucket", bucket(F.col("size_cm")))
-    met = left.join(stock.drop("is_available", "is_active"), "bucket").drop("bucket")
+    n = _tasks(profiles)  # few bytes, much work: not for Spark to put together by size
+    left = profiles.withColumn("bucket", F.explode(reach)).repartition(n, *on, "bucket")
+    right = stock.withColumn("bucket", bucket(F.col("size_cm"))).repartition(n, *on, "bucket")
+    return _measured(left.join(right.hint("merge"), [*on, "bucket"]).drop("bucket"))
+
+
+def _measured(met: DataFrame) -> DataFrame:
+    """Pairs of profiles and sizes with by how much they fit; those too far apart go."""
     known = (F.col("recommended_weight_min") > 0) | F.col("recommended_weight_max").isNotNull()
     top = F.coalesce(F.col("recommended_weight_max").cast("double"), F.lit(float("inf")))
-    met = met.where(~F.col("focused") | F.array_contains("styles", F.col("riding_style"))).where((F.col("gate") == "any") | ((F.col("gate") == "verified") & F.col("verified")) | ((F.col("gate") == "ready") & F.col("ready")))
     met = met.withColumn("spare", (F.col("waist_width_mm") - F.col("waist")).cast("double")).withColumn("length_off", outside(F.col("size_cm"), F.col("lo"), F.col("hi"))).withColumn("weight_known", known)
     met = met.withColumn("weight_off", F.when(known, outside(F.col("weight_kg"), F.col("recommended_weight_min"), top)).otherwise(0.0))
     met = met.where((F.col("length_off") < FAR_LENGTH) & (F.col("spare") > -FAR_WAIST) & (F.col("weight_off") < FAR_WEIGHT))
     grades = _mismatches()
-    met = met.withColumn("hard", sum((g == 2).cast("int") for g in grades)).withColumn("mild", sum((g == 1).cast("int") for g in grades)).where("hard < 2")
-    met = met.withColumn("score", _score()).withColumn("size_label", F.coalesce("size_label", F.lit("")))
+    return met.withColumn("hard", sum((g == 2).cast("int") for g in grades)).withColumn("mild", sum((g == 1).cast("int") for g in grades)).where("hard < 2")
+
+
+def _in_pool() -> Column:
+    gate = F.col("gate")
+    return (~F.col("focused") | F.array_contains("styles", F.col("riding_style"))) & ((gate == "any") | ((gate == "verified") & F.col("verified")) | ((gate == "ready") & F.col("ready")))
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    met = met.withColumn("score", _size_score() + _board_score()).withColumn("size_label", F.coalesce("size_label", F.lit("")))
     role = F.when(F.col("spare") >= 6, "width-safe").when(F.col("size_cm") <= F.col("target") - 0.75, "playful").when(F.col("size_cm") >= F.col("target") + 0.75, "stable").otherwise("best-overall")
     sure = F.when((F.col("score") >= 78) & F.col("ready"), "high").when(F.col("score") >= 64, "medium").otherwise("careful")
     return met.withColumn("role", role).withColumn("confidence", sure)
 
 
+def _family() -> Column:
+    return F.coalesce(F.when(F.length(F.trim("family_id")) > 0, F.concat(F.lit("family:"), "family_id")), F.concat(F.lit("product:"), "product_id"))
+
+
+def _profiles_and_stock(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    boards, free = open_boards(products, sizes)
+    profiles = with_pool(with_profile(riders.select(*INPUTS).distinct()), boards).withColumnRenamed("riding_style", "rider_style")
+    stock = free.join(boards.withColumnRenamed("id", "product_id").withColumnRenamed("skill_level", "board_skill").hint("merge"), "product_id")
+    return profiles, stock.drop("is_available", "is_active")
+
+
+def candidates(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every eligible size for every distinct set of wishes (columns INPUTS), with score, role and confidence.
+
+    There are as many as wishes times sizes: ``shortlist`` is what a choice needs of them.
+    """
+    profiles, stock = _profiles_and_stock(riders, products, sizes)
+    return _scored(_near(profiles, stock, []).where(_in_pool()))
+
+
+def _first_families(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each family of a group, of as many families as can be shown."""
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "family_key").orderBy(*order))).where("_n = 1")
+    return own.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= MOST_RECOMMENDED + MOST_ALTERNATIVES).drop("_n")
+
+
+def shortlist(riders: DataFrame, products: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``candidates`` that are the best of the first seven families of every rider and may be shown.
+
+    Sizes of the same measures have the same part of the score for a rider, and boards of the same traits the other. So of
+    equal measures and traits only the first seven families count, and of equal measures, for riders of equal tastes, the
+    seven with most points. A rider's sizes that fit in every measure give a floor, the score of the seventh family (or
+    the least that is shown): a size that cannot reach it is left out before boards are looked at.
+    """
+    most = MOST_RECOMMENDED + MOST_ALTERNATIVES
+    profiles, stock = _profiles_and_stock(riders, products, sizes)
+    tables = Rounds(riders.sparkSession, "shortlist")
+    profiles = tables.put(profiles.withColumn("pid", F.monotonically_increasing_id()), "profiles")
+    label = F.coalesce("size_label", F.lit("")).alias("size_label")
+    at = [F.col(c) for c in ("slug", "size_cm", "size_label", "product_id")]
+    rows = stock.select("product_id", "slug", label, "width_type", _family().alias("family_key"), *MEASURES, *TRAITS)
+    # dealt by measures, so that all that follows stays where it is
+    rows = _first_families(rows.repartition(_tasks(rows), *MEASURES), [*MEASURES, *TRAITS], at)
+    taste = profiles.select(*TASTES, "focused", "gate", "styles", "shape_first", "shape_others", "flex_lo", "flex_hi", "soft_boost", "stiff_boost", "camber_best", "camber_fair").distinct()
+    taken = rows.join(F.broadcast(taste), _in_pool()).withColumn("points", _board_score())
+    best = _first_families(taken.select(*TASTES, *MEASURES, "points", "product_id", "slug", "size_label", "family_key"), [*TASTES, *MEASURES], [F.col("points").desc(), *at])
+    best = tables.put(best, "best")
+    tops = best.groupBy(*TASTES, *MEASURES).agg(F.max_by(F.struct("points", "family_key"), F.struct("points", "family_key")).alias("top")).select(*TASTES, *MEASURES, F.col("top.points").alias("points"), F.col("top.family_key").alias("family_key"))
+    tops = tables.put(tops, "tops")
+    met = _near(profiles, tops, TASTES).withColumn("most", _size_score() + F.col("points"))
+    fits = met.where("length_off = 0 and weight_off = 0 and spare >= 0 and spare <= over_width")
+    families = fits.groupBy("pid", "family_key").agg(F.max("most").alias("most")).groupBy("pid").agg(F.try_element_at(F.sort_array(F.collect_list("most"), asc=False), F.lit(most)).alias("floor"))
+    floors = tables.put(families.where(F.col("floor") > ALTERNATIVE_FROM), "floors")
+    asked = profiles.join(floors.hint("merge"), "pid", "left").withColumn("floor", F.coalesce("floor", F.lit(float(ALTERNATIVE_FROM))))
+    reached = _near(asked, tops, TASTES).withColumn("body", _size_score()).where(F.col("body") + F.col("points") >= F.col("floor")).select("pid", *TASTES, *MEASURES, "body", "floor")
+    named = best.select(*[F.col(c).alias(f"_{c}") for c in (*TASTES, *MEASURES)], "points", "product_id", "slug", "size_label", "family_key")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*TASTES, *MEASURES)])
+    each = reached.join(named.hint("merge"), same).withColumn("o", -(F.col("body") + F.col("points"))).where(-F.col("o") >= F.col("floor"))
+    chosen = tables.put(_first_families(each.select("pid", "o", *MEASURES, "product_id", "slug", "size_label", "family_key"), ["pid"], [F.col("o"), *at]).select("pid", *MEASURES, "product_id", "size_label"), "chosen")
+    boards = open_boards(products, sizes)[0].withColumnRenamed("id", "product_id").withColumnRenamed("skill_level", "board_skill").drop("is_active")
+    pairs = chosen.join(profiles.hint("merge"), "pid").drop("pid").join(boards.hint("merge"), "product_id")
+    return _scored(_measured(pairs))
+
+
 def recommend(riders: DataFrame, products: DataFrame, sizes: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """rider_id, list (recommended or alternative), place, slug, size_cm, size_label, score, role, confidence.
 
-    ``also`` names further columns, made of those of ``candidates``.
+    ``also`` names further columns, made of those of ``shortlist``: of a size, only its measures and label.
     """
-    family = F.coalesce(F.when(F.length(F.trim("family_id")) > 0, F.concat(F.lit("family:"), "family_id")), F.concat(F.lit("product:"), "product_id"))
     inputs = [c if c != "riding_style" else "rider_style" for c in INPUTS]
     key = F.struct((-F.col("score")).alias("o"), "slug", "size_cm", "size_label", "product_id", "score", "role", "confidence", *[c.alias(n) for n, c in (also or {}).items()])
-    best = candidates(riders, products, sizes).groupBy(*inputs, family.alias("family_key")).agg(F.min(key).alias("m"))
+    best = shortlist(riders, products, sizes).groupBy(*inputs, _family().alias("family_key")).agg(F.min(key).alias("m"))
     each = Window.partitionBy(*inputs)
     ranked = best.withColumn("place", F.row_number().over(each.orderBy("m"))).where(F.col("place") <= MOST_RECOMMENDED + MOST_ALTERNATIVES)
     chosen = (F.col("place") <= MOST_RECOMMENDED) & (F.col("m.score") >= RECOMMENDED_FROM)
     ranked = ranked.withColumn("chosen", chosen).withColumn("n", F.count_if("chosen").over(each))
     kept = ranked.where(F.col("chosen") | ((F.col("place") <= F.col("n") + MOST_ALTERNATIVES) & (F.col("m.score") >= ALTERNATIVE_FROM)))
     rows = kept.select(*inputs, F.when(F.col("chosen"), "recommended").otherwise("alternative").alias("list"), F.when(F.col("chosen"), F.col("place")).otherwise(F.col("place") - F.col("n")).cast("long").alias("place"), "m.slug", "m.size_cm", "m.size_label", F.col("m.score").cast("long").alias("score"), "m.role", "m.confidence", *[f"m.{n}" for n in also or {}]).withColumnRenamed("rider_style", "riding_style")
-    return riders.select("rider_id", *INPUTS).join(rows, INPUTS).drop(*INPUTS)
-
+    return riders.select("rider_id", *INPUTS).join(rows.hint("merge"), INPUTS).drop(*INPUTS)
 
 
 def result_snapshots(matches: DataFrame) -> DataFrame:
