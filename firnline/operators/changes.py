@@ -2,6 +2,9 @@
 
 Families here have identity_key and members (an array of product_id, slug, role, manual_override, match_method,
 confidence and matched_at). A plan is a table; its fingerprint is one hash over its rows in key order.
+
+Joins of offers say ``merge``: Spark guesses the size of a table from its compressed files, and would send all evidence
+to every task through the driver.
 """
 
 from __future__ import annotations
@@ -111,13 +114,13 @@ def offer_evidence(offers: DataFrame, sizes: DataFrame) -> DataFrame:
     one = F.struct("size_cm", F.coalesce("size_label", F.lit("")).alias("size_label"), "waist_width_mm", "recommended_weight_min", "recommended_weight_max", "width_type", F.coalesce("is_available", F.lit(True)).alias("is_available"))
     nested = sizes.groupBy(F.col("product_id").alias("_p")).agg(F.array_sort(F.collect_list(one)).alias("sizes"))
     price = F.when(F.col("price_from") > 0, F.col("price_from")).alias("price_from")
-    return offers.join(nested, F.col("id") == F.col("_p"), "left").select("slug", F.to_json(F.struct("brand", "model_name", "season_label", "board_line", price, "affiliate_url", "is_active", "sizes")).alias("evidence"))
+    return offers.join(nested.hint("merge"), F.col("id") == F.col("_p"), "left").select("slug", F.to_json(F.struct("brand", "model_name", "season_label", "board_line", price, "affiliate_url", "is_active", "sizes")).alias("evidence"))
 
 
 def repairs(before: DataFrame, after: DataFrame) -> DataFrame:
     """slug of offers whose evidence is not what it was, or is new."""
     old = before.select(F.col("slug").alias("_s"), F.col("evidence").alias("_e"))
-    return after.join(old, F.col("slug") == F.col("_s"), "left").where(~F.col("evidence").eqNullSafe(F.col("_e"))).select("slug", F.col("_s").isNull().alias("is_new"))
+    return after.join(old.hint("merge"), F.col("slug") == F.col("_s"), "left").where(~F.col("evidence").eqNullSafe(F.col("_e"))).select("slug", F.col("_s").isNull().alias("is_new"))
 
 
 def reason_histogram(decisions: DataFrame) -> DataFrame:

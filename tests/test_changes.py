@@ -81,3 +81,11 @@ def test_deliveries(spark):
 def test_no_families(spark):
     none = frame(spark, [])
     assert ch.stored_state(none, none).first().status == "EMPTY"
+
+
+def test_evidence_is_not_sent_to_every_task(spark):
+    from firnline.plans.registry import queries
+
+    for name in ("offer_repairs", "editor_products", "size_total", "catalogue_items"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
