@@ -68,10 +68,10 @@ def items(families: DataFrame, offers: DataFrame, sizes: DataFrame) -> DataFrame
     if "family_match_method" not in offers.columns:
         o = o.withColumn("family_match_method", F.lit(None).cast("string")).withColumn("family_manual_override", F.lit(False))
     label = display_label(F.col("s.size_label"), F.col("s.size_cm"), F.col("s.width_type"), F.col("o.member_role"), F.col("o.family_match_method"), F.col("o.family_manual_override"))
-    s = sizes.alias("s").where(reliable(F.col("size_cm"), F.col("waist_width_mm"))).join(o.alias("o"), F.col("s.product_id") == F.col("o.id"))
+    s = sizes.alias("s").where(reliable(F.col("size_cm"), F.col("waist_width_mm"))).join(o.alias("o").hint("merge"), F.col("s.product_id") == F.col("o.id"))  # guessed from compressed files, offers would go to every task
     s = s.select("o.item", F.col("o.id").alias("offer_id"), F.struct(F.col("s.size_cm"), label.alias("label"), order_in(F.col("s.width_type"), WIDTHS).alias("wo"), F.col("o.ro"), F.col("o.slug").alias("offer_slug"), F.col("s.id"), F.col("s.width_type"), F.col("s.waist_width_mm"), F.col("o.is_active").alias("offer_is_active"), F.coalesce("s.is_available", F.lit(True)).alias("is_available")).alias("size"))
     by_offer = s.groupBy("item", "offer_id").agg(F.collect_list("size").alias("ss"), F.bool_or("size.is_available").alias("any_free"))
-    full = o.join(by_offer.drop("item").withColumnRenamed("offer_id", "id"), "id", "left")
+    full = o.join(by_offer.drop("item").withColumnRenamed("offer_id", "id").hint("merge"), "id", "left")
     any_free = F.coalesce("any_free", F.lit(False))
     price = F.when(F.col("price_from") > 0, F.col("price_from").cast("double"))
     images = F.filter(F.transform(F.concat(F.array("image_url"), F.coalesce("gallery_images", F.array().cast("array<string>"))), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
@@ -93,7 +93,7 @@ def items(families: DataFrame, offers: DataFrame, sizes: DataFrame) -> DataFrame
     single = o.where("family_id is null").select("item", F.lit(None).cast("string").alias("family_id"), *named)
     heads = fam.unionByName(single)
     clean = {"season_label": _blank("season_label"), "data_status": F.coalesce("data_status", F.lit("draft")), "source_name": _blank("source_name"), "source_url": _blank("source_url")}
-    return heads.join(grouped, "item").withColumns(clean).drop("item")
+    return heads.join(grouped.hint("merge"), "item").withColumns(clean).drop("item")
 
 
 def active_sizes(c: str = "sizes") -> Column:
