@@ -21,7 +21,8 @@ def with_sizes(products: DataFrame, sizes: DataFrame) -> DataFrame:
     own = [c for c in sizes.columns if c not in ("size_cm", "size_label", "id", "product_id")]
     nested = sizes.groupBy(F.col("product_id").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("size_cm", "size_label", "id", *own))).alias("sizes"))
     kind = nested.schema["sizes"].dataType.simpleString()
-    return products.join(nested, F.col("id") == F.col("_p"), "left").drop("_p").withColumn("sizes", F.coalesce("sizes", F.array().cast(kind)))
+    # a guess from compressed files would send all sizes to every task
+    return products.join(nested.hint("merge"), F.col("id") == F.col("_p"), "left").drop("_p").withColumn("sizes", F.coalesce("sizes", F.array().cast(kind)))
 
 
 def by_slug(products: DataFrame, sizes: DataFrame, slug: str) -> DataFrame:
