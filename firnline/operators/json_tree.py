@@ -2,6 +2,9 @@
 
 A document becomes a row for each value at any depth, so large documents are dealt out like any other rows; each level
 is a table, and as many rounds are needed as documents are deep. Nothing here runs Python on values.
+
+Joins of nodes with nodes say ``merge``: Spark guesses the size of a table from its compressed files, and node tables
+compress a hundredfold, so it would send whole ones to every task through the driver.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def written(levels: list[DataFrame], tables: Rounds, by: str = "units", down_to:
             piece = F.when(F.col("key").isNotNull(), F.concat(quoted(F.col("key")), F.lit(":"), F.col("json"))).otherwise(F.col("json"))
             listed = F.array_sort(F.collect_list(F.struct(F.col("place").alias("n"), order.alias("o"), F.col("key").alias("k"), piece.alias("t"))))
             parts = below.groupBy(F.col("id").alias("_i"), F.col("parent").alias("_p")).agg(F.array_join(F.transform(listed, lambda x: x["t"]), ",").alias("parts"), F.bool_or(F.col("json").isNull()).alias("bad"))
-        j = now.join(parts, (F.col("id") == F.col("_i")) & (F.col("path") == F.col("_p")), "left")
+        j = now.join(parts.hint("merge"), (F.col("id") == F.col("_i")) & (F.col("path") == F.col("_p")), "left")
         inside = F.coalesce("parts", F.lit(""))
         whole = F.when(F.coalesce("bad", F.lit(False)), F.lit(None)).when(F.col("kind") == "object", F.concat(F.lit("{"), inside, F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), inside, F.lit("]"))).otherwise(own)
         below = tables.put(j.select(*NODE, whole.alias("json")), f"written{n}")
@@ -110,7 +113,7 @@ def canonical_hashes(docs: DataFrame, by: str = "units") -> DataFrame:
     """id and hash (sha256: and hexadecimal digits) of documents (id, json); null where a text is no JSON or not finite."""
     tables = Rounds(docs.sparkSession, "canonical")
     found = written(walk(docs, tables), tables, by)
-    return docs.select("id").join(found.select(F.col("id").alias("_d"), F.concat(F.lit("sha256:"), F.sha2("json", 256)).alias("hash")), F.col("id") == F.col("_d"), "left").select("id", "hash")
+    return docs.select("id").join(found.select(F.col("id").alias("_d"), F.concat(F.lit("sha256:"), F.sha2("json", 256)).alias("hash")).hint("merge"), F.col("id") == F.col("_d"), "left").select("id", "hash")
 
 
 # A schema is nested: {"object": {key: schema}}, {"array": schema}, {"string": {"values": [...], "check": name}},
@@ -163,7 +166,7 @@ def schema_faults(nodes: DataFrame, schema: DataFrame) -> DataFrame:
     due = F.broadcast(schema.where("not optional and key is not null").select(F.col("parent").alias("_due"), F.col("key").alias("_key")))
     wanted = nodes.where("kind = 'object'").join(due, F.col("pattern") == F.col("_due")).select("id", F.col("path").alias("_at"), "_key")
     have = nodes.where("key is not null").select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("key").alias("_have"))
-    missing = wanted.join(have, (F.col("id") == F.col("_id")) & (F.col("_at") == F.col("_parent")) & (F.col("_key") == F.col("_have")), "left_anti")
+    missing = wanted.join(have.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("_at") == F.col("_parent")) & (F.col("_key") == F.col("_have")), "left_anti")
     return wrong.unionByName(unknown.select("id", F.concat(F.lit("schema:"), "path", F.lit(":unknown_key")).alias("fault"))).unionByName(missing.select("id", F.concat(F.lit("schema:"), "_at", F.lit("."), "_key", F.lit(":missing_key")).alias("fault")))
 
 
@@ -182,4 +185,4 @@ def faults(docs: DataFrame, schema) -> DataFrame:
     found = schema_faults(nodes, schema_table(docs.sparkSession, schema)).unionByName(privacy_faults(nodes)).groupBy(F.col("id").alias("_i")).agg(F.array_sort(F.collect_set("fault")).alias("faults"))
     good = F.try_parse_json("json").isNotNull()
     empty = F.array().cast("array<string>")
-    return docs.join(found, F.col("id") == F.col("_i"), "left").select("id", F.when(~good, F.array(F.lit("schema:$:invalid_json"))).otherwise(F.coalesce("faults", empty)).alias("faults"))
+    return docs.join(found.hint("merge"), F.col("id") == F.col("_i"), "left").select("id", F.when(~good, F.array(F.lit("schema:$:invalid_json"))).otherwise(F.coalesce("faults", empty)).alias("faults"))

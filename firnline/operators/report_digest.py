@@ -117,6 +117,7 @@ def projected(levels: list[DataFrame], schema: DataFrame) -> DataFrame:
     moved = report.select("id", _moved(F.col("path")).alias("path"), _moved(F.col("pattern")).alias("pattern"), "key", "place", "kind", "text")
     flags = nodes.where("path in ('$.sourceStatus.metrika.status', '$.acquisition.sourceStatus.status')").groupBy(F.col("id").alias("_i")).agg(
         F.max(F.when(F.col("path") == "$.sourceStatus.metrika.status", F.col("text"))).alias("traffic_state"), F.max(F.when(F.col("path") == "$.acquisition.sourceStatus.status", F.col("text"))).alias("acquisition_state"))
+    flags = flags.hint("merge")
     j = moved.join(flags, F.col("id") == F.col("_i"), "left")
     off = lambda state: ~F.coalesce(F.col(state) == "ok", F.lit(False))
     gone = (F.startswith("path", F.lit("$.sampling.traffic.sources30Days")) & off("traffic_state")) | (F.col("path").rlike(r"^\$\.sampling\.acquisition\.(?:sources|landingPages)30Days") & off("acquisition_state"))
@@ -166,7 +167,7 @@ def build_digests(reports: DataFrame, version: str = VERSION) -> DataFrame:
     facts = {"report_version": "$.version", "generated": "$.generatedAt", "as_of": "$.asOfDate", "zone": "$.timezone", "a": "$.sourceStatus.firstParty.status", "b": "$.sourceStatus.metrika.status", "c": "$.acquisition.sourceStatus.status"}
     facts |= {f"{side}{n}": f"$.windows.{w}.{side}Date" for side in ("start", "end") for n, w in ((1, "last7Days"), (0, "previous7Days"))}
     found = top.groupBy(F.col("id").alias("_f")).agg(*[said(path).alias(name) for name, path in facts.items()])
-    j = reports.join(fields, F.col("id") == F.col("_t"), "left").join(found, F.col("id") == F.col("_f"), "left")
+    j = reports.join(fields.hint("merge"), F.col("id") == F.col("_t"), "left").join(found.hint("merge"), F.col("id") == F.col("_f"), "left")
     day = lambda c: strict_date(F.col(c))
     complete = F.lit(True)
     for c in "abc":
@@ -184,7 +185,7 @@ def build_digests(reports: DataFrame, version: str = VERSION) -> DataFrame:
     j = j.withColumn("digest", _object(F.concat("content", last)))
     whole = tables.put(j.select("id", "logical_id", "status", "evidence_hash", "content_hash", "digest", "week", F.coalesce(F.col("zone") == ZONE, F.lit(False)).alias("here")), "digests")
     seen = tree.faults(whole.select("id", F.col("digest").alias("json")), spec).select(F.col("id").alias("_v"), "faults")
-    out = whole.join(seen, F.col("id") == F.col("_v"), "left")
+    out = whole.join(seen.hint("merge"), F.col("id") == F.col("_v"), "left")
     private = F.exists("faults", lambda x: F.startswith(x, F.lit("privacy:")))
     problem = F.when(F.col("digest").isNull() | ~F.col("here"), "digest_schema_invalid").when(~F.col("week"), "weekly_period_invalid").when(private, "digest_privacy_violation").when(F.size("faults") > 0, "digest_schema_invalid")
     fine = problem.isNull()

@@ -108,3 +108,12 @@ def test_digests_keep_what_is_listed(spark):
 
 def report_digests(spark, rows):
     return report_digest.build_digests(spark.createDataFrame(rows, "id string, kind string, json string")).collect()
+
+
+def test_nodes_meet_nodes_by_merge(spark):
+    from firnline.operators import json_tree
+
+    nodes = spark.createDataFrame([("a", 0, "$", None, "$", None, None, 0, "object", None)], "id string, depth int, path string, parent string, pattern string, parent_pattern string, key string, place int, kind string, text string")
+    found = json_tree.schema_faults(nodes, json_tree.schema_table(spark, {"object": {"x": "number"}}))
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.fault for r in found.collect()] == ["schema:$.x:missing_key"]
