@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firnline.sources import rounds
+
 NOW = datetime(2024, 1, 20, 12, tzinfo=timezone.utc)
 
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str, rows: int = rounds.DEALT_ROWS) -> DataFrame:
+    """A table, or columns of it, in parts of about so many rows: for queries that work long on each row."""
+    return rounds.dealt(table(spark, sf_dir, name).select(*(columns or ["*"])), rows)
+
+
 def pick(x: Column, values: list) -> Column:
     """The value at x modulo the number of values; None gives null."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(x, F.lit(len(values))).cast("int"))
@@ -61,9 +68,10 @@ SOURCES = ["https://maker.example/specs", "https://trial-sport.ru/p", None, " ",
 LINKS = ["https://shop.example.net/x", "https://store-a.test/p", "", "https://store-b.test/q", "https://store-c.test/r"]
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products(spark: SparkSession, sf_dir: str, part: DataFrame | None = None) -> DataFrame:
+    """``part``: its rows, where they have been read."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return (table(spark, sf_dir, "part") if part is None else part).select(
         F.concat(F.lit("id-"), k.cast("string")).alias("id"),
         F.concat(F.lit("p-"), k.cast("string")).alias("slug"),
         F.col("p_brand").alias("brand"),
@@ -89,11 +97,11 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sizes(spark: SparkSession, sf_dir: str, part: DataFrame | None = None) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("n")
     waist = (F.lit(238) + (k * 5 + n * 3) % 40).cast("int")
     low = (F.lit(40) + (k * 3 + n * 7) % 40).cast("int")
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).where((k % 29 != 0)).select(
+    return (table(spark, sf_dir, "part") if part is None else part).select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).where((k % 29 != 0)).select(
         F.concat(F.lit("s-"), k.cast("string"), F.lit("-"), n.cast("string")).alias("id"),
         F.concat(F.lit("id-"), k.cast("string")).alias("product_id"),
         F.when((k + n) % 37 == 0, 95.0).otherwise((F.lit(138) + (k * 7 + n * 4) % 30).cast("double")).alias("size_cm"),

@@ -57,13 +57,13 @@ def family_reconciliation(s: SparkSession, d: str) -> DataFrame:
     return fam.reconcile(p, known)
 
 
-def _offers(s: SparkSession, d: str) -> DataFrame:
-    """Offers of two stores in groups of four slugs."""
+def _offers(s: SparkSession, d: str, *more: str, part: DataFrame | None = None) -> DataFrame:
+    """Offers of two stores in groups of four slugs, with more of the products' columns."""
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
     g = F.floor(k / 4)
     url = F.when(k % 2 == 0, F.concat(F.lit("https://www.traektoria.ru/product/"), (k + 1000).cast("string"), F.lit("_x/"))).otherwise(F.concat(F.lit("https://trial-sport.ru/goods/51/"), (F.floor(k / 8) * 8 + 7).cast("string"), F.lit(".html")))
-    p = b.products(s, d)
-    return p.select("id", F.concat(F.lit("o-"), F.when(k % 9 == 0, k).otherwise(g).cast("string")).alias("slug"), F.concat(F.lit("Make "), F.floor(g / 5).cast("string")).alias("brand"), F.concat(F.lit("Model "), g.cast("string"), F.when((g % 6 == 0) & (k % 4 == 3), " Wide").otherwise("")).alias("model_name"), F.when(g % 3 == 0, b.pick(k, ["men", "women"])).when(g % 3 == 1, "men").otherwise("unisex").alias("board_line"), F.when(g % 5 == 0, b.pick(k, ["2023/2024", "2024/2025"])).otherwise("24/25").alias("season_label"), url.alias("affiliate_url"), F.lit(None).cast("string").alias("source_url"), "is_active")
+    p = b.products(s, d, b.dealt(s, d, "part") if part is None else part)
+    return p.select("id", F.concat(F.lit("o-"), F.when(k % 9 == 0, k).otherwise(g).cast("string")).alias("slug"), F.concat(F.lit("Make "), F.floor(g / 5).cast("string")).alias("brand"), F.concat(F.lit("Model "), g.cast("string"), F.when((g % 6 == 0) & (k % 4 == 3), " Wide").otherwise("")).alias("model_name"), F.when(g % 3 == 0, b.pick(k, ["men", "women"])).when(g % 3 == 1, "men").otherwise("unisex").alias("board_line"), F.when(g % 5 == 0, b.pick(k, ["2023/2024", "2024/2025"])).otherwise("24/25").alias("season_label"), url.alias("affiliate_url"), F.lit(None).cast("string").alias("source_url"), "is_active", *more)
 
 
 def offer_compatibility(s: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
+#: Rows of one part of a dealt table, about.
+DEALT_ROWS = 20_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
@@ -47,3 +51,13 @@ class Rounds:
     def _end(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended
             self.drop("")
+
+
+def dealt(df: DataFrame, rows: int = DEALT_ROWS) -> DataFrame:
+    """The same rows as a table in parts of about so many, for work that is long for the bytes of its rows.
+
+    A small file of many rows is read by one task, which would do all of that work. The rows are written, because Spark
+    moves filters, with what they work out, in front of a mere repartition. Give it columns as they were read.
+    """
+    parts = max(1, math.ceil(df.count() / rows))
+    return Rounds(df.sparkSession, "dealt").put(df.repartition(parts), "rows")
