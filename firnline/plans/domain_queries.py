@@ -225,7 +225,7 @@ def size_tables(s: SparkSession, d: str) -> DataFrame:
     wide, narrow = n(F.lit(24) + k % 3), F.concat(n(F.lit(250) + k % 30), F.lit(" мм"))
     by_row = F.concat(cell(F.lit("Размер, см"), F.lit("Ширина талии"), F.lit("Вес райдера")), cell(a, wide, F.lit("50-70")), cell(c, narrow, F.lit("65+")), cell(F.lit("?"), F.lit("1"), F.lit("")))
     by_column = F.concat(cell(F.lit(""), a, c), cell(F.lit("<b>ширина&nbsp;талии</b>"), wide, narrow))
-    pages = b.table(s, d, "part").select("p_partkey", F.concat(F.lit("<table>"), F.when(k % 2 == 0, by_row).otherwise(by_column), F.lit("</table>")).alias("html"))
+    pages = b.dealt(s, d, "part", "p_partkey").select("p_partkey", F.concat(F.lit("<table>"), F.when(k % 2 == 0, by_row).otherwise(by_column), F.lit("</table>")).alias("html"))
     return feeds.size_rows(pages, "p_partkey", "html").withColumn("recommended_weight_max", F.col("recommended_weight_max").cast("double"))
 
 

@@ -22,3 +22,7 @@ def test_dealt_rows_are_the_same_in_several_parts(spark):
 
 def test_offers_are_worked_on_in_dealt_parts(spark):
     assert "part.parquet" not in _files(domain_queries._offers(spark, DATA))
+
+
+def test_size_tables_are_parsed_in_dealt_parts(spark):
+    assert "part.parquet" not in _files(domain_queries.size_tables(spark, DATA))
