@@ -2,6 +2,8 @@
 
 Members are proposed offers (offer_identities plus ``assigned``, the slug they would get); owners are stored products
 (offer_identities plus manual). Each rule is a flag of a member or of an assignment; a group's gravest flags decide.
+Joins say ``merge``: all tables grow with the offers, and Spark would send small-looking ones through the driver. Members
+and owners are read by several branches, so give tables, not what is yet to be parsed.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def authorize(members: DataFrame, owners: DataFrame) -> DataFrame:
     uses = m.where("source_key is not null").groupBy(F.col("source_key").alias("_u")).agg(F.countDistinct("assigned").alias("uses"))
     claims = by_key.groupBy(F.col("_key").alias("_q")).agg(F.count(F.lit(1)).alias("claims"))
     a, k = _side("m"), _side("k")
-    met = mine.join(by_key, F.col("m_source_key") == F.col("_key"), "left").join(uses, F.col("m_source_key") == F.col("_u"), "left").join(claims, F.col("m_source_key") == F.col("_q"), "left")
+    met = mine.join(by_key.hint("merge"), F.col("m_source_key") == F.col("_key"), "left").join(uses.hint("merge"), F.col("m_source_key") == F.col("_u"), "left").join(claims.hint("merge"), F.col("m_source_key") == F.col("_q"), "left")
     own = F.array_compact(F.array(F.when(a("source_key").isNull(), "MISSING_STABLE_SOURCE_IDENTITY"), F.when(F.col("uses") > 1, "DUPLICATE_SOURCE_KEY_PROPOSAL"), F.when(F.col("claims") > 1, "MULTIPLE_CLUSTERS_CLAIM_HISTORICAL_IDENTITY"), *[F.when(F.col("_key").isNotNull(), c) for c in reuse_conflicts(k, a)]))
     blocks = met.select("base_slug", F.explode(own).alias("reason")).withColumn("level", F.lit(2))
 
@@ -75,7 +77,7 @@ def authorize(members: DataFrame, owners: DataFrame) -> DataFrame:
         F.countDistinct(F.struct(*[F.coalesce(f"m_{c}", F.lit("")) for c in ("n_brand", "n_model", "board_line", "season", "variant")])).alias("kinds"),
     )
     slugs = lambda p: o.select(F.col("slug").alias(f"{p}_slug"), F.col("manual").alias(f"{p}_manual"), *[F.col(c).alias(f"{p}_{c}") for c in FIELDS])
-    j = first.join(slugs("o"), F.col("assigned") == F.col("o_slug"), "left").join(slugs("h"), F.col("base_slug") == F.col("h_slug"), "left")
+    j = first.join(slugs("o").hint("merge"), F.col("assigned") == F.col("o_slug"), "left").join(slugs("h").hint("merge"), F.col("base_slug") == F.col("h_slug"), "left")
     f, h = lambda c: F.col(f"first.m_{c}"), _side("h")
     owned, exact = F.col("o_slug").isNotNull(), F.coalesce(F.array_contains("keys", F.col("o_source_key")), F.lit(False))
     suffixed = (F.col("assigned") != F.col("base_slug")) & F.col("h_slug").isNotNull()
@@ -97,6 +99,6 @@ def authorize(members: DataFrame, owners: DataFrame) -> DataFrame:
     planned = j.select("base_slug", F.explode(flags).alias("f")).select("base_slug", "f.reason", "f.level")
     every = blocks.unionByName(planned)
     worst = every.groupBy(F.col("base_slug").alias("_b")).agg(F.max("level").alias("_w"))
-    kept = every.join(worst, (F.col("base_slug") == F.col("_b")) & (F.col("level") == F.col("_w")))
+    kept = every.join(worst.hint("merge"), (F.col("base_slug") == F.col("_b")) & (F.col("level") == F.col("_w")))
     g = kept.groupBy("base_slug").agg(F.max("level").alias("w"), F.array_sort(F.collect_set("reason")).alias("reasons"))
     return g.select("base_slug", F.element_at(F.lit(["AUTO", "REVIEW", "BLOCK"]), F.col("w") + 1).alias("decision"), "reasons")

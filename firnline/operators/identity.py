@@ -138,7 +138,7 @@ def clusters(identities: DataFrame) -> DataFrame:
     led = ranked.select("base_slug", "_i", "place", *FIELDS).repartition(*names).sortWithinPartitions(*names, "place").mapInPandas(run, "base_slug string, _i string, lead int")
     number = F.dense_rank().over(Window.partitionBy("base_slug").orderBy("lead")) - 1
     numbered = led.withColumn("cluster", number).withColumn("clusters", F.max("cluster").over(Window.partitionBy("base_slug")) + 1)
-    return marked.select("id", "base_slug", "_i").join(numbered.drop("lead"), ["base_slug", "_i"]).select("id", "base_slug", F.col("cluster").cast("int").alias("cluster"), F.col("clusters").cast("int").alias("clusters"))
+    return marked.select("id", "base_slug", "_i").join(numbered.drop("lead").hint("merge"), ["base_slug", "_i"]).select("id", "base_slug", F.col("cluster").cast("int").alias("cluster"), F.col("clusters").cast("int").alias("clusters"))
 
 
 def group_classes(identities: DataFrame, clustered: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def group_classes(identities: DataFrame, clustered: DataFrame) -> DataFrame:
         .when(hard | (F.coalesce("ids", F.lit(0)) > 1), "CONFIRMED_IDENTITY_COLLISION")
         .otherwise("POTENTIAL_IDENTITY_COLLISION")
     )
-    return g.join(per, "base_slug").join(ids, "base_slug", "left").select("base_slug", F.col("n").alias("offers"), F.col("clusters").cast("long").alias("clusters"), kind.alias("class"))
+    return g.join(per.hint("merge"), "base_slug").join(ids.hint("merge"), "base_slug", "left").select("base_slug", F.col("n").alias("offers"), F.col("clusters").cast("long").alias("clusters"), kind.alias("class"))
 
 
 def unanimous(c: str) -> Column:

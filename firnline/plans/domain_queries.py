@@ -17,6 +17,7 @@ from firnline.operators import recommend as rec
 from firnline.operators.recommend import with_profile
 from firnline.plans import bindings as b
 from firnline.sources import feeds, merge
+from firnline.sources.rounds import Rounds
 
 NOW = datetime(2024, 1, 20, 12, tzinfo=timezone.utc)
 
@@ -66,16 +67,21 @@ def _offers(s: SparkSession, d: str, *more: str, part: DataFrame | None = None)
     return p.select("id", F.concat(F.lit("o-"), F.when(k % 9 == 0, k).otherwise(g).cast("string")).alias("slug"), F.concat(F.lit("Make "), F.floor(g / 5).cast("string")).alias("brand"), F.concat(F.lit("Model "), g.cast("string"), F.when((g % 6 == 0) & (k % 4 == 3), " Wide").otherwise("")).alias("model_name"), F.when(g % 3 == 0, b.pick(k, ["men", "women"])).when(g % 3 == 1, "men").otherwise("unisex").alias("board_line"), F.when(g % 5 == 0, b.pick(k, ["2023/2024", "2024/2025"])).otherwise("24/25").alias("season_label"), url.alias("affiliate_url"), F.lit(None).cast("string").alias("source_url"), "is_active", *more)
 
 
+def _identities(tables: Rounds, d: str) -> DataFrame:
+    """The offers' identities as a table: links and names are read once, not by each branch of a query."""
+    return tables.put(identity.offer_identities(_offers(tables.spark, d)), "identities")
+
+
 def offer_compatibility(s: SparkSession, d: str) -> DataFrame:
-    return identity.pair_compatibility(identity.offer_identities(_offers(s, d))).select("base_slug", "left", "right", F.array_join("reasons", ",").alias("reasons"))
+    return identity.pair_compatibility(_identities(Rounds(s, "compatibility"), d)).select("base_slug", "left", "right", F.array_join("reasons", ",").alias("reasons"))
 
 
 def offer_clusters(s: SparkSession, d: str) -> DataFrame:
-    return identity.clusters(identity.offer_identities(_offers(s, d)))
+    return identity.clusters(_identities(Rounds(s, "clusters"), d))
 
 
 def offer_classes(s: SparkSession, d: str) -> DataFrame:
-    i = identity.offer_identities(_offers(s, d))
+    i = _identities(Rounds(s, "classes"), d)
     return identity.group_classes(i, identity.clusters(i))
 
 
@@ -243,13 +249,15 @@ QUERIES += [decision_guide, report_warnings, store_links, size_tables, table_che
 
 def offer_authorization(s: SparkSession, d: str) -> DataFrame:
     """Imported offers against stored ones of which every fifth has changed hands."""
-    i = identity.offer_identities(_offers(s, d))
+    tables = Rounds(s, "authorization")
+    i = _identities(tables, d)
     c = identity.clusters(i).select(F.col("id").alias("_id"), "cluster")
-    members = i.join(c, F.col("id") == F.col("_id")).withColumn("assigned", F.concat("base_slug", F.when(F.col("cluster") > 0, F.concat(F.lit("-"), F.col("cluster").cast("string"))).otherwise("")))
+    members = i.join(c.hint("merge"), F.col("id") == F.col("_id")).withColumn("assigned", F.concat("base_slug", F.when(F.col("cluster") > 0, F.concat(F.lit("-"), F.col("cluster").cast("string"))).otherwise("")))
+    members = tables.put(members, "members")
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
     stored = members.where(k % 4 != 1).withColumn("n_model", F.when(k % 5 == 0, "another").otherwise(F.col("n_model"))).withColumn("slug", F.col("assigned")).withColumn("manual", k % 10 == 0)
     least = stored.groupBy("slug").agg(F.min("id").alias("_least"))
-    stored = stored.join(least.drop("slug"), F.col("id") == F.col("_least"), "left_semi")
+    stored = tables.put(stored.join(least.drop("slug").hint("merge"), F.col("id") == F.col("_least"), "left_semi"), "stored")
     return authorization.authorize(members, stored).select("base_slug", "decision", F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -1,5 +1,7 @@
 """Small files of many rows are dealt out before work that is long for each row."""
 
+import pytest
+
 from firnline.plans import bindings as b
 from firnline.plans import domain_queries
 from firnline.sources.rounds import dealt
@@ -26,3 +28,11 @@ def test_offers_are_worked_on_in_dealt_parts(spark):
 
 def test_size_tables_are_parsed_in_dealt_parts(spark):
     assert "part.parquet" not in _files(domain_queries.size_tables(spark, DATA))
+
+
+@pytest.mark.parametrize("query", [domain_queries.offer_authorization, domain_queries.offer_classes])
+def test_offers_are_parsed_once_and_joined_by_merge(spark, query):
+    made = query(spark, DATA)
+    shown = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in shown and "Broadcast" not in shown
+    assert "try_parse_url" not in shown and "parse_url" not in shown
