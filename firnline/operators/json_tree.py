@@ -1,7 +1,8 @@
 """JSON documents as tables of their nodes: walked level by level, held against a schema, and written again in one form.
 
 A document becomes a row for each value at any depth, so large documents are dealt out like any other rows; each level
-is a table, and as many rounds are needed as documents are deep. Nothing here runs Python on values.
+is a table, and as many rounds are needed as documents are deep. Nothing here runs Python on values; only keys beyond
+ASCII go through it.
 
 Joins of nodes with nodes say ``merge``: Spark guesses the size of a table from its compressed files, and node tables
 compress a hundredfold, so it would send whole ones to every task through the driver.
@@ -172,10 +173,14 @@ def schema_faults(nodes: DataFrame, schema: DataFrame) -> DataFrame:
 
 def privacy_faults(nodes: DataFrame) -> DataFrame:
     """id and fault (privacy:path:what) of forbidden keys and of strings that look like addresses or secrets."""
-    word = F.regexp_replace(F.lower(nfkc(F.col("key"))), "[^a-z0-9]", "")
+    key, plain = F.col("key"), F.col("key").rlike(r"^[\x00-\x7F]*$")
+    forbidden = lambda x: F.coalesce(F.regexp_replace(F.lower(x), "[^a-z0-9]", "").isin(sorted(FORBIDDEN)), F.lit(False))
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    found = F.array_compact(F.array(F.when(F.coalesce(word.isin(sorted(FORBIDDEN)), F.lit(False)), "forbidden_key"), *[F.when((F.col("kind") == "string") & text.rlike(p), name) for name, p in LEAKS.items()]))
-    return nodes.select("id", "path", F.explode(found).alias("what")).select("id", F.concat_ws(":", F.lit("privacy"), "path", "what").alias("fault"))
+    found = F.array_compact(F.array(F.when(plain & forbidden(key), "forbidden_key"), *[F.when((F.col("kind") == "string") & text.rlike(p), name) for name, p in LEAKS.items()]))
+    here = nodes.select("id", "path", F.explode(found).alias("what"))
+    # ASCII is its own composition, so few keys need Python
+    folded = nodes.where(~plain).select("id", "path", nfkc(key).alias("key")).where(forbidden(key)).select("id", "path", F.lit("forbidden_key").alias("what"))
+    return here.unionByName(folded).select("id", F.concat_ws(":", F.lit("privacy"), "path", "what").alias("fault"))
 
 
 def faults(docs: DataFrame, schema) -> DataFrame:
@@ -183,6 +188,6 @@ def faults(docs: DataFrame, schema) -> DataFrame:
     tables = Rounds(docs.sparkSession, "faults")
     nodes = together(walk(docs, tables))
     found = schema_faults(nodes, schema_table(docs.sparkSession, schema)).unionByName(privacy_faults(nodes)).groupBy(F.col("id").alias("_i")).agg(F.array_sort(F.collect_set("fault")).alias("faults"))
-    good = F.try_parse_json("json").isNotNull()
+    good = docs.select("id", F.try_parse_json("json").isNotNull().alias("good"))  # before the join, so that no document is moved
     empty = F.array().cast("array<string>")
-    return docs.join(found.hint("merge"), F.col("id") == F.col("_i"), "left").select("id", F.when(~good, F.array(F.lit("schema:$:invalid_json"))).otherwise(F.coalesce("faults", empty)).alias("faults"))
+    return good.join(found.hint("merge"), F.col("id") == F.col("_i"), "left").select("id", F.when(~F.col("good"), F.array(F.lit("schema:$:invalid_json"))).otherwise(F.coalesce("faults", empty)).alias("faults"))

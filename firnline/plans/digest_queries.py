@@ -13,6 +13,8 @@ from firnline.plans import bindings as b
 VERSION = report_digest.VERSION
 #: Where a document has a figure of its own.
 MARK = 987654321
+#: Suppliers of one part of the dealt table: each has a document of many nodes.
+DOCUMENTS = 500
 HASH = "sha256:" + "0" * 64
 DAYS = {"yesterday": ("2024-01-14", "2024-01-14"), "last7Days": ("2024-01-08", "2024-01-14"), "previous7Days": ("2024-01-01", "2024-01-07"), "last30Days": ("2023-12-16", "2024-01-14"), "previous30Days": ("2023-11-16", "2023-12-15")}
 TEXTS = {"date": "2024-01-14", "hash": HASH, "instant": "2024-01-15T06:30:00.000Z", "path": "/boards"}
@@ -85,7 +87,7 @@ def digest_faults(s: SparkSession, d: str) -> DataFrame:
     for i, (old, new) in enumerate(FAULTS):
         if old:
             doc = F.when(k % len(FAULTS) == i, F.replace(F.lit(_text(digest_sample())), F.lit(old), F.lit(new))).otherwise(doc)
-    docs = b.table(s, d, "supplier").select(k.cast("string").alias("id"), F.replace(doc, F.lit(str(MARK)), k.cast("string")).alias("json"))
+    docs = b.dealt(s, d, "supplier", "s_suppkey", rows=DOCUMENTS).select(k.cast("string").alias("id"), F.replace(doc, F.lit(str(MARK)), k.cast("string")).alias("json"))
     return json_tree.faults(docs, report_digest.digest_schema()).select("id", F.array_join("faults", ",").alias("faults"))
 
 
@@ -96,7 +98,7 @@ def report_digests(s: SparkSession, d: str) -> DataFrame:
     doc = F.when(k % 5 == 0, F.replace(doc, F.lit('"metrika":{"status":"ok"'), F.lit('"metrika":{"status":"unavailable"'))).otherwise(doc)
     doc = F.when(k % 7 == 0, F.replace(doc, F.lit('"endDate":"2024-01-07"'), F.lit('"endDate":"2024-01-06"'))).otherwise(doc)
     doc = F.when(k % 11 == 0, F.replace(doc, F.lit('"severity":"info"'), F.lit('"severity":"loud"'))).when(k % 13 == 0, F.replace(doc, F.lit('"label":"words'), F.lit('"label":"https://words'))).otherwise(doc)
-    reports = b.table(s, d, "supplier").select(k.cast("string").alias("id"), F.when(k % 2 == 0, "weekly").otherwise("daily").alias("kind"), doc.alias("json"))
+    reports = b.dealt(s, d, "supplier", "s_suppkey", rows=DOCUMENTS).select(k.cast("string").alias("id"), F.when(k % 2 == 0, "weekly").otherwise("daily").alias("kind"), doc.alias("json"))
     return report_digest.build_digests(reports).select("id", "logical_id", "status", "evidence_hash", "content_hash", F.length("digest").cast("long").alias("length"), "problem")
 
 

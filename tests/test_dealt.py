@@ -2,8 +2,9 @@
 
 import pytest
 
+from firnline.operators import json_tree
 from firnline.plans import bindings as b
-from firnline.plans import domain_queries
+from firnline.plans import digest_queries, domain_queries
 from firnline.sources.rounds import dealt
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +37,14 @@ def test_offers_are_parsed_once_and_joined_by_merge(spark, query):
     shown = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in shown and "Broadcast" not in shown
     assert "try_parse_url" not in shown and "parse_url" not in shown
+
+
+@pytest.mark.parametrize("query", [digest_queries.digest_faults, digest_queries.report_digests])
+def test_documents_are_walked_in_dealt_parts(spark, query):
+    assert "supplier.parquet" not in _files(query(spark, DATA))
+
+
+def test_forbidden_keys_in_wide_letters_are_found(spark):
+    docs = spark.createDataFrame([("a", '{"ｅmail":1,"Email":2,"ok":3}'), ("b", "{"), ("c", None)], "id string, json string")
+    got = {r.id: r.faults for r in json_tree.faults(docs, {"object": {"ok": "number", "ｅmail?": "number", "Email?": "number"}}).collect()}
+    assert got == {"a": ["privacy:$.Email:forbidden_key", "privacy:$.ｅmail:forbidden_key"], "b": ["schema:$:invalid_json"], "c": ["schema:$:invalid_json"]}
