@@ -5,6 +5,9 @@ asks for the first name on its list that it was not refused, and of those that a
 number has it; a round without refusals is the last. This gives the names that clusters served one by one would take,
 while a round is a few joins over all clusters. What a round leaves open is a table, so plans do not grow.
 
+Joins say ``merge``: all tables here grow with the offers, and Spark would send small-looking ones to every task through
+the driver.
+
 A cluster's offers are merged in their order, each with what the ones before it came to: one gives its description,
 another sells. A plan is tables, and its hash one checksum over their rows.
 """
@@ -36,7 +39,7 @@ def stored_matches(members: DataFrame, stored: DataFrame) -> DataFrame:
     m, s = members.alias("m"), stored.alias("s")
     apart = F.coalesce(F.col("m.season") != F.col("s.season"), F.lit(False))
     same = (F.col("m.source_key") == F.col("s.source_key")) & F.col("m.board_line").eqNullSafe(F.col("s.board_line")) & F.col("m.variant").eqNullSafe(F.col("s.variant")) & ~apart
-    return m.join(s, same).select("s.slug", "m.base_slug", "m.cluster").distinct()
+    return m.join(s.hint("merge"), same).select("s.slug", "m.base_slug", "m.cluster").distinct()
 
 
 def base_choices(clusters: DataFrame, matches: DataFrame, stored: DataFrame, official: DataFrame) -> DataFrame:
@@ -48,10 +51,10 @@ def base_choices(clusters: DataFrame, matches: DataFrame, stored: DataFrame, off
     owners = stored.groupBy(F.col("slug").alias("_o")).agg(F.count(F.lit(1)).alias("owners"), F.max("source_key").alias("key"), F.max("board_line").alias("o_line"), F.max("variant").alias("o_variant"), F.max("season").alias("o_season"))
     continuing = matches.where("slug = base_slug").groupBy(F.col("base_slug").alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("which"))
     wanted = official.where("board_line is not null").select(F.col("slug").alias("_w"), F.col("board_line").alias("w_line"))
-    lines = clusters.join(wanted, F.col("base_slug") == F.col("_w")).where("line = w_line").groupBy(F.col("base_slug").alias("_l")).agg(F.count(F.lit(1)).alias("of_line"), F.min("cluster").alias("line_cluster"))
+    lines = clusters.join(wanted.hint("merge"), F.col("base_slug") == F.col("_w")).where("line = w_line").groupBy(F.col("base_slug").alias("_l")).agg(F.count(F.lit(1)).alias("of_line"), F.min("cluster").alias("line_cluster"))
     j = clusters.select("base_slug").distinct()
     for other, key in ((owners, "_o"), (continuing, "_c"), (lines, "_l")):
-        j = j.join(other, F.col("base_slug") == F.col(key), "left")
+        j = j.join(other.hint("merge"), F.col("base_slug") == F.col(key), "left")
     owned, one = F.col("owners").isNotNull(), (F.col("owners") == 1) & F.col("key").isNotNull() & (F.col("n") == 1)
     by_line = F.col("of_line") == 1
     base = F.when(owned, F.when(one, F.col("which"))).when(by_line, F.col("line_cluster")).otherwise(0)
@@ -66,8 +69,8 @@ def _names(clusters: DataFrame, choices: DataFrame, matches: DataFrame, stored:
     prior = matches.where("slug <> base_slug").groupBy(*CLUSTER).agg(F.array_sort(F.collect_set("slug")).alias("prior"))
     base = clusters.select("base_slug", F.col("cluster").alias("_n"), F.col("line").alias("b_line"), F.col("variant").alias("b_variant"), F.col("season").alias("b_season"))
     same_line = clusters.where("line is not null").groupBy(F.col("base_slug").alias("_s"), F.col("line").alias("_line")).agg(F.count(F.lit(1)).alias("same_line"))
-    j = clusters.join(choices, "base_slug").join(base, "base_slug", "left").where(F.coalesce("base", F.lit(0)) == F.col("_n")).join(prior, CLUSTER, "left")
-    j = j.join(same_line, (F.col("base_slug") == F.col("_s")) & (F.col("line") == F.col("_line")), "left")
+    j = clusters.join(choices.hint("merge"), "base_slug").join(base.hint("merge"), "base_slug", "left").where(F.coalesce("base", F.lit(0)) == F.col("_n")).join(prior.hint("merge"), CLUSTER, "left")
+    j = j.join(same_line.hint("merge"), (F.col("base_slug") == F.col("_s")) & (F.col("line") == F.col("_line")), "left")
     against = lambda c: F.when(F.col("base").isNull(), F.col(f"o_{c}")).otherwise(F.col(f"b_{c}"))
     other = lambda c: F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(against(c)), F.col(c))
     endings = F.concat(F.array(F.when(F.col("same_line") == 1, other("line")), other("variant"), other("season")), F.col("tokens"))
@@ -79,11 +82,11 @@ def _names(clusters: DataFrame, choices: DataFrame, matches: DataFrame, stored:
     listed = j.where(n <= 1).select(*CLUSTER, F.posexplode(F.concat(old, rest)).alias("place", "x")).select(*CLUSTER, "place", "x.*")
     foreign = stored.select(F.col("slug").alias("_f")).distinct()
     mine = matches.select(F.col("slug").alias("_m"), F.col("base_slug").alias("_b"), F.col("cluster").alias("_c"))
-    kept = listed.join(foreign, F.col("slug") == F.col("_f"), "left").join(mine, (F.col("slug") == F.col("_m")) & (F.col("base_slug") == F.col("_b")) & (F.col("cluster") == F.col("_c")), "left")
+    kept = listed.join(foreign.hint("merge"), F.col("slug") == F.col("_f"), "left").join(mine.hint("merge"), (F.col("slug") == F.col("_m")) & (F.col("base_slug") == F.col("_b")) & (F.col("cluster") == F.col("_c")), "left")
     reserved = choices.where("base is null").select(F.col("base_slug").alias("_r"))
     free = ~F.startswith("reason", F.lit("collision")) | F.col("_f").isNull() | F.col("_m").isNotNull()
     # a base that nobody continues is taken from its group's turn on; groups go by base slug
-    return kept.where(free).join(reserved, (F.col("slug") == F.col("_r")) & (F.col("_r") <= F.col("base_slug")), "left_anti").select(*CLUSTER, "place", "slug", "reason")
+    return kept.where(free).join(reserved.hint("merge"), (F.col("slug") == F.col("_r")) & (F.col("_r") <= F.col("base_slug")), "left_anti").select(*CLUSTER, "place", "slug", "reason")
 
 
 def slug_plan(members: DataFrame, stored: DataFrame, official: DataFrame) -> DataFrame:
@@ -95,15 +98,15 @@ def slug_plan(members: DataFrame, stored: DataFrame, official: DataFrame) -> Dat
     while True:
         asked = tables.put(left.groupBy(*CLUSTER).agg(F.min(F.struct("place", "slug", "reason")).alias("x")).select(*CLUSTER, "x.slug", "x.reason"), f"asked{at}")
         first = asked.groupBy(F.col("slug").alias("_s")).agg(F.min(F.struct(*CLUSTER)).alias("w"))
-        lost = tables.put(asked.join(first, F.col("slug") == F.col("_s")).where(F.struct(*CLUSTER) != F.col("w")).select(*CLUSTER, "slug"), f"lost{at}")
+        lost = tables.put(asked.join(first.hint("merge"), F.col("slug") == F.col("_s")).where(F.struct(*CLUSTER) != F.col("w")).select(*CLUSTER, "slug"), f"lost{at}")
         if lost.isEmpty():
             break
-        left = tables.put(left.join(lost, [*CLUSTER, "slug"], "left_anti"), f"names{at + 1}")
+        left = tables.put(left.join(lost.hint("merge"), [*CLUSTER, "slug"], "left_anti"), f"names{at + 1}")
         tables.drop(f"names{at}", f"asked{at}", f"lost{at}")
         at += 1
     several = matches.where("slug <> base_slug").groupBy(*CLUSTER).agg(F.countDistinct("slug").alias("n")).where("n > 1").select(*CLUSTER, F.lit(True).alias("several"))
     why = F.coalesce("reason", F.when(F.col("several"), "blocking-existing-identity-duplication").otherwise("blocking-no-safe-slug"))
-    return clusters.select(*CLUSTER).join(asked, CLUSTER, "left").join(several, CLUSTER, "left").select(*CLUSTER, "slug", why.alias("reason"))
+    return clusters.select(*CLUSTER).join(asked.hint("merge"), CLUSTER, "left").join(several.hint("merge"), CLUSTER, "left").select(*CLUSTER, "slug", why.alias("reason"))
 
 
 def _media(image: Column, gallery: Column) -> Column:
@@ -178,7 +181,7 @@ def _with_sizes(offers: DataFrame, sizes: DataFrame, ref: str) -> DataFrame:
     """Offers with the array of the sizes of the product that ``ref`` names, by length and label."""
     one = F.struct("size_cm", F.coalesce("size_label", F.col("size_cm").cast("string")).alias("size_label"), "recommended_weight_min", "recommended_weight_max", F.coalesce("is_available", F.lit(True)).alias("is_available"))
     nested = sizes.groupBy(F.col("product_id").alias("_p")).agg(F.array_sort(F.collect_list(one)).alias("sizes"))
-    return offers.join(nested, F.col(ref) == F.col("_p"), "left").drop("_p")
+    return offers.join(nested.hint("merge"), F.col(ref) == F.col("_p"), "left").drop("_p")
 
 
 class Plan:
@@ -202,7 +205,7 @@ def _needs_repair(members: DataFrame, slugs: DataFrame, stored: DataFrame) -> Da
     fits = F.col("_m_sizes").eqNullSafe(F.col("_s_sizes"))
     for c in same:
         fits = fits & F.col(f"_m_{c}").eqNullSafe(F.col(f"_s_{c}"))
-    met = slugs.where("slug is not null").join(now, F.col("slug") == F.col("_slug"), "left").join(mine, [*CLUSTER], "left")
+    met = slugs.where("slug is not null").join(now.hint("merge"), F.col("slug") == F.col("_slug"), "left").join(mine.hint("merge"), [*CLUSTER], "left")
     kept = met.groupBy(*CLUSTER).agg(F.bool_or(F.coalesce((F.col("_own") == F.col("_key")) & fits, F.lit(False))).alias("kept"))
     return kept.groupBy("base_slug").agg((~F.bool_and("kept")).alias("needs_repair"))
 
@@ -218,7 +221,7 @@ def identity_plan(offers: DataFrame, sizes: DataFrame, stored: DataFrame, offici
     whole = tables.put(_with_sizes(offers, sizes, "id"), "offers")
     known = whole.where("source_key is not null")
     clusters = clustered(known).select(F.col("id").alias("_id"), F.col("base_slug").alias("_base"), "cluster", "clusters")
-    members = tables.put(known.join(clusters, (F.col("id") == F.col("_id")) & (F.col("base_slug") == F.col("_base"))).drop("_id", "_base"), "members")
+    members = tables.put(known.join(clusters.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("base_slug") == F.col("_base"))).drop("_id", "_base"), "members")
     old = tables.put(_with_sizes(stored, sizes, "ref"), "stored")
     slugs = tables.put(slug_plan(members, old, official), "slugs")
     matches = stored_matches(members, old)
@@ -232,15 +235,15 @@ def identity_plan(offers: DataFrame, sizes: DataFrame, stored: DataFrame, offici
     keys = members.groupBy(*CLUSTER).agg(F.array_join(F.transform(ordered, lambda x: x["k"]), ",").alias("members"))
     why = choices.select("base_slug", F.col("base").alias("_base"), "why", "issue")
     reason = F.when(F.col("cluster").eqNullSafe(F.col("_base")), F.concat_ws(":", "reason", "why")).otherwise(F.col("reason"))
-    assignments = slugs.where("slug is not null").join(why, "base_slug").withColumn("reason", reason).drop("_base", "why", "issue").join(merged, CLUSTER).join(keys, CLUSTER)
+    assignments = slugs.where("slug is not null").join(why.hint("merge"), "base_slug").withColumn("reason", reason).drop("_base", "why", "issue").join(merged.hint("merge"), CLUSTER).join(keys.hint("merge"), CLUSTER)
     assignments = tables.put(assignments, "assignments")
 
     per = members.groupBy(*CLUSTER).agg(F.collect_set("board_line").alias("lines"))
     spec = official.select(F.col("slug").alias("base_slug"), F.col("board_line").alias("official_line")).distinct()
-    applies = slugs.where("slug is not null").join(per, CLUSTER).join(spec, "base_slug")
+    applies = slugs.where("slug is not null").join(per.hint("merge"), CLUSTER).join(spec.hint("merge"), "base_slug")
     applies = applies.where(F.col("official_line").isNull() | (F.col("lines") == F.array("official_line"))).groupBy("base_slug").agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("official_slugs"))
     classes = group_classes(known, members)
-    groups = classes.join(_needs_repair(members, slugs, old), "base_slug", "left").join(spec, "base_slug", "left").join(applies, "base_slug", "left")
+    groups = classes.join(_needs_repair(members, slugs, old).hint("merge"), "base_slug", "left").join(spec.hint("merge"), "base_slug", "left").join(applies.hint("merge"), "base_slug", "left")
     groups = groups.select("base_slug", "class", "offers", "clusters", F.coalesce("needs_repair", F.lit(False)).alias("needs_repair"), "official_line", F.when(F.col("official_line").isNotNull(), F.coalesce("official_slugs", F.lit(""))).alias("official_slugs"))
 
     blocked = slugs.where("slug is null").select("base_slug", F.col("reason").alias("issue"))
@@ -256,13 +259,13 @@ def plan_operations(plan: Plan, stored: DataFrame) -> DataFrame:
     which no cluster continues; rename is a stored product whose only offer would go on under another slug, which stops
     an audit.
     """
-    a = plan.assignments.join(plan.groups.select("base_slug", "class"), "base_slug")
+    a = plan.assignments.join(plan.groups.select("base_slug", "class").hint("merge"), "base_slug")
     known = stored.select(F.col("slug").alias("_s")).distinct()
-    met = a.where("class <> 'NO_CONFLICT'").select("slug", "class").join(known, F.col("slug") == F.col("_s"), "left")
+    met = a.where("class <> 'NO_CONFLICT'").select("slug", "class").join(known.hint("merge"), F.col("slug") == F.col("_s"), "left")
     changes = met.select("slug", F.when(F.col("_s").isNull(), "insert").otherwise("update").alias("operation"), "class")
-    gone = stored.where("store_code is not null").join(a.select(F.col("slug").alias("_a")), F.col("slug") == F.col("_a"), "left_anti").select("slug", F.lit("inactivate").alias("operation"), F.lit(None).cast("string").alias("class")).distinct()
+    gone = stored.where("store_code is not null").join(a.select(F.col("slug").alias("_a")).hint("merge"), F.col("slug") == F.col("_a"), "left_anti").select("slug", F.lit("inactivate").alias("operation"), F.lit(None).cast("string").alias("class")).distinct()
     single = a.where("class = 'NO_CONFLICT'").select(F.col("slug").alias("wanted"), F.col("members").alias("_key"), "class")
-    same = stored.select(F.col("source_key").alias("_key"), F.col("slug").alias("have")).join(single, "_key")
+    same = stored.select(F.col("source_key").alias("_key"), F.col("slug").alias("have")).join(single.hint("merge"), "_key")
     renamed = same.groupBy("wanted", "class").agg(F.bool_or(F.col("have") == F.col("wanted")).alias("kept")).where("not kept").select(F.col("wanted").alias("slug"), F.lit("rename").alias("operation"), "class")
     return changes.unionByName(gone).unionByName(renamed)
 
@@ -273,7 +276,7 @@ def plan_signals(plan: Plan) -> DataFrame:
         F.countDistinct("board_line").alias("lines"), F.countDistinct("season").alias("seasons"),
         F.countDistinct(F.to_json(F.coalesce("sizes", F.array().cast(plan.members.schema["sizes"].dataType)))).alias("matrices"),
     )
-    g = plan.groups.join(m, "base_slug")
+    g = plan.groups.join(m.hint("merge"), "base_slug")
     several = F.col("official_slugs").isNotNull() & ((F.col("official_slugs") == "") | F.contains("official_slugs", F.lit(",")))
     signals = {
         "lines": F.col("lines") > 1, "shared_slug": (F.col("offers") > F.col("clusters")) | (F.col("clusters") > 1), "seasons": F.col("seasons") > 1, "sizes": F.col("matrices") > 1,
@@ -291,7 +294,7 @@ BLOCKED, REQUIRED, MISMATCH, STALE, MALFORMED, DIAGNOSTIC = (f"SOURCE_IDENTITY_{
 def review_hash(decisions: DataFrame, plan: Plan) -> DataFrame:
     """hash (64 hexadecimal digits) of what a person has to look at: the groups to review and what the plan does with them."""
     wanted = decisions.where("decision = 'REVIEW'").select("base_slug", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
-    seen = wanted.join(plan.assignments, "base_slug", "left")
+    seen = wanted.join(plan.assignments.hint("merge"), "base_slug", "left")
     rows = seen.select("base_slug", F.to_json(F.struct(*sorted(seen.columns))).alias("row"))
     return checksum(rows, "base_slug").select(F.sha2(F.coalesce("md5", F.lit("")), 256).alias("hash"))
 

@@ -1,10 +1,10 @@
-"""Small files of many rows are dealt out before work that is long for each row."""
+"""Small files of many rows are dealt out before work that is long for each row, and nothing that grows goes through the driver."""
 
 import pytest
 
-from firnline.operators import json_tree
+from firnline.operators import identity_plan, json_tree
 from firnline.plans import bindings as b
-from firnline.plans import digest_queries, domain_queries
+from firnline.plans import digest_queries, domain_queries, identity_queries
 from firnline.sources.rounds import dealt
 
 DATA = "/root/testdata/sf0.001"
@@ -48,3 +48,11 @@ def test_forbidden_keys_in_wide_letters_are_found(spark):
     docs = spark.createDataFrame([("a", '{"ｅmail":1,"Email":2,"ok":3}'), ("b", "{"), ("c", None)], "id string, json string")
     got = {r.id: r.faults for r in json_tree.faults(docs, {"object": {"ok": "number", "ｅmail?": "number", "Email?": "number"}}).collect()}
     assert got == {"a": ["privacy:$.Email:forbidden_key", "privacy:$.ｅmail:forbidden_key"], "b": ["schema:$:invalid_json"], "c": ["schema:$:invalid_json"]}
+
+
+def test_plan_of_identities_reads_stored_tables_only(spark):
+    plan, stored = identity_queries._plan(spark, DATA)
+    made = identity_plan.plan_operations(plan, stored)
+    assert "part.parquet" not in _files(made)
+    shown = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in shown and "Broadcast" not in shown
