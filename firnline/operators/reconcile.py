@@ -8,6 +8,9 @@ is_active, family_id, role, manual_override, match_method, confidence, reason, m
 
 Every family and every candidate comes to one decision by ordered rules over joined flags. Only changes that hold all
 their guards are made, all of them or none.
+
+Joins say ``merge``: candidates, families and products grow, and Spark guesses their sizes from compressed files and would
+send them to every task through the driver.
 """
 
 from __future__ import annotations
@@ -80,7 +83,7 @@ def _shape(pairs: Column) -> Column:
 def _family_flags(x: Inputs, claims: DataFrame) -> DataFrame:
     """What the rules ask of each family's members; families without members have no row."""
     p = x.products.select(_trimmed(F.col("id")).alias("_p"), F.col("is_active").alias("_active"))
-    m = x.members.withColumn("product_id", _trimmed(F.col("product_id"))).join(p, F.col("product_id") == F.col("_p"), "left").join(claims.select("product_id", "claimed_by"), "product_id", "left")
+    m = x.members.withColumn("product_id", _trimmed(F.col("product_id"))).join(p.hint("merge"), F.col("product_id") == F.col("_p"), "left").join(claims.select("product_id", "claimed_by").hint("merge"), "product_id", "left")
     one = F.struct("product_id", "product_slug", "role")
     manual = _yes(F.col("manual_override")) | _yes(F.col("match_method") == "manual")
     automatic = ~_yes(F.col("manual_override")) & _yes((F.col("match_method") == AUTOMATIC_RULE) & (F.col("confidence") == AUTOMATIC_CONFIDENCE))
@@ -106,14 +109,14 @@ def decisions(x: Inputs) -> DataFrame:
         F.count(F.lit(1)).alias("c_n"), _shape(F.collect_list(F.struct("product_id", "role"))).alias("c_shape"),
         *[F.min(F.when(F.col("role") == role, F.col(c))).alias(f"c_{role}_{c[8:]}") for role in ("base", "wide") for c in ("product_id", "product_slug")],
     )
-    cand = x.candidates.join(sides, F.col("identity_key") == F.col("_k"), "left").drop("_k")
+    cand = x.candidates.join(sides.hint("merge"), F.col("identity_key") == F.col("_k"), "left").drop("_k")
     product = lambda a: x.products.select(F.struct(_trimmed(F.col("id")).alias("id"), *[c for c in ("slug", "is_active", "family_id", "role", "manual_override", "match_method", "confidence")]).alias(a))
     slugs = x.families.groupBy(F.col("slug").alias("_slug")).agg(F.count(F.lit(1)).alias("owners"), F.min("id").alias("owner"))
 
-    j = x.families.alias("f").join(flags, F.col("f.id") == F.col("_f"), "left").join(cand.alias("c"), F.col("f.identity_key") == F.col("c.identity_key"), "left")
+    j = x.families.alias("f").join(flags.hint("merge"), F.col("f.id") == F.col("_f"), "left").join(cand.alias("c").hint("merge"), F.col("f.identity_key") == F.col("c.identity_key"), "left")
     for alias, key in (("ob", "base_id"), ("w", "wide_id"), ("nb", "c.c_base_id"), ("cw", "c.c_wide_id")):
-        j = j.join(product(alias), F.col(key) == F.col(f"{alias}.id"), "left")
-    j = j.join(slugs, F.col("c.slug") == F.col("_slug"), "left")
+        j = j.join(product(alias).hint("merge"), F.col(key) == F.col(f"{alias}.id"), "left")
+    j = j.join(slugs.hint("merge"), F.col("c.slug") == F.col("_slug"), "left")
     has, n = F.col("c.identity_key").isNotNull(), F.coalesce("n_members", F.lit(0))
     structure = F.when(n != 2, "members").when(~F.col("all_automatic"), "provenance").when(F.col("roles") != F.array(F.lit("base"), F.lit("wide")), "roles")
     same, family = _same_names("f", "c"), F.col("f.id").cast("string")
@@ -151,15 +154,15 @@ def decisions(x: Inputs) -> DataFrame:
         "base_id", F.col("base_slug").alias("old_base_slug"), "wide_id", "wide_slug", F.col("c.c_base_id").alias("new_base_id"), F.col("c.c_base_slug").alias("new_base_slug"), F.array_join(other, ",").alias("fields"),
     )
 
-    stored = flags.join(x.families.select(F.col("id").alias("_id")), F.col("_f") == F.col("_id"), "left_semi")
+    stored = flags.join(x.families.select(F.col("id").alias("_id")).hint("merge"), F.col("_f") == F.col("_id"), "left_semi")
     handled = x.families.select("identity_key").unionByName(stored.select(F.explode("claimed").alias("identity_key"))).distinct()
     p = x.products.select(_trimmed(F.col("id")).alias("_p"), F.col("family_id").alias("_family"), F.col("manual_override").alias("_manual"), F.col("match_method").alias("_method"))
-    kept = wanted.join(handled, "identity_key", "left_anti").join(p, F.col("product_id") == F.col("_p"), "left")
+    kept = wanted.join(handled.hint("merge"), "identity_key", "left_anti").join(p.hint("merge"), F.col("product_id") == F.col("_p"), "left")
     free = _trimmed(F.col("_family")) == ""
     open_flags = kept.groupBy(F.col("identity_key").alias("_k")).agg(
         F.bool_or(F.col("_p").isNull()).alias("absent"), F.bool_or(_yes(F.col("_manual")) & free).alias("blocked"), F.bool_or(_yes(F.col("_manual")) | _yes(F.col("_method") == "manual")).alias("by_hand"), F.bool_or(~free).alias("assigned"),
     )
-    new = x.candidates.join(handled, "identity_key", "left_anti").join(open_flags, F.col("identity_key") == F.col("_k"), "left").join(slugs, F.col("slug") == F.col("_slug"), "left")
+    new = x.candidates.join(handled.hint("merge"), "identity_key", "left_anti").join(open_flags.hint("merge"), F.col("identity_key") == F.col("_k"), "left").join(slugs.hint("merge"), F.col("slug") == F.col("_slug"), "left")
     opened = (
         F.when(_yes(F.col("absent")), row("conflict", "MISSING_CANDIDATE_PRODUCT", text("product")))
         .when(_yes(F.col("blocked")), row("manual_blocked", None, text("block")))
@@ -184,7 +187,7 @@ def plan(decided: DataFrame, candidates: DataFrame, review: DataFrame | None = N
     core = decided.select("bucket", "code", F.col("family_id").cast("string").alias("family_id"), "identity_key", F.when(F.col("bucket") != "compatible", F.col("detail")).alias("detail"))
     metadata = decided.where("bucket = 'compatible' and fields <> ''").select(F.lit("metadata").alias("bucket"), F.lit(None).cast("string").alias("code"), F.col("family_id").cast("string").alias("family_id"), "identity_key", F.col("fields").alias("detail"))
     fresh = decided.where("bucket = 'new_family'").select("identity_key")
-    joined = _wanted(candidates).join(fresh, "identity_key", "left_semi").select(F.lit("new_membership").alias("bucket"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("family_id"), "identity_key", F.concat_ws(":", "role", "product_id").alias("detail"))
+    joined = _wanted(candidates).join(fresh.hint("merge"), "identity_key", "left_semi").select(F.lit("new_membership").alias("bucket"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("family_id"), "identity_key", F.concat_ws(":", "role", "product_id").alias("detail"))
     out = core.unionByName(metadata).unionByName(joined)
     for name, df in (("review", review), ("separate", separate)):
         if df is not None:
@@ -199,7 +202,7 @@ MUTATIONS = ["new_family", "new_membership", "metadata", "continuity"]
 def fingerprint(planned: DataFrame, candidates: DataFrame) -> str:
     """One hash of what a plan would change, to the value; plans that change the same have the same, whatever the row order."""
     target = candidates.select(F.col("identity_key").alias("_k"), F.to_json(F.struct("slug", "brand", "model_name", "season_label", *FIELDS)).alias("target"))
-    changes = planned.where(F.col("bucket").isin(MUTATIONS)).join(target, F.col("identity_key") == F.col("_k"), "left").drop("_k")
+    changes = planned.where(F.col("bucket").isin(MUTATIONS)).join(target.hint("merge"), F.col("identity_key") == F.col("_k"), "left").drop("_k")
     rows = changes.withColumn("key", F.concat_ws("|", "bucket", "identity_key", "detail"))
     return checksum(rows, "key").select(F.sha2(F.coalesce("md5", F.lit("")), 256)).first()[0]
 
@@ -210,14 +213,14 @@ class Refused(Exception):
 
 def next_products(x: Inputs, decided: DataFrame, new_ids: DataFrame, matched_at: Column) -> DataFrame:
     """Products after the plan, with ``_wanted`` (a change is asked of the row) and ``_done`` (its guards hold)."""
-    made = _wanted(x.candidates).join(new_ids, "identity_key").select("product_id", F.lit("assign").alias("kind"), F.col("new_id").alias("to_family"), F.col("role").alias("to_role"), F.coalesce("reason", F.lit(MATCHED)).alias("to_reason"), F.lit(None).cast("string").alias("of_family"), F.col("product_slug").alias("of_slug"))
+    made = _wanted(x.candidates).join(new_ids.hint("merge"), "identity_key").select("product_id", F.lit("assign").alias("kind"), F.col("new_id").alias("to_family"), F.col("role").alias("to_role"), F.coalesce("reason", F.lit(MATCHED)).alias("to_reason"), F.lit(None).cast("string").alias("of_family"), F.col("product_slug").alias("of_slug"))
     c = decided.where("bucket = 'continuity'")
     family, no = F.col("family_id").cast("string"), F.lit(None).cast("string")
     cleared = c.select(F.col("base_id").alias("product_id"), F.lit("clear").alias("kind"), no.alias("to_family"), no.alias("to_role"), no.alias("to_reason"), family.alias("of_family"), F.col("old_base_slug").alias("of_slug"))
     replaced = c.select(F.col("new_base_id").alias("product_id"), F.lit("replace").alias("kind"), family.alias("to_family"), F.lit("base").alias("to_role"), F.lit(REPLACED).alias("to_reason"), no.alias("of_family"), F.col("new_base_slug").alias("of_slug"))
     kept = c.select(F.col("wide_id").alias("product_id"), F.lit("keep").alias("kind"), no.alias("to_family"), no.alias("to_role"), no.alias("to_reason"), family.alias("of_family"), F.col("wide_slug").alias("of_slug"))
     asked = made.unionByName(cleared).unionByName(replaced).unionByName(kept).withColumnRenamed("product_id", "_p")
-    j = x.products.alias("p").join(asked.alias("a"), _trimmed(F.col("p.id")) == F.col("a._p"), "left")
+    j = x.products.alias("p").join(asked.alias("a").hint("merge"), _trimmed(F.col("p.id")) == F.col("a._p"), "left")
     p, kind = lambda col: F.col(f"p.{col}"), F.col("a.kind")
     hand = _yes(p("manual_override"))
     theirs = lambda role, active: (p("slug") == F.col("a.of_slug")) & (p("family_id") == F.col("a.of_family")) & (p("role") == role) & _by_rule("p") & (p("is_active") == active)
@@ -235,13 +238,13 @@ def next_families(x: Inputs, decided: DataFrame, new_ids: DataFrame) -> DataFram
     """Families after the plan, with ``_wanted`` and ``_done`` as in ``next_products``."""
     target = x.candidates.select(F.col("identity_key").alias("_k"), *[F.col(c).alias(f"_t_{c}") for c in FIELDS])
     asked = decided.where("bucket = 'continuity' or (bucket = 'compatible' and fields <> '')").select(F.col("family_id").alias("_f"), F.col("bucket").alias("_bucket"), F.col("old_slug").alias("_old"), F.col("new_slug").alias("_new"), F.col("identity_key").alias("_key"))
-    j = x.families.join(asked, F.col("id") == F.col("_f"), "left").join(target, F.col("_key") == F.col("_k"), "left")
+    j = x.families.join(asked.hint("merge"), F.col("id") == F.col("_f"), "left").join(target.hint("merge"), F.col("_key") == F.col("_k"), "left")
     moved, mine = F.col("_bucket") == "continuity", F.col("source_kind") == FROM_MEMBER
     done = F.col("_f").isNotNull() & _yes(F.when(moved, (F.col("identity_key") == F.col("_key")) & (F.col("slug") == F.col("_old"))).otherwise(mine))
     fields = [F.when(done & _yes(mine), F.col(f"_t_{c}").cast(dict(x.families.dtypes)[c])).otherwise(F.col(c)).alias(c) for c in FIELDS]
     old = j.select(*[F.when(done & moved, F.col("_new")).otherwise(F.col("slug")).alias("slug") if c == "slug" else F.col(c) for c in x.families.columns if c not in FIELDS], *fields, F.when(F.col("_f").isNotNull(), F.col("_bucket")).alias("_wanted"), done.alias("_done"))
     kinds = dict(x.families.dtypes)
-    new = x.candidates.join(new_ids, "identity_key").select(*[F.col("new_id").cast(kinds["id"]).alias("id") if c == "id" else F.lit(FROM_MEMBER).alias(c) if c == "source_kind" else F.col(c).cast(kinds[c]).alias(c) if c in x.candidates.columns else F.lit(None).cast(kinds[c]).alias(c) for c in x.families.columns], F.lit("new_family").alias("_wanted"), F.lit(True).alias("_done"))
+    new = x.candidates.join(new_ids.hint("merge"), "identity_key").select(*[F.col("new_id").cast(kinds["id"]).alias("id") if c == "id" else F.lit(FROM_MEMBER).alias(c) if c == "source_kind" else F.col(c).cast(kinds[c]).alias(c) if c in x.candidates.columns else F.lit(None).cast(kinds[c]).alias(c) for c in x.families.columns], F.lit("new_family").alias("_wanted"), F.lit(True).alias("_done"))
     return old.select(*x.families.columns, "_wanted", "_done").unionByName(new.select(*x.families.columns, "_wanted", "_done"))
 
 
@@ -329,14 +332,14 @@ def undo(store: Versions, receipt: Version) -> Version:
         return store.commit(now, before.tables, {"undone": receipt.number, "base": now.number})
     if note["counts"]["metadata"] or note["counts"]["continuity"]:
         raise Refused("stored families were changed, and products since")
-    made = store.staged(receipt.tables["families"]).select("id").join(store.staged(store.version(note["base"]).tables["families"]).select("id"), "id", "left_anti").select(F.col("id").cast("string").alias("_made"))
-    j = products.join(made, F.col("family_id") == F.col("_made"), "left")
+    made = store.staged(receipt.tables["families"]).select("id").join(store.staged(store.version(note["base"]).tables["families"]).select("id").hint("merge"), "id", "left_anti").select(F.col("id").cast("string").alias("_made"))
+    j = products.join(made.hint("merge"), F.col("family_id") == F.col("_made"), "left")
     hit = F.col("_made").isNotNull()
     odd = j.where(hit & ~_yes((F.col("match_method") == AUTOMATIC_RULE) & (F.col("confidence") == AUTOMATIC_CONFIDENCE) & ~_yes(F.col("manual_override"))))
     if not odd.isEmpty() or j.where(hit).count() != note["counts"]["new_membership"]:
         raise Refused("a membership is not the rule's own any more")
     cleared = j.select(*[F.when(~hit, F.col(c)).alias(c) if c in MEMBERSHIP else F.col(c) for c in products.columns])
-    tables = {"products": store.stage("products", cleared), "families": store.stage("families", families.join(made, F.col("id") == F.col("_made"), "left_anti"))}
+    tables = {"products": store.stage("products", cleared), "families": store.stage("families", families.join(made.hint("merge"), F.col("id") == F.col("_made"), "left_anti"))}
     if list(_family_state(store.staged(tables["families"]), store.staged(tables["products"]))) != note["before"] or _sources(products) != _sources(store.staged(tables["products"])):
         raise Refused("the state before the receipt does not come back")
     return store.commit(now, tables, {"undone": receipt.number, "base": now.number})

@@ -2,9 +2,9 @@
 
 import pytest
 
-from firnline.operators import identity_plan, json_tree
+from firnline.operators import identity_plan, json_tree, reconcile
 from firnline.plans import bindings as b
-from firnline.plans import digest_queries, domain_queries, identity_queries
+from firnline.plans import digest_queries, domain_queries, family_queries, identity_queries
 from firnline.sources.rounds import dealt
 
 DATA = "/root/testdata/sf0.001"
@@ -56,3 +56,9 @@ def test_plan_of_identities_reads_stored_tables_only(spark):
     assert "part.parquet" not in _files(made)
     shown = made._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in shown and "Broadcast" not in shown
+
+
+def test_families_are_decided_without_broadcasts(spark):
+    x = reconcile.Inputs(*[f(spark, DATA) for f in (family_queries.candidates, family_queries.families, family_queries.members, family_queries.products)])
+    shown = reconcile.decisions(x)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in shown and "Broadcast" not in shown
